@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from brackwater.llm import sharding
+from brackwater.llm import sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op7_sharding": sharding.op7_sharding,
+        "op9_simhash": simhash.op9_simhash,
     }
 
 
