@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from brackwater.llm import sharding, simhash
+from brackwater.llm import chat, sharding, simhash
 
 
 def queries() -> dict:
     return {
+        "op4_chat": chat.op4_chat,
         "op7_sharding": sharding.op7_sharding,
         "op9_simhash": simhash.op9_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**chat.SQL}
