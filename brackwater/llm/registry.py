@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from brackwater.llm import chat, sharding, simhash
+from brackwater.llm import chat, quality, sharding, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_quality": quality.op1_quality,
         "op4_chat": chat.op4_chat,
         "op7_sharding": sharding.op7_sharding,
         "op9_simhash": simhash.op9_simhash,
@@ -14,4 +15,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**chat.SQL}
+    return {**chat.SQL, **quality.SQL}
