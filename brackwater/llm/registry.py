@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brackwater.llm import chat, quality, sharding, simhash
+from brackwater.llm import chat, packing, quality, sharding, simhash
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_chat": chat.op4_chat,
         "op7_sharding": sharding.op7_sharding,
         "op9_simhash": simhash.op9_simhash,
+        "op10_packing": packing.op10_packing,
     }
 
 
