@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from brackwater.llm import chat, packing, quality, sharding, simhash
+from brackwater.llm import chat, html, packing, quality, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op1_quality": quality.op1_quality,
+        "op3_html": html.op3_html,
         "op4_chat": chat.op4_chat,
         "op7_sharding": sharding.op7_sharding,
         "op9_simhash": simhash.op9_simhash,
