@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from brackwater.llm import chat, html, packing, quality, sharding, simhash
+from brackwater.llm import ann, chat, html, packing, quality, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op1_quality": quality.op1_quality,
+        "op2_ann": ann.op2_ann,
         "op3_html": html.op3_html,
         "op4_chat": chat.op4_chat,
         "op7_sharding": sharding.op7_sharding,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**chat.SQL, **quality.SQL}
+    return {**ann.SQL, **chat.SQL, **quality.SQL}
