@@ -59,9 +59,8 @@ def ranked_paths(messages: DataFrame, branches: int = 1, most_rounds: int = 48)
             break
         jumps.append(state.where("up is not null").select("tree", "node", "up"))
         further = state.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("depth").alias("depth2"))
-        state = state.join(further, ["tree", "up"], "left").select(
-            "tree", "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")
-        )
+        moved = state.where("up is not null").join(further, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.col("score2")).alias("score"), (F.col("depth") + F.col("depth2")).alias("depth"))
+        state = state.where("up is null").unionByName(moved)
     state = state.where("up is null")  # what is left lies on a cycle or leads to one
     parents = messages.where("parent is not null").select("tree", F.col("parent").alias("node"))
     leaves = state.join(parents, ["tree", "node"], "left_anti")
@@ -69,7 +68,7 @@ def ranked_paths(messages: DataFrame, branches: int = 1, most_rounds: int = 48)
     chosen = leaves.withColumn("branch_rank", F.row_number().over(best)).where(F.col("branch_rank") <= branches).select("tree", F.col("node").alias("leaf"), "branch_rank", F.col("score").alias("path_score"))
     chosen = stored(chosen, "leaves")
     path = chosen.select("tree", "leaf", F.col("leaf").alias("node"))
-    for jump in jumps:
+    for jump in reversed(jumps):  # the longest first: then the rows of a round are half of those of the next
         path = path.join(jump, ["tree", "node"], "left").select("tree", "leaf", F.explode(F.array_compact(F.array("node", "up"))).alias("node"))
     return chosen, path.join(state.select("tree", "node", "depth"), ["tree", "node"])
 
