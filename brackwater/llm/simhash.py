@@ -103,6 +103,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     linked = near.join(firsts, "fp")
     roots = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     named = firsts.join(linked.join(roots, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    named = stored(named, "named")  # so that both sides of the last join are read from files, and Spark can split a fingerprint that many copies share
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
