@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brackwater.llm import ann, chat, html, lm, packing, quality, sharding, simhash
+from brackwater.llm import ann, chat, html, lm, packing, quality, sharding, simhash, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_ann": ann.op2_ann,
         "op3_html": html.op3_html,
         "op4_chat": chat.op4_chat,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_lm": lm.op6_lm,
         "op7_sharding": sharding.op7_sharding,
         "op9_simhash": simhash.op9_simhash,
