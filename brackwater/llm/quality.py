@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brackwater.llm.common import WORD_SPACES, lookup_join, read, stored
+from brackwater.llm.common import WORD_SPACES, lookup_join, read, settled, stored
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -37,23 +37,23 @@ def quality_stats(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, WORD_SPACES, "") != "")
     df = docs.select(F.struct(*docs.columns).alias("row"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     df = df.select(
-        "row", "lang", "source", words.alias("words"), lines.alias("lines"),
+        "row", "lang", "source", settled(words).alias("words"), settled(lines).alias("lines"),
         F.length(F.translate("text", WORD_SPACES, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
     )
     kept = ["row", "lang", "source", "word_chars", "n_symbols", "n_words", "n_lines", "n_dup_lines"]
     df = df.select(
         "row", "lang", "source", "word_chars", "n_symbols", F.size("words").cast("long").alias("n_words"), F.size("lines").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), settled(F.transform("words", lambda w: F.xxhash64(w))).alias("h"),
     )
     more = ", ".join(f"h[i + {k}]" for k in range(1, WINDOW))
-    df = df.select(*kept, F.expr(f"transform(slice(h, 1, greatest(size(h) - {WINDOW - 1}, 0)), (x, i) -> xxhash64(x, {more}))").alias("windows"))
+    df = df.select(*kept, settled(F.expr(f"transform(slice(h, 1, greatest(size(h) - {WINDOW - 1}, 0)), (x, i) -> xxhash64(x, {more}))")).alias("windows"))
     # Only texts in which a window recurs sort theirs, with their places.
     recurs = F.size(F.array_distinct("windows")) < F.size("windows")
-    df = df.select(*kept, F.when(recurs, F.array_sort(F.expr("transform(windows, (x, i) -> named_struct('x', x, 'i', i))"))).alias("s"))
-    df = df.select(*kept, F.expr("array_sort(transform(filter(transform(s, (e, j) -> named_struct('i', e.i, 'again', coalesce(e.x = get(s, j - 1).x, false) or coalesce(e.x = get(s, j + 1).x, false))), e -> e.again), e -> e.i))").alias("at"))
+    df = df.select(*kept, settled(F.when(recurs, F.array_sort(F.expr("transform(windows, (x, i) -> named_struct('x', x, 'i', i))")))).alias("s"))
+    df = df.select(*kept, settled(F.expr("array_sort(transform(filter(transform(s, (e, j) -> named_struct('i', e.i, 'again', coalesce(e.x = get(s, j - 1).x, false) or coalesce(e.x = get(s, j + 1).x, false))), e -> e.again), e -> e.i))")).alias("at"))
     covered = F.expr(f"coalesce(aggregate(transform(at, (p, j) -> least({WINDOW}, coalesce(get(at, j + 1) - p, {WINDOW}))), 0L, (a, x) -> a + x), 0L)")
-    df = df.select(*kept, covered.alias("n_repeat_words"))
+    df = df.select(*kept, settled(covered).alias("n_repeat_words"))
     per = lambda n, of: F.expr(f"{n} * 1000 div greatest({of}, 1)").cast("long")
     return df.select(
         *(c for c in kept if c != "n_lines"), "n_repeat_words", ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).alias("base_failed"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brackwater.llm import ann, chat, html, lm, packing, quality, sharding, simhash, toxicity
+from brackwater.llm import ann, chat, html, lm, mixing, packing, quality, sharding, simhash, toxicity
 
 
 def queries() -> dict:
@@ -14,10 +14,11 @@ def queries() -> dict:
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_lm": lm.op6_lm,
         "op7_sharding": sharding.op7_sharding,
+        "op8_mixing": mixing.op8_mixing,
         "op9_simhash": simhash.op9_simhash,
         "op10_packing": packing.op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**ann.SQL, **chat.SQL, **quality.SQL}
+    return {**ann.SQL, **chat.SQL, **mixing.SQL, **quality.SQL}

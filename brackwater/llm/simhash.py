@@ -110,3 +110,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", most_broadcast: int = 100_000) -> DataFrame:
+    """The rows of docs whose id names their group, one for each group. Rows without id stay only where no row of their group has one:
+    one for each fingerprint."""
+    groups = stored(near_duplicates(docs, key, text), "groups")
+    gone = groups.where("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
+    # Without a match the row stays; those without id are dealt with below.
+    named = docs.where(F.col(key).isNotNull())
+    key_of = F.col(key).cast("long")
+    gone = stored(gone, "gone").withColumnRenamed("doc_id", "__bw_gone")
+    few = gone.count() <= most_broadcast
+    kept = named.join(F.broadcast(gone) if few else gone, key_of == F.col("__bw_gone"), "left_anti")
+    again = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__bw_again"))
+    if again.limit(1).count():
+        again = stored(again, "again")
+        twice = kept.join(again, key_of == F.col("__bw_again"), "left_semi").dropDuplicates([key])
+        kept = kept.join(again, key_of == F.col("__bw_again"), "left_anti").unionByName(twice)
+    alone = groups.where("component_id IS NULL").select(F.col("fp").alias("__bw_fp")).distinct()
+    if alone.limit(1).count():
+        nameless = docs.where(F.col(key).isNull()).withColumn("__bw_id", F.monotonically_increasing_id())
+        marked = stored(nameless, "nameless")
+        prints = fingerprints(marked, "__bw_id", text).withColumnsRenamed({"doc_id": "__bw_row"})
+        firsts = prints.join(alone, F.col("fp") == F.col("__bw_fp")).groupBy("fp").agg(F.min("__bw_row").alias("__bw_row")).select("__bw_row")
+        kept = kept.unionByName(marked.join(firsts, F.col("__bw_id") == F.col("__bw_row"), "left_semi").drop("__bw_id"))
+    return kept
