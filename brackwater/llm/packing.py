@@ -37,10 +37,15 @@ END_ID = 2
 MOST_QUEUES = 4096
 #: What the weights add up to, about.
 WEIGHT_SUM = 1 << 20
-#: Words whose ids a worker keeps, and their greatest length.
-CACHED, CACHED_LENGTH = 300_000, 40
+#: Words whose ids a worker keeps.
+CACHED = 500_000
 #: Texts are split here before they are tokenized word by word; the tokenizer never joins what these separate.
 _WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+#: Texts of ASCII without apostrophes and of Latin letters are split further, into letters and the rest, as the tokenizer splits them.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PLAIN = re.compile(rf"[{_LETTERS}\x00-\x26\x28-\x7e]*")
+_UNIT = re.compile(rf"[{_LETTERS}]+|[^{_LETTERS} \t\n\r\x0b\x0c]+")
+_IS_LETTERS = re.compile(rf"[{_LETTERS}]+")
 
 
 def default_tokenizer() -> str:
@@ -59,28 +64,38 @@ def _tokenizer(path: str):
     return found
 
 
+def _byte_letters() -> list[str]:
+    """The character by which byte-level vocabularies write each byte: itself where it prints, else the next from 256."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spare = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(spare)) for b in range(256)]
+
+
 class WordIds(dict):
-    """The ids of a word as little-endian unsigned 32-bit numbers."""
+    """The ids of a word as little-endian unsigned 32-bit numbers. Words of Latin letters go to the vocabulary's merges without the
+    tokenizer's other steps, which leave them as they are but for their case."""
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
+        self.merges, self.letters = self.tokenizer.model.tokenize, _byte_letters()
 
-    def learn(self, words: set[str]) -> None:
-        if len(self) + len(words) > CACHED:
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHED:
             self.clear()
-        missing = [w for w in words if w not in self]
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            for word, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self[word] = np.array(got.ids, "<u4").tobytes()
+        if _IS_LETTERS.fullmatch(word):
+            low = word.lower()
+            if low != word:
+                ids = self[low]
+            else:
+                spelled = low if low.isascii() else "".join([self.letters[b] for b in low.encode()])
+                ids = np.array([t.id for t in self.merges(spelled)], "<u4").tobytes()
+        else:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
 
     def ids(self, texts: list[str], end: bytes) -> list[bytes]:
-        split = [_WORD.findall(x or "") for x in texts]
-        words: set[str] = set()
-        for x in split:
-            words.update(x)
-        self.learn(words)
-        return [b"".join([*map(self.__getitem__, x), end]) for x in split]
+        return [b"".join([*map(self.__getitem__, (_UNIT if _PLAIN.fullmatch(x) else _WORD).findall(x)), end]) for x in texts]
 
 
 def tokenized(docs: DataFrame, key: str, text: str, source: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
