@@ -57,7 +57,7 @@ def seeds(title: Column, body: Column) -> Column:
     paths = every(r"[\w./-]+\.(?:py|pyi|js|jsx|ts|tsx|java|go)\b", 0)
     traced = every(r'File "[^"]+", line \d+, in (\w+)')
     found = F.concat(names, traced, every(r"\b([A-Za-z_]\w{2,})\s*\("), dotted, cased, plain)
-    kept = F.filter(F.array_distinct(found), lambda w: ~F.lower(w).isin(*STOPWORDS))
+    kept = F.filter(F.array_distinct(found), lambda w: ~F.lower(w).isin(*STOPWORDS) & (F.length(w) >= 3))
     return F.array_sort(F.array_distinct(F.concat(kept, paths)))
 
 
@@ -126,7 +126,7 @@ def is_test_path_for_display(path: Column) -> Column:
 
 def tickets(message: Column) -> Column:
     """Ids like #12 (as 12) and ABC-7, in order."""
-    return F.transform(F.regexp_extract_all(message, F.lit(r"(#\d+|\b[A-Z][A-Z0-9]+-\d+\b)"), F.lit(1)), lambda t: F.ltrim(F.lit("#"), t))
+    return F.transform(F.regexp_extract_all(message, F.lit(r"(#\d+|\b[A-Z][A-Z0-9]+-\d+\b)"), F.lit(1)), lambda t: F.ltrim(t, F.lit("#")))
 
 
 def is_fix(message: Column) -> Column:

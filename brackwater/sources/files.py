@@ -24,7 +24,7 @@ def scan(spark: SparkSession, roots: list[str], extensions: tuple[str, ...] = EX
     parts = F.split("path", "/")
     wanted = F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*extensions) & ~F.arrays_overlap(parts, F.array(*map(F.lit, SKIPPED_DIRS)))
     kept = files.where(wanted).dropDuplicates(["path"])
-    return kept.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), F.decode(F.col("content"), F.lit("UTF-8")).alias("text"))
+    return kept.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), F.translate(F.make_valid_utf8(F.col("content").cast("string")), "\ufffd", "").alias("text"))
 
 
 def readable(files: DataFrame) -> DataFrame:
