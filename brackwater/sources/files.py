@@ -132,9 +132,9 @@ def python_rows(path: str, text: str) -> list[dict]:
                 if method:
                     rows.append({"row": "call", "qual": here, "receiver": receiver, "name": method, "arg0": ast.unparse(child.args[0])[:120] if child.args else None, "start": child.lineno})
             elif isinstance(child, ast.Import):
-                rows += [{"row": "import", "qual": here, "name": a.asname or a.name, "arg0": a.name, "start": child.lineno} for a in child.names]
+                rows.extend({"row": "import", "qual": here, "name": a.asname or a.name, "arg0": a.name, "start": child.lineno} for a in child.names)
             elif isinstance(child, ast.ImportFrom):
-                rows += [{"row": "import", "qual": here, "name": a.asname or a.name, "arg0": "." * child.level + ".".join(filter(None, [child.module, a.name])), "start": child.lineno} for a in child.names]
+                rows.extend({"row": "import", "qual": here, "name": a.asname or a.name, "arg0": "." * child.level + ".".join(filter(None, [child.module, a.name])), "start": child.lineno} for a in child.names)
             elif isinstance(child, ast.AnnAssign) and isinstance(child.target, ast.Name):
                 rows.append({"row": "variable", "qual": here, "name": child.target.id, "arg0": tail(child.annotation).split("[")[0], "start": child.lineno})
             walk(child, scope, in_class and not isinstance(child, ast.Call))
@@ -159,7 +159,7 @@ def parse(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [r for p, t in zip(b["path"], b["text"], strict=True) if (f := parsers.get(p.rpartition(".")[2].lower())) for r in f(p, t or "")]
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame([{**dict.fromkeys(names), **r} for r in rows], columns=names)
 
     return files.select("path", "text").mapInPandas(run, PARSED)
 
