@@ -1,9 +1,10 @@
 """Main text of web pages by consensus host paths.
 
-Pass 1 scores each page's containers: the share of the page's readable text that a container covers, times the share of readable
-text among all text inside it. Spark sums these scores as votes for generalised paths (tags and classes from the body down,
-digits taken out) over each host; pass 2 extracts each page again from the containers at its host's winning path. A page that has no
-text there is extracted from its own best container.
+Pass 1 scores each page's containers: the share of the page's readable text that a container covers, times the share of
+readable text among all text inside it, times DEEPER for each level of its path, so that a container that leaves out little wins
+over the one around it. Each page votes for the generalised path (tags and classes from the top down, digits taken out) of its
+best container, and Spark counts the votes of each host; pass 2 extracts each page again from the containers at its host's
+winning path. A page that has no text there is extracted from its own best container.
 
 Readable text leaves out menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden elements and reader
 comments, told by tag, role, class and id. Character references are decoded after the markup is taken out; inside a block,
@@ -27,6 +28,7 @@ from pyspark.sql import types as T
 
 from brackwater.llm.common import lookup_join, read, stored
 
+DEEPER = 1.1
 _TOKEN = re.compile(
     r"""<!--(?:.*?-->|.*)|<[!?][^>]*+>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|$)""", re.S
 )
@@ -185,7 +187,7 @@ class Page:
                 all_[c] += n
                 c = self.containers[c][0]
         total = read[0]
-        return {c: (r / total) * (r / all_[c]) for c, r in enumerate(read) if c and total and 3 * r > total}
+        return {c: (r / total) * (r / all_[c]) * DEEPER ** self.containers[c][2] for c, r in enumerate(read) if c and total and 3 * r > total}
 
     def best(self) -> int:
         """The container with the best score; ties go to article and main, then to the deeper one."""
@@ -203,12 +205,10 @@ class Page:
         return (self.text(roots) if roots else "") or self.text({self.best()})
 
 
-def votes(html: str) -> dict[str, float]:
-    page, best = Page(html), {}
-    for c, score in page.scores().items():
-        path = page.containers[c][1]
-        best[path] = max(score, best.get(path, 0))
-    return best
+def vote(html: str) -> str | None:
+    """The path of the page's best container, if it has one."""
+    page = Page(html)
+    return page.containers[page.best()][1] or None
 
 
 def host_of(url: str = "url") -> F.Column:
@@ -216,15 +216,13 @@ def host_of(url: str = "url") -> F.Column:
 
 
 def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, path: the winner at each host. Votes are whole millionths, so that their sums don't hang on their order; ties go to article
-    and main, then to the longer path, then to the first by name."""
+    """host, path: the winner at each host. Ties go to article and main, then to the longer path, then to the first by name."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(host, path, round(1e6 * v)) for host, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for path, v in votes(text.as_py() or "").items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["host", "path", "vote"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([vote(x.as_py() or "") for x in batch.column(1)], pa.string())], names=["host", "path"])
 
-    voted = pages.select(host_of(url).alias("host"), html).mapInArrow(score, "host string, path string, vote long").groupBy("host", "path").agg(F.sum("vote").alias("votes"))
+    voted = pages.select(host_of(url).alias("host"), html).mapInArrow(score, "host string, path string").where("path IS NOT NULL").groupBy("host", "path").agg(F.count("*").alias("votes"))
     semantic = F.col("path").rlike(r"(^|>)(article|main)[^>]*$")
     return voted.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), ~semantic, -F.length("path"), "path")).alias("path"))
 

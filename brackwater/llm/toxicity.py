@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     few = [marks.where(F.col("toxic") == t).orderBy(F.xxhash64("id"), "id").limit(n) for t, n in ((1, MOST_TOXIC), (0, MOST_ORDINARY))]
     chosen = docs.select(F.col(key).alias("id"), F.col(text).cast("binary").alias("text")).join(F.broadcast(few[0].unionByName(few[1])), "id")  # as many as the two bounds
     rows = sorted(chosen.dropDuplicates(["id"]).collect(), key=lambda r: (zlib_order(r["id"]), r["id"]))
-    toxic = np.array([bool(r["toxic"]) for r in rows])
+    toxic = np.array([bool(r["toxic"]) for r in rows], bool)
     if min(toxic.sum(), (~toxic).sum()) < 4:
         return None
     counts = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
