@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard as zs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ from brackwater.llm.common import read, stored
 
 HOLD_OUT, HELD = 7, 2
 #: A chunk ends when it has so many tokens or distinct words.
-CHUNK_TOKENS, CHUNK_WORDS = 2_000_000, 250_000
+CHUNK_TOKENS, CHUNK_WORDS = 6_000_000, 600_000
 #: What the prior of the pieces weighs, in uses.
 PRIOR_USES = 500.0
 MOST_LANGUAGES = 8
@@ -159,8 +160,19 @@ def held_out(key: str, mod: int, rest: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % mod == rest
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """The distinct numbers of a text's words in ascending order, each as its distance from the one before, and how often each occurs."""
+    ids, n = np.unique(numbers, return_counts=True)
+    return zs.ZstdCompressor(level=1).compress(np.concatenate([np.diff(ids, prepend=0), n]).astype(np.int32).tobytes())
+
+
+def unpacked(ids: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zs.ZstdDecompressor().decompress(ids), np.int32)
+    return np.cumsum(both[: len(both) // 2]), both[len(both) // 2 :]
+
+
 def coded(docs: DataFrame, key: str, text: str, lang: str, langs: dict[str | None, int], held: Column) -> DataFrame:
-    """Rows of two kinds. `words`: chunk, idx, word, uses (in the training documents of each language). `docs`: chunk, doc_id, held_out, lang_no, ids (int32 numbers of the words)."""
+    """Rows of two kinds. `words`: chunk, idx, word, uses (in the training documents of each language). `docs`: chunk, doc_id, held_out, lang_no, ids (see packed())."""
     id_type = docs.schema[key].dataType
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +203,7 @@ def coded(docs: DataFrame, key: str, text: str, lang: str, langs: dict[str | Non
                     tokens += len(x)
                     if not held:
                         learnt[k].append(x)
-                    ids.append(x.tobytes())
+                    ids.append(packed(x))
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(["docs"] * n), pa.array([chunk] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64())), batch.column(0), batch.column(2), pa.array(no, pa.int32()), pa.array(ids, pa.binary())], names=names)
                 if tokens >= CHUNK_TOKENS or len(numbers) >= CHUNK_WORDS:
@@ -270,33 +282,39 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: st
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            model, uses = lattice.value, batch.column(1).to_numpy()
+            model = lattice.value
             spelled = np.array([model.log_probability(w) for w in batch.column(0).to_pylist()])
-            all_ = corpus.log_probability(uses, spelled)
-            each = np.stack([c.log_probability(batch.column(2 + i).to_numpy(), all_) for i, c in enumerate(by_lang)], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(uses > 0), pa.array(np.log10((uses + 1) / (n + v + 1))), pa.ListArray.from_arrays(pa.array(np.arange(0, many * len(each) + 1, many, dtype=np.int32)), pa.array(each.ravel()))], names=["word", "known", "base", "scores"])
-
-    scored = vocab.select("word", *names).mapInArrow(score, "word binary, known boolean, base double, scores array<double>")
+            each = np.stack([batch.column(2 + i).to_numpy() for i in range(many)], axis=1)
+            rows, k = np.nonzero(each)
+            entries = (k.astype(np.uint64) << np.uint64(56)) | each[rows, k].astype(np.uint64)  # few words are of more than one language
+            ends = np.concatenate([[0], np.cumsum(8 * np.bincount(rows, minlength=len(each)))]).astype(np.int32)
+            uses = pa.Array.from_buffers(pa.binary(), len(each), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(entries.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), uses, pa.array(corpus.log_probability(batch.column(1).to_numpy(), spelled).astype(np.float32))], names=["word", "by_lang", "all_langs"])
+
+    scored = vocab.select("word", *names).mapInArrow(score, "word binary, by_lang binary, all_langs float")
     end_base = math.log10((corpus.ends + 1) / (n + v + 1))
     end_all = corpus.log_probability(np.array([corpus.ends]), np.array([math.log(1 / (n + v + 1))]))
     end = np.array([c.log_probability(np.array([c.ends]), end_all)[0] for c in by_lang])
     shares = np.log((np.array([c.ends for c in by_lang]) + 1) / (corpus.ends + many))
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
-        idx = right["idx"].to_numpy()
-        base, scores, known = np.empty(len(idx)), np.empty((len(idx), many)), np.empty(len(idx), np.int64)
-        base[idx], known[idx] = right["base"].to_numpy(), right["known"].to_numpy(zero_copy_only=False)
-        scores[idx] = right["scores"].combine_chunks().flatten().to_numpy().reshape(-1, many)
+        idx, given = right["idx"].to_numpy(), right["by_lang"].to_pylist()
+        entries = np.frombuffer(b"".join(given), np.uint64)
+        uses, all_langs = np.zeros((len(idx), many), np.int64), np.empty(len(idx))
+        uses[np.repeat(idx, [len(x) // 8 for x in given]), (entries >> np.uint64(56)).astype(int)] = (entries & np.uint64((1 << 56) - 1)).astype(np.int64)
+        all_langs[idx] = right["all_langs"].to_numpy()
+        known, base = uses.any(axis=1), np.log10((uses.sum(axis=1) + 1) / (n + v + 1))
+        scores = np.stack([c.log_probability(uses[:, i], all_langs) for i, c in enumerate(by_lang)], axis=1)
         out = []
         for x in left["ids"]:
-            ids = np.frombuffer(x.as_py(), np.int32)
-            by = shares + end + scores[ids].sum(axis=0)
+            ids, times = unpacked(x.as_py())
+            by = shares + end + times @ scores[ids]
             top = by.max()
-            out.append((len(ids) + 1, int(known[ids].sum()) + (corpus.ends > 0), float(base[ids].sum()) + end_base, float(top + np.log(np.exp(by - top).sum())) / math.log(10)))
+            out.append((int(times.sum()) + 1, int(times @ known[ids]) + (corpus.ends > 0), float(times @ base[ids]) + end_base, float(top + np.log(np.exp(by - top).sum())) / math.log(10)))
         cols = list(zip(*out, strict=True)) or [(), (), (), ()]
         return pa.table([left["doc_id"], left["held_out"], pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array([n] * len(out), pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    numbers = words.join(scored, "word").select(F.col("chunk").alias("of_chunk"), "idx", "known", "base", "scores")
+    numbers = words.join(scored, "word").select(F.col("chunk").alias("of_chunk"), "idx", "by_lang", "all_langs")
     return texts.groupBy("chunk").cogroup(numbers.groupBy("of_chunk")).applyInArrow(add, f"doc_id {docs.schema[key].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
