@@ -2,7 +2,8 @@
 
 Two zstandard dictionaries are trained: one on ordinary text, one on toxic text. Labels hold for whole documents, of which few
 words are toxic, so the toxic dictionary is trained on those words of toxic documents that hold a run of GRAM bytes
-which toxic documents have significantly more often than ordinary ones. A window of WINDOW words is compressed once with the
+which toxic documents have significantly more often than ordinary ones. Windows of ordinary documents in which it saves bytes
+nevertheless train additions to the ordinary dictionary, so that what is common to both kinds of text saves nothing. A window of WINDOW words is compressed once with the
 ordinary dictionary and once with both; the bytes saved are the window's toxicity. A document's rates of saved bytes, and of
 windows that save two and three, go into a logistic score, whose threshold (the best F1 where the dictionaries were not
 trained, by two-fold cross-fitting) is moved to CUT.
@@ -31,12 +32,14 @@ from brackwater.llm.common import read
 
 HOLD_OUT, HELD = 3, 1
 CUT = 0.7
-MOST_TOXIC, MOST_ORDINARY = 3000, 9000
+MOST_TOXIC, MOST_ORDINARY = 2500, 6500
 WINDOW = 8
 GRAM, GRAM_BITS, LEAST_Z = 6, 21, 4.0
 TOXIC_BYTES, ORDINARY_BYTES = 4096, 65536
+#: What rounds of windows of ordinary text that looked toxic add to the ordinary dictionary.
+HARD_BYTES, HARD_ROUNDS = 12288, 3
 #: Windows of ordinary text that the dictionary is trained on at most, dealt over all documents of the sample.
-ORDINARY_WINDOWS = 40_000
+ORDINARY_WINDOWS = 30_000
 _DROPPED = b".,;:!?\"'()[]{}|#*$%&<>=-_/\\+0123456789"
 _SPACED = bytes.maketrans(_DROPPED, b" " * len(_DROPPED))
 
@@ -104,14 +107,25 @@ class Coders:
                     at += len(w) + 1
         plain = [x for words, t in zip(docs, toxic, strict=True) if not t for x in windows_of(words)]
         plain = plain[:: max(1, math.ceil(len(plain) / ORDINARY_WINDOWS))]
-        return cls(_dictionary(plain, ORDINARY_BYTES, 256), _dictionary([b"".join(found[i : i + 6]) for i in range(0, len(found), 6)], TOXIC_BYTES, 64))
-
-    def features(self, words: list[bytes]) -> list[float]:
+        coders = cls(_dictionary(plain, ORDINARY_BYTES, 256), _dictionary([b"".join(found[i : i + 6]) for i in range(0, len(found), 6)], TOXIC_BYTES, 64))
+        for _ in range(HARD_ROUNDS):
+            hard = [x for x, n in zip(plain, coders.saved(plain), strict=True) if n >= 2]
+            if len(hard) < 100:
+                break
+            ordinary, toxic_bytes = coders.contents
+            coders = cls(_dictionary(hard, HARD_BYTES, 128) + ordinary, toxic_bytes)
+        return coders
+
+    def saved(self, windows: list[bytes]) -> list[int]:
+        """Bytes that the toxic dictionary saves in each window."""
         if self._made is None:
             ordinary, toxic = self.contents
             self._made = _compressor(ordinary).compress, _compressor(toxic + ordinary).compress
         one, both = self._made
-        saved = np.array([len(one(x)) - len(both(x)) for x in windows_of(words)])
+        return [len(one(x)) - len(both(x)) for x in windows]
+
+    def features(self, words: list[bytes]) -> list[float]:
+        saved = np.array(self.saved(windows_of(words)), int)
         n = len(saved)
         return [float(saved.sum()) / (n + 3), math.log(0.005 + float((saved >= 2).sum()) / (n + 2)), math.log(0.005 + float((saved >= 3).sum()) / (n + 2))]
 
