@@ -18,6 +18,7 @@ empty table gives no rows; other columns pass through.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -90,23 +91,23 @@ class Coders:
         self.contents, self._made = contents, None
 
     @classmethod
-    def trained(cls, docs: list[list[bytes]], toxic: np.ndarray) -> Coders:
-        joined = [b" " + b" ".join(w) + b" " for w in docs]
+    def trained(cls, docs: list[bytes], toxic: np.ndarray) -> Coders:
+        """docs: words joined by blanks. They are split one document at a time, for the lists of all words would be many times as large."""
         df, n = np.zeros((2, 1 << GRAM_BITS), np.float32), [int((~toxic).sum()), int(toxic.sum())]
-        for text, t in zip(joined, toxic, strict=True):
-            df[int(t), np.unique(_grams(text))] += 1
+        for text, t in zip(docs, toxic, strict=True):
+            df[int(t), np.unique(_grams(b" " + text + b" "))] += 1
         odds = lambda k: np.log((df[k] + 0.5) / (n[k] + 0.5 - df[k]))
         z = (odds(1) - odds(0)) / np.sqrt(1 / (df[1] + 0.5) + 1 / (df[0] + 0.5))
         found = []
-        for words, text, t in zip(docs, joined, toxic, strict=True):
+        for text, t in zip(docs, toxic, strict=True):
             if t:
-                has, at = z[_grams(text)] > LEAST_Z, 0
-                for w in words:
+                has, at = z[_grams(b" " + text + b" ")] > LEAST_Z, 0
+                for w in text.split():
                     if has[at : max(at + 1, at + len(w) + 3 - GRAM)].any():
                         found.append(b" " + w + b" ")
                     at += len(w) + 1
-        plain = [x for words, t in zip(docs, toxic, strict=True) if not t for x in windows_of(words)]
-        plain = plain[:: max(1, math.ceil(len(plain) / ORDINARY_WINDOWS))]
+        step = max(1, math.ceil(sum(text.count(b" ") // WINDOW + 1 for text, t in zip(docs, toxic, strict=True) if not t) / ORDINARY_WINDOWS))
+        plain = list(itertools.islice((x for text, t in zip(docs, toxic, strict=True) if not t for x in windows_of(text.split())), 0, None, step))
         coders = cls(_dictionary(plain, ORDINARY_BYTES, 256), _dictionary([b"".join(found[i : i + 6]) for i in range(0, len(found), 6)], TOXIC_BYTES, 64))
         for _ in range(HARD_ROUNDS):
             hard = [x for x, n in zip(plain, coders.saved(plain), strict=True) if n >= 2]
@@ -133,12 +134,12 @@ class Coders:
 class Model:
     """The coders and a logistic curve over their features."""
 
-    def __init__(self, docs: list[list[bytes]], toxic: np.ndarray, weight: np.ndarray):
+    def __init__(self, docs: list[bytes], toxic: np.ndarray, weight: np.ndarray):
         fold = np.arange(len(docs)) % 2 == 0
         x = np.empty((len(docs), 3))
         for part in (fold, ~fold):
             coders = Coders.trained([d for d, p in zip(docs, part, strict=True) if p], toxic[part])
-            x[~part] = [coders.features(d) for d, p in zip(docs, part, strict=True) if not p]
+            x[~part] = [coders.features(d.split()) for d, p in zip(docs, part, strict=True) if not p]
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
         a = np.column_stack([(x - self.mean) / self.scale, np.ones(len(x))])
         self.w, y = np.zeros(4), toxic.astype(float)
@@ -175,7 +176,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return None
     counts = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     weight = np.where(toxic, counts[1] / toxic.sum(), counts[0] / (~toxic).sum())
-    return Model([words_of(r["text"]) for r in rows], toxic, weight / weight.mean())
+    texts = [b" ".join(words_of(r["text"])) for r in rows]
+    del rows
+    return Model(texts, toxic, weight / weight.mean())
 
 
 def zlib_order(key: object) -> int:
