@@ -14,7 +14,7 @@ component_id is null); an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -112,10 +112,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", most_broadcast: int = 100_000) -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", most_broadcast: int = 100_000, grouped: Callable[..., DataFrame] = near_duplicates, printed: Callable[..., DataFrame] = fingerprints) -> DataFrame:
     """The rows of docs whose id names their group, one for each group. Rows without id stay only where no row of their group has one:
-    one for each fingerprint."""
-    groups = stored(near_duplicates(docs, key, text), "groups")
+    one for each fingerprint. grouped and printed: what finds groups, and the fingerprints of rows without id."""
+    groups = stored(grouped(docs, key, text), "groups")
     gone = groups.where("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
     # Without a match the row stays; those without id are dealt with below.
     named = docs.where(F.col(key).isNotNull())
@@ -132,7 +132,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", most_b
     if alone.limit(1).count():
         nameless = docs.where(F.col(key).isNull()).withColumn("__bw_id", F.monotonically_increasing_id())
         marked = stored(nameless, "nameless")
-        prints = fingerprints(marked, "__bw_id", text).withColumnsRenamed({"doc_id": "__bw_row"})
+        prints = printed(marked, "__bw_id", text).select("doc_id", "fp").withColumnsRenamed({"doc_id": "__bw_row"})
         firsts = prints.join(alone, F.col("fp") == F.col("__bw_fp")).groupBy("fp").agg(F.min("__bw_row").alias("__bw_row")).select("__bw_row")
         kept = kept.unionByName(marked.join(firsts, F.col("__bw_id") == F.col("__bw_row"), "left_semi").drop("__bw_id"))
     return kept
