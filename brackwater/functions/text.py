@@ -39,9 +39,10 @@ def subtokens(name: Column) -> Column:
     return F.filter(F.split(F.lower(spaced), " +"), lambda t: F.length(t) >= 2)
 
 
-def identifiers(text: Column, most: int = BODY_TOKENS) -> Column:
-    """The first identifiers of three characters at least, lower-cased, repeats included."""
-    return F.slice(F.transform(F.regexp_extract_all(text, F.lit(r"[A-Za-z_][A-Za-z0-9_]{2,}"), F.lit(0)), F.lower), 1, most)
+def identifiers(text: Column, most: int | None = BODY_TOKENS) -> Column:
+    """The first identifiers of three characters at least, lower-cased, repeats included; all of them if most is None."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"[A-Za-z_][A-Za-z0-9_]{2,}"), F.lit(0)), F.lower)
+    return found if most is None else F.slice(found, 1, most)
 
 
 def seeds(title: Column, body: Column) -> Column:

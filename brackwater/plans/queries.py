@@ -481,8 +481,9 @@ def learn_weights(spark, sf_dir):
     """Weights of content, history and neighbourhood, learnt from the quality labels; no SQL can fit them."""
     from brackwater.operators.learn import learn_weights as fit
 
-    docs = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
-    examples = docs.select("quality", F.log1p(F.length("text")).alias("content"), F.size(fn.identifiers(F.col("text"))).cast("double").alias("history"), (F.length("text") - F.length(F.translate("text", "|#$%&*", ""))).cast("double").alias("ppr"))
+    # Texts are measured before the join, so that only numbers are shuffled.
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.log1p(F.length("text")).alias("content"), F.size(fn.identifiers(F.col("text"), None)).cast("double").alias("history"), (F.length("text") - F.length(F.translate("text", "|#$%&*", ""))).cast("double").alias("ppr"))
+    examples = docs.join(read(spark, sf_dir, "labels"), "doc_id").select("quality", "content", "history", "ppr")
     found = fit(examples, ["content", "history", "ppr"], "quality", {"history": 0.6, "ppr": 0.45}, "content")
     return spark.createDataFrame(sorted(found.items()), "feature string, weight double")
 
