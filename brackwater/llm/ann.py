@@ -1,14 +1,14 @@
 """Nearest neighbours by score-aware anisotropic quantisation, four-bit table scans and exact reranking.
 
-Smallest Euclidean distance becomes greatest inner product by one more coordinate: <(q, 1), (x, -|x|^2 / 2)>. A product quantiser with
-16 codewords for each pair of coordinates is fitted to a bounded sample. Its loss weighs the part of a residual that is
-parallel to its vector above the rest, for that part is what changes great inner products; codes and codewords take turns in
-minimising it. Every vector is coded. A query's table has its inner products with all codewords, and a scan adds up one entry for
-each four-bit code. In each batch the best SHORTLIST vectors by scan, and all that tie with the last of them, are measured exactly, in double precision.
+Smallest Euclidean distance is greatest <q, x> - |x|^2 / 2. A product quantiser with 16 codewords for each pair of coordinates is fitted to a bounded
+sample. Its loss weighs the part of a residual that is parallel to its vector above the rest, for that part is what changes great
+inner products; codes and codewords take turns in minimising it. Every vector is coded, and |x|^2 / 2 is kept as it is. A query's table has its
+inner products with all codewords, and a scan adds up one entry for each four-bit code. In each batch of SCAN_ROWS vectors the best of a query by
+scan (one in SHORT, and LEAST_SHORT at least) and all that tie with the last of them are measured exactly, in double precision.
 
-The query set is stated, so all queries meet all vectors, in blocks: vectors are dealt to as many groups as their number asks for, queries
-to blocks of QUERY_BLOCK, and a task streams one group past one block, keeping the k nearest of each query. Each query's
-k nearest of each group then give its k nearest of all.
+The query set is stated, so all queries meet all vectors, in blocks: a block of QUERY_BLOCK queries (a few MB) goes to all tasks, which read the
+index where it lies, code by code, and keep the k nearest of each query; vectors are never copied or shuffled. Each query's k nearest of each task then
+give its k nearest of all. Each block is written before the next one starts.
 
 Defined cases: vectors null, zero, or with null or non-finite components take no part, nor do those whose number of components is
 not the most common one (ties: the smaller); ties in distance go to the smaller vec_id; a row whose vec_id equals the query's is no
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,24 +36,23 @@ CODEWORDS = 16
 #: How much more the parallel part of a residual counts.
 PARALLEL = 4.0
 ROUNDS = 8
-SHORTLIST = 160
-QUERY_BLOCK = 1024
-#: Vectors in a group on average, and groups there are at least.
-GROUP_ROWS, LEAST_GROUPS = 32_768, 24
+SHORT, LEAST_SHORT = 64, 48
+QUERY_BLOCK = 8192
 #: Vectors scanned at once, and queries.
-SCAN_ROWS, SCAN_QUERIES = 8192, 64
+SCAN_ROWS, SCAN_QUERIES = 4096, 64
+#: Parts of the index: one for each SCAN_ROWS vectors, up to so many; then parts grow.
+MOST_PARTS = 512
 
 
-def lifted(x: np.ndarray) -> np.ndarray:
-    """With -|x|^2 / 2 as one more coordinate, filled up to pairs."""
+def paired(x: np.ndarray) -> np.ndarray:
+    """rows x pairs x 2, filled up with zeros."""
     x = x.astype(np.float64)
-    y = np.concatenate([x, -0.5 * (x * x).sum(axis=1, keepdims=True)], axis=1)
-    return np.pad(y, ((0, 0), (0, y.shape[1] % 2)))
+    return np.pad(x, ((0, 0), (0, x.shape[1] % 2))).reshape(len(x), -1, 2)
 
 
 class Quantiser:
     def __init__(self, sample: np.ndarray, parallel: float = PARALLEL, rounds: int = ROUNDS, seed: int = 1):
-        pairs = lifted(sample).reshape(len(sample), -1, 2)
+        pairs = paired(sample)
         rng = np.random.default_rng(seed)
         self.parallel, m = parallel, pairs.shape[1]
         self.words = np.stack([pairs[rng.choice(len(pairs), CODEWORDS, replace=len(pairs) < CODEWORDS), k] for k in range(m)]) + rng.normal(0, 1e-9, (m, CODEWORDS, 2))
@@ -103,14 +103,11 @@ class Quantiser:
 
     def code(self, x: np.ndarray) -> np.ndarray:
         """Four-bit codes, one for each pair of coordinates."""
-        pairs = lifted(x).reshape(len(x), -1, 2)
-        return self._code(pairs, None).astype(np.uint8)
+        return self._code(paired(x), None).astype(np.uint8)
 
     def tables(self, queries: np.ndarray) -> np.ndarray:
-        """queries x pairs x 16: inner products of (q, 1) with the codewords."""
-        q = np.concatenate([queries.astype(np.float64), np.ones((len(queries), 1))], axis=1)
-        q = np.pad(q, ((0, 0), (0, q.shape[1] % 2))).reshape(len(q), -1, 2)
-        return np.einsum("qkd,kcd->qkc", q, self.words).astype(np.float32)
+        """queries x pairs x 16: inner products with the codewords."""
+        return np.einsum("qkd,kcd->qkc", paired(queries), self.words).astype(np.float32)
 
 
 def packed(codes: np.ndarray) -> np.ndarray:
@@ -133,24 +130,15 @@ def scan(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
 class Nearest:
     """The k nearest so far of a block of queries."""
 
-    def __init__(self, quantiser: Quantiser, k: int, shortlist: int):
-        self.quantiser, self.k, self.shortlist = quantiser, k, shortlist
-        self.ids, self.vectors, self.best, self.tables = [], None, [], None
-
-    def ask(self, ids: list[int], vectors: list[np.ndarray]) -> None:
-        self.ids += ids
-        self.vectors = np.concatenate([*([self.vectors] if self.vectors is not None else []), np.stack(vectors)])
-        self.best += [(np.empty(0), np.empty(0, np.int64))] * len(ids)
-        self.tables = None
+    def __init__(self, quantiser: Quantiser, ids: np.ndarray, vectors: np.ndarray, k: int, short: int):
+        self.quantiser, self.ids, self.vectors, self.k, self.short = quantiser, ids, vectors, k, short
+        self.best = [(np.empty(0), np.empty(0, np.int64))] * len(ids)
 
     def meet(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray) -> None:
-        if not self.ids:
-            return
-        if self.tables is None:
-            self.tables = self.quantiser.tables(self.vectors)
+        half = (0.5 * (vectors * vectors).sum(axis=1)).astype(np.float32)
+        n = min(len(ids), max(LEAST_SHORT, -(-len(ids) // self.short)))
         for at in range(0, len(self.ids), SCAN_QUERIES):
-            scores = scan(self.tables[at : at + SCAN_QUERIES], codes)
-            n = min(self.shortlist, len(ids))
+            scores = scan(self.quantiser.tables(self.vectors[at : at + SCAN_QUERIES]), codes) - half
             last = np.partition(scores, len(ids) - n, axis=1)[:, len(ids) - n]
             for i, row in enumerate(scores, at):
                 near = np.flatnonzero(row >= last[i - at])
@@ -168,7 +156,7 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return vectors.select(F.col(key).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(sound & F.exists("v", lambda x: x != 0))
 
 
-def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K, shortlist: int = SHORTLIST, sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K, short: int = SHORT, sample: int = SAMPLE, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score (the Euclidean distance) of each query's k nearest among vectors."""
     spark = vectors.sparkSession
     out = "query_id long, vec_id long, score double"
@@ -177,10 +165,9 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
     if lengths is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d, n = lengths["d"], lengths["n"]
-    rows, asked = rows.where(F.size("v") == d), usable(queries, key, vector).where(F.size("v") == d)
+    rows = rows.where(F.size("v") == d)
     fitted = np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()])
     quantiser = spark.sparkContext.broadcast(Quantiser(fitted))
-    groups, blocks = max(LEAST_GROUPS, math.ceil(n / GROUP_ROWS)), max(1, math.ceil(asked.count() / QUERY_BLOCK))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,51 +176,40 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
                 codes = packed(quantiser.value.code(x))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "v", "codes"])
 
-    index = stored(rows.mapInArrow(encode, "vec_id long, v array<double>, codes binary"), "index")
-    deal = lambda h, n: F.pmod(F.xxhash64(F.lit(h), "vec_id"), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.select("vec_id", "v", F.lit(None).cast("binary").alias("codes"), deal(1, blocks).alias("block"), each(groups).alias("group"))
-    right = index.select("vec_id", "v", "codes", deal(2, groups).alias("group"), each(blocks).alias("block"))
-    both = left.select("block", "group", F.lit(0).alias("kind"), "vec_id", "v", "codes").unionByName(right.select("block", "group", F.lit(1).alias("kind"), "vec_id", "v", "codes"))
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, state, held = None, None, []
-
-        def met() -> None:
-            if held:
-                ids, vs, cs = (np.concatenate(x) for x in zip(*held, strict=True))
-                state.meet(ids, vs, cs)
-                held.clear()
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if state:
-                met()
-                found = [(q, v, s) for q, (ss, vs) in zip(state.ids, state.best, strict=True) for s, v in zip(ss.tolist(), vs.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
-
-        for batch in batches:
-            marks = np.stack([batch.column(i).to_numpy() for i in range(3)])
-            starts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(starts, starts[1:]):
-                if a == b:
-                    continue
-                part, at = batch.slice(a, b - a), tuple(marks[:2, a].tolist())
-                if at != here:
-                    yield from done()
-                    here, state = at, Nearest(quantiser.value, k, shortlist)
-                ids, x = part.column(3).to_numpy(), part.column(4).flatten().to_numpy().reshape(-1, d)
-                if marks[2, a] == 0:
-                    state.ask(ids.tolist(), list(x))
-                elif state.ids:
-                    held.append((ids, x, np.frombuffer(b"".join(part.column(5).to_pylist()), np.uint8).reshape(len(ids), -1)))
-                    if sum(len(h[0]) for h in held) >= SCAN_ROWS:
-                        met()
-        yield from done()
-
-    dealt = both.repartition(max(groups * blocks, 1), "block", "group").sortWithinPartitions("block", "group", "kind", "vec_id")
-    found = dealt.mapInArrow(nearest, out)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    parts = min(MOST_PARTS, math.ceil(n / SCAN_ROWS))
+    index = stored(rows.repartition(parts, "vec_id").mapInArrow(encode, "vec_id long, v array<double>, codes binary"), "index")
+    asked = stored(usable(queries, key, vector).where(F.size("v") == d), "queries")
+    blocks = max(1, math.ceil(asked.count() / query_block))
+    found = []
+    for block in range(blocks):
+        mine = asked.where(F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)) == block).collect()  # query_block rows, about
+        mine = sorted((r["vec_id"], r["v"]) for r in mine)
+        held = spark.sparkContext.broadcast((np.array([x for x, _ in mine], np.int64), np.array([v for _, v in mine], np.float64).reshape(-1, d)))
+
+        def nearest(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            state, here, waiting = Nearest(quantiser.value, *held.value, k, short), [], 0
+            for batch in batches:
+                if batch.num_rows:
+                    here.append(batch)
+                    waiting += batch.num_rows
+                while waiting >= SCAN_ROWS:
+                    table = pa.Table.from_batches(here).combine_chunks()
+                    meet(state, table.slice(0, SCAN_ROWS))
+                    here, waiting = table.slice(SCAN_ROWS).to_batches(), waiting - SCAN_ROWS
+            if waiting:
+                meet(state, pa.Table.from_batches(here))
+            near = [(q, v, s) for q, (ss, vs) in zip(state.ids.tolist(), state.best, strict=True) for s, v in zip(ss.tolist(), vs.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in near], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+
+        def meet(state: Nearest, table: pa.Table) -> None:
+            x = table["v"].combine_chunks().flatten().to_numpy().reshape(-1, d)
+            state.meet(table["vec_id"].to_numpy(), x, np.frombuffer(b"".join(table["codes"].to_pylist()), np.uint8).reshape(len(x), -1))
+
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+        best = index.mapInArrow(nearest, out).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found.append(stored(best, "nearest"))
+        held.unpersist()
+    return reduce(DataFrame.unionByName, found)
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

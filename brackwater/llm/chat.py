@@ -15,6 +15,8 @@ and lie on no path; a null tree id is a tree of its own; repeated rows stay (rep
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,16 +49,18 @@ def reply_tree(turns: DataFrame, tree: str = "conv_id", turn: str = "turn") -> D
     return turns.select(tree, "role", "text", F.row_number().over(order).cast("long").alias("node_id")).withColumn("parent_id", F.when(F.col("node_id") > 1, F.col("node_id") - 1)).withColumn("score", F.lit(0.0))
 
 
-def ranked_paths(messages: DataFrame, branches: int = 1, most_rounds: int = 48) -> tuple[DataFrame, DataFrame]:
+def ranked_paths(messages: DataFrame, branches: int = 1) -> tuple[DataFrame, DataFrame]:
     """tree, leaf, branch_rank, path_score of the best leaves of each tree, and tree, leaf, node, depth of each message on their
     paths. messages: tree (string, not null), node, parent (long), score (double)."""
     here = messages.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
     state = messages.join(here, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.coalesce("score", F.lit(0.0)).alias("score"), F.lit(1).cast("long").alias("depth"))
-    jumps = []
-    for k in range(most_rounds):
+    jumps, open_before = [], -1
+    for k in itertools.count():
         state = stored(state, f"jump{k}")
-        if not state.where("up is not null").limit(1).count():
+        still_open = state.where("up is not null").count()
+        if not still_open or still_open == open_before:  # a round that closes none shows that the rest lies on cycles or leads to them
             break
+        open_before = still_open
         jumps.append(state.where("up is not null").select("tree", "node", "up"))
         further = state.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("depth").alias("depth2"))
         moved = state.where("up is not null").join(further, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.col("score2")).alias("score"), (F.col("depth") + F.col("depth2")).alias("depth"))

@@ -8,11 +8,14 @@ none is padded; the last, partial one is cut into lengths that are powers of two
 
 The deficits after r rounds have a closed form, r * credit mod QUANTUM, in whole numbers. So where a quantum lands follows from its
 number and the queues' lengths: partitions carry each other's deficits without waiting for each other. Only a table of each
-partition's tokens in each queue is gathered. There are as many queues as sources, up to MOST_QUEUES; more sources share
-queues by hash.
+partition's tokens in each queue is gathered. There are as many queues as sources, up to MOST_QUEUES; of more sources, those that the targets
+name keep a queue each, and the others share queues by hash.
 
-Defined cases: a null text is empty and has only the end token; a null source is a queue of its own; rows of one id are packed each; an empty
-table gives no rows; other columns are not read.
+Ids are the tokenizer's own, so the strings of its special tokens become their ids.
+
+Defined cases: a null text is empty and has only the end token; a null source is a queue of its own; a text with special tokens is
+tokenized whole; targets that name no source with a positive weight leave each source its own size as weight; rows of one id are packed
+each; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -59,9 +62,7 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(path)
 
 
 def _byte_letters() -> list[str]:
@@ -78,6 +79,8 @@ class WordIds(dict):
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         self.merges, self.letters = self.tokenizer.model.tokenize, _byte_letters()
+        added = sorted({x for t in self.tokenizer.get_added_tokens_decoder().values() for x in (t.content, t.content.lower())})
+        self.special = re.compile("|".join(map(re.escape, added)), re.I) if added else re.compile(r"(?!)")
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHED:
@@ -94,8 +97,11 @@ class WordIds(dict):
         self[word] = ids
         return ids
 
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def ids(self, texts: list[str], end: bytes) -> list[bytes]:
-        return [b"".join([*map(self.__getitem__, (_UNIT if _PLAIN.fullmatch(x) else _WORD).findall(x)), end]) for x in texts]
+        return [self.whole(x) + end if self.special.search(x) else b"".join([*map(self.__getitem__, (_UNIT if _PLAIN.fullmatch(x) else _WORD).findall(x)), end]) for x in texts]
 
 
 def tokenized(docs: DataFrame, key: str, text: str, source: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
@@ -121,7 +127,10 @@ class Layout:
     """Where the tokens of the queues land. lengths: tokens in each queue; weights: of each queue."""
 
     def __init__(self, lengths: list[int], weights: list[float], length: int = LENGTH, quantum: int = QUANTUM):
-        self.n, total = np.array(lengths, np.int64), sum(weights)
+        self.n, weights = np.array(lengths, np.int64), [max(0.0, w) for w in weights]
+        total = sum(weights)
+        if not total:
+            weights, total = lengths, sum(lengths)
         self.w = np.array([max(1, round(w / total * WEIGHT_SUM)) for w in weights], np.int64)
         self.sum, self.length, self.quantum, self.slots = int(self.w.sum()), length, quantum, length // quantum
         all_tokens = int(self.n.sum())
@@ -181,17 +190,23 @@ class Layout:
         return doc[heads], at[heads], np.add.reduceat(n, heads), seq[heads], offset[heads]
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", tokenizer: str | None = None, targets: dict[str | None, float] | None = None, length: int = LENGTH, quantum: int = QUANTUM) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", tokenizer: str | None = None, targets: dict[str | None, float] | None = None, length: int = LENGTH, quantum: int = QUANTUM, most_queues: int = MOST_QUEUES) -> DataFrame:
     """doc_id, start, length, doc_tokens, sequence_id, offset, ids (binary, unsigned 32-bit little-endian) of each piece. targets: the
     weight of each source (one it doesn't name has weight 0 and is served as slowly as can be); without it, sources are weighted by their tokens."""
-    sources = docs.select(source).distinct().limit(MOST_QUEUES + 1).count()
-    queue = F.col(source).cast("string") if sources <= MOST_QUEUES else F.pmod(F.xxhash64(source), F.lit(MOST_QUEUES)).cast("string")
+    sources = docs.select(source).distinct().limit(most_queues + 1).count()
+    own = F.concat(F.lit("s"), F.col(source).cast("string"))  # null stays null
+    if sources > most_queues:
+        named = [x for x in targets or () if x is not None]
+        shared = F.concat(F.lit("h"), F.pmod(F.xxhash64(source), F.lit(most_queues)).cast("string"))
+        own = F.when(F.col(source).isNull() | F.col(source).cast("string").isin(named), own).otherwise(shared)
+    weight_of = {None if x is None else f"s{x}": w for x, w in (targets or {}).items()}
+    queue = own
     tokens = stored(tokenized(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), queue.alias("queue")), "doc_id", "text", "queue", tokenizer or default_tokenizer()), "tokens")
     sums = tokens.groupBy("queue", "part").agg(F.sum("doc_tokens").alias("n"))
     starts = stored(sums.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), "starts")
-    queues = {r["queue"]: r["n"] for r in starts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # MOST_QUEUES rows at most
+    queues = {r["queue"]: r["n"] for r in starts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # most_queues rows, and one for each named target
     names = sorted(queues, key=lambda x: (x is None, x))
-    layout = Layout([queues[x] for x in names], [targets.get(x, 0) if targets else queues[x] for x in names], length, quantum) if names else None
+    layout = Layout([queues[x] for x in names], [weight_of.get(x, 0) if targets else queues[x] for x in names], length, quantum) if names else None
     index = {x: i for i, x in enumerate(names)}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,11 +1,14 @@
 """Quality rules with adaptive thresholds, in DataFrame operations only.
 
-Four rates of each document (long, per thousand) are held against fences that follow the data: for each language and source,
-a mergeable quantile sketch of each rate gives the quartiles, and a document is rejected if it lies beyond
-q75 + SPREAD * (q75 - q25) + SLACK, or, for the length of words, as far below q25. The sketch is a histogram whose buckets
-keep the six leading bits of a value (a relative error of 1/32 at most), so sketches merge by adding counts: those of the
-sources of a language give the language's, and those the corpus'. A group of fewer than LEAST documents takes its language's
-fences, and a language of fewer the corpus'. All documents count. The fences are joined back to the documents.
+Four rates of each document (long, per thousand) are held against fences that follow the data: for each language and source, a mergeable
+sketch of each rate gives a lower and an upper quantile, and a document is rejected if a rate lies beyond upper + spread * (upper - lower), or,
+for the length of words, below lower - spread * (upper - lower). RULES has the levels and spreads; no value of a rate is fixed anywhere. Symbols: what
+15 % of a group may have by itself, and four times its distance from the median besides. Repeats of lines and of 5-word windows, which most documents
+have none of: the tail of the group, beyond its 99.5 % quantile. Word length: four times the distance of the quartiles beyond them.
+
+The sketch is a histogram whose buckets keep the six leading bits of a value (a relative error of 1/32 at most; values are compared by bucket), so sketches
+merge by adding counts: those of the sources of a language give the language's, and those the corpus'. A group of fewer than LEAST documents takes
+its language's fences, and a language of fewer the corpus'. All documents count. Texts are measured once: the measured rows are stored, and the fences are joined to them.
 
 Base rules hold in every group: under 10 words, or over a fifth of the words in repeated 5-word windows, fails.
 
@@ -16,7 +19,7 @@ Windows are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,18 +27,17 @@ from brackwater.llm.common import WORD_SPACES, lookup_join, read, settled, store
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
-SPREAD = 4
-#: How far beyond the fence of a group without any spread a rate may lie, per thousand.
-SLACK = {"symbol_rate": 30, "dup_line_rate": 400, "repeat_rate": 200, "word_length": 1500}
+#: Of each rate: levels of the lower and the upper quantile, per thousand, and the spread.
+RULES = {"symbol_rate": (500, 850, 4), "dup_line_rate": (500, 995, 0), "repeat_rate": (500, 995, 0), "word_length": (250, 750, 4)}
 LEAST = 200
 
 
-def quality_stats(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """row (docs' columns as a struct), lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and the four rates."""
+def quality_stats(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: list[str] | None = None) -> DataFrame:
+    """row (docs' columns, or those of `keep`, as a struct), lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and the four rates."""
     space, rest = WORD_SPACES[0], WORD_SPACES[1:]
     words = F.filter(F.split(F.translate("text", rest, space * len(rest)), space), lambda w: w != "")
     lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, WORD_SPACES, "") != "")
-    df = docs.select(F.struct(*docs.columns).alias("row"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    df = docs.select(F.struct(*(keep or docs.columns)).alias("row"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     df = df.select(
         "row", "lang", "source", settled(words).alias("words"), settled(lines).alias("lines"),
         F.length(F.translate("text", WORD_SPACES, "")).cast("long").alias("word_chars"),
@@ -61,47 +63,51 @@ def quality_stats(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     )
 
 
+def bucket_of(v: str) -> Column:
+    return F.expr(f"CASE WHEN {v} < 64 THEN {v} ELSE shiftleft(shiftright({v}, length(bin({v})) - 6), length(bin({v})) - 6) END")
+
+
 def sketches(stats: DataFrame) -> DataFrame:
     """lang, source, rate, bucket, n: mergeable by adding n."""
-    rates = F.explode(F.array(*[F.struct(F.lit(k).alias("rate"), F.col(k).alias("v")) for k in SLACK])).alias("e")
-    bucket = F.expr("CASE WHEN e.v < 64 THEN e.v ELSE shiftleft(shiftright(e.v, length(bin(e.v)) - 6), length(bin(e.v)) - 6) END")
-    return stats.select("lang", "source", rates).select("lang", "source", F.col("e.rate").alias("rate"), bucket.alias("bucket")).groupBy("lang", "source", "rate", "bucket").agg(F.count("*").alias("n"))
+    rates = F.explode(F.array(*[F.struct(F.lit(k).alias("rate"), F.col(k).alias("v")) for k in RULES])).alias("e")
+    return stats.select("lang", "source", rates).select("lang", "source", F.col("e.rate").alias("rate"), bucket_of("e.v").alias("bucket")).groupBy("lang", "source", "rate", "bucket").agg(F.count("*").alias("n"))
 
 
 def fences(counts: DataFrame) -> DataFrame:
     """lang, source and, for each rate, low_ and high_: one row for each language and source."""
+    of = lambda i: F.create_map(*[F.lit(x) for k, rule in RULES.items() for x in (k, rule[i])])[F.col("rate")]
 
-    def quartiles(group: list[str], level: str) -> DataFrame:
+    def quantiles(group: list[str], level: str) -> DataFrame:
         merged = counts.groupBy(*group, "rate", "bucket").agg(F.sum("n").alias("n"))
         up_to = merged.withColumn("upto", F.sum("n").over(Window.partitionBy(*group, "rate").orderBy("bucket"))).withColumn("total", F.sum("n").over(Window.partitionBy(*group, "rate")))
-        found = up_to.groupBy(*group, "rate").agg(F.min(F.when(F.expr("4 * upto >= total"), F.col("bucket"))).alias("q25"), F.min(F.when(F.expr("4 * upto >= 3 * total"), F.col("bucket"))).alias("q75"), F.first("total").alias("docs"))
-        spread, slack = F.lit(SPREAD) * (F.col("q75") - F.col("q25")), F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv])[F.col("rate")]
-        found = found.select(*group, "docs", "rate", (F.col("q25") - spread - slack).alias("low"), (F.col("q75") + spread + slack).alias("high"))
+        at = lambda i: F.min(F.when(1000 * F.col("upto") >= of(i) * F.col("total"), F.col("bucket")))
+        found = up_to.groupBy(*group, "rate").agg(at(0).alias("lower"), at(1).alias("upper"), F.first("total").alias("docs"))
+        spread = of(2) * (F.col("upper") - F.col("lower"))
+        found = found.select(*group, "docs", "rate", (F.col("lower") - spread).alias("low"), (F.col("upper") + spread).alias("high"))
         pick = lambda k, c: F.max(F.when(F.col("rate") == k, F.col(c)))
-        return found.groupBy(*group).agg(F.struct(F.max("docs").alias("docs"), *[pick(k, c).alias(f"{c}_{k}") for k in SLACK for c in ("low", "high")]).alias(level))
+        return found.groupBy(*group).agg(F.struct(F.max("docs").alias("docs"), *[pick(k, c).alias(f"{c}_{k}") for k in RULES for c in ("low", "high")]).alias(level))
 
-    own, lang, corpus = quartiles(["lang", "source"], "own"), quartiles(["lang"], "of_lang").withColumnRenamed("lang", "lang2"), quartiles([], "of_all")
+    own, lang, corpus = quantiles(["lang", "source"], "own"), quantiles(["lang"], "of_lang").withColumnRenamed("lang", "lang2"), quantiles([], "of_all")
     chosen = F.when(F.col("own.docs") >= LEAST, F.col("own")).when(F.col("of_lang.docs") >= LEAST, F.col("of_lang")).otherwise(F.col("of_all"))
     both = own.join(lang, F.col("lang").eqNullSafe(F.col("lang2"))).join(F.broadcast(corpus))  # the corpus has one row
     return both.select("lang", "source", chosen.alias("f")).select("lang", "source", "f.*").drop("docs")
 
 
-def quality_verdicts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def quality_verdicts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: list[str] | None = None) -> DataFrame:
     """quality_stats() with kept: false if the base rules or a fence reject the document."""
-    stats = quality_stats(docs, text, lang, source)
+    stats = stored(quality_stats(docs, text, lang, source, keep), "measured")
     counts = stored(sketches(stats), "sketches")
     limits = stored(fences(counts), "fences")
     joined = lookup_join(stats, limits, ["lang", "source"], limits.count())
-    beyond = F.lit(False)
-    for k in SLACK:
-        beyond = beyond | (F.col(k) > F.col(f"high_{k}"))
-    beyond = beyond | (F.col("word_length") < F.col("low_word_length"))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~beyond).drop(*[f"{c}_{k}" for k in SLACK for c in ("low", "high")])
+    beyond = bucket_of("word_length") < F.col("low_word_length")
+    for k in RULES:
+        beyond = beyond | (bucket_of(k) > F.col(f"high_{k}"))
+    return joined.withColumn("kept", ~F.col("base_failed") & ~beyond).drop(*[f"{c}_{k}" for k in RULES for c in ("low", "high")])
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return quality_verdicts(docs).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality_verdicts(docs, keep=["doc_id"]).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 _WORD, _SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
@@ -110,12 +116,13 @@ _WORD, _SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 def sql_ctes(table: str, prefix: str = "q") -> str:
     """DuckDB: common table expressions that end with {prefix}_verdicts (columns of `table`, row number rn, the statistics, kept)."""
     p = prefix
-    quart = lambda g, t: f"""{p}_{t} AS (
-            SELECT {g + ',' if g else ''} rate, max(total) AS docs, min(CASE WHEN 4 * upto >= total THEN bucket END) AS q25, min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) AS q75
+    level = lambda i: "CASE rate " + " ".join(f"WHEN '{k}' THEN {rule[i]}" for k, rule in RULES.items()) + " END"
+    quant = lambda g, t: f"""{p}_{t} AS (
+            SELECT {g + ',' if g else ''} rate, max(total) AS docs, min(CASE WHEN 1000 * upto >= {level(0)} * total THEN bucket END) AS lower, min(CASE WHEN 1000 * upto >= {level(1)} * total THEN bucket END) AS upper
             FROM (SELECT *, sum(n) OVER (PARTITION BY {g + ',' if g else ''} rate ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {g + ',' if g else ''} rate) AS total
                   FROM (SELECT {g + ',' if g else ''} rate, bucket, count(*) AS n FROM {p}_rates GROUP BY {g + ',' if g else ''} rate, bucket))
             GROUP BY {g + ',' if g else ''} rate)"""
-    slack = " ".join(f"WHEN '{k}' THEN {v}" for k, v in SLACK.items())
+    bucket = lambda v: f"(CASE WHEN {v} < 64 THEN {v} ELSE ({v} >> (length(bin({v})) - 6)) << (length(bin({v})) - 6) END)"
     return rf"""
         {p}_docs AS (SELECT row_number() OVER () AS rn, * FROM {table}),
         {p}_words AS (SELECT rn, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM {p}_docs),
@@ -133,17 +140,18 @@ def sql_ctes(table: str, prefix: str = "q") -> str:
                 n_dup_lines * 1000 // greatest(n_lines, 1) AS dup_line_rate, n_repeat_words * 1000 // greatest(n_words, 1) AS repeat_rate, word_chars * 1000 // greatest(n_words, 1) AS word_length
             FROM {p}_stats),
         {p}_rates AS (
-            SELECT lang, source, rate, CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 6)) << (length(bin(v)) - 6) END AS bucket FROM (
-                {' UNION ALL '.join(f"SELECT lang, source, '{k}' AS rate, {k} AS v FROM {p}_measured" for k in SLACK)})),
-        {quart('lang, source', 'own')}, {quart('lang', 'lang')}, {quart('', 'all')},
+            SELECT lang, source, rate, {bucket('v')} AS bucket FROM (
+                {' UNION ALL '.join(f"SELECT lang, source, '{k}' AS rate, {k} AS v FROM {p}_measured" for k in RULES)})),
+        {quant('lang, source', 'own')}, {quant('lang', 'lang')}, {quant('', 'all')},
         {p}_fences AS (
-            SELECT lang, source, rate, q25 - {SPREAD} * (q75 - q25) - slack AS low, q75 + {SPREAD} * (q75 - q25) + slack AS high FROM (
-                SELECT o.lang, o.source, o.rate, CASE o.rate {slack} END AS slack,
-                    CASE WHEN o.docs >= {LEAST} THEN o.q25 WHEN l.docs >= {LEAST} THEN l.q25 ELSE a.q25 END AS q25, CASE WHEN o.docs >= {LEAST} THEN o.q75 WHEN l.docs >= {LEAST} THEN l.q75 ELSE a.q75 END AS q75
+            SELECT lang, source, rate, lower - {level(2)} * (upper - lower) AS low, upper + {level(2)} * (upper - lower) AS high FROM (
+                SELECT o.lang, o.source, o.rate, CASE WHEN o.docs >= {LEAST} THEN o.lower WHEN l.docs >= {LEAST} THEN l.lower ELSE a.lower END AS lower,
+                    CASE WHEN o.docs >= {LEAST} THEN o.upper WHEN l.docs >= {LEAST} THEN l.upper ELSE a.upper END AS upper
                 FROM {p}_own o JOIN {p}_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.rate = l.rate JOIN {p}_all a ON o.rate = a.rate)),
         {p}_verdicts AS (
             SELECT m.*, NOT base_failed AND NOT EXISTS (
-                SELECT 1 FROM {p}_fences f WHERE f.lang IS NOT DISTINCT FROM m.lang AND f.source IS NOT DISTINCT FROM m.source AND ({' OR '.join(f"(f.rate = '{k}' AND m.{k} > f.high)" for k in SLACK)} OR (f.rate = 'word_length' AND m.word_length < f.low))) AS kept
+                SELECT 1 FROM {p}_fences f WHERE f.lang IS NOT DISTINCT FROM m.lang AND f.source IS NOT DISTINCT FROM m.source
+                    AND ({' OR '.join(f"(f.rate = '{k}' AND {bucket('m.' + k)} > f.high)" for k in RULES)} OR (f.rate = 'word_length' AND {bucket('m.word_length')} < f.low))) AS kept
             FROM {p}_measured m)"""
 
 

@@ -1,11 +1,12 @@
 """Two-pass external shuffle.
 
-Pass 1 scatters records into memory-sized buckets by a seeded hash; pass 2 shuffles each bucket (Fisher-Yates) in one task
-and deals its rows to the shards in turn, going on where the bucket before left off. So the row counts of any two shards
-differ by one at most (law `rows`), slots have no gaps, and the order is a uniform permutation of the whole table.
+Pass 1 scatters records into memory-sized buckets by a seeded hash, one shuffle partition for each bucket; pass 2 shuffles each bucket (Fisher-Yates) in one
+task. The buckets, end to end, are a uniform permutation of the whole table, which is cut into shards of equal length: the row counts of any two shards
+differ by one at most (law `rows`) and slots have no gaps. A bucket lies in one shard or in a few neighbouring ones, so write_shards() writes
+each bucket's part from where it was shuffled, without a third pass.
 
 Defined cases: a null text has no bytes; rows of one id stay separate rows; identical rows are interchangeable, and when they
-overfill a bucket they are scattered by a salt instead of by their key; an empty table gives no rows; other columns pass
+overfill a bucket they are scattered by a salt instead of by their key (salted rows are stored, so that counts and rows agree); an empty table gives no rows; other columns pass
 through, but for columns named shard or slot, which are replaced.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brackwater.llm.common import lookup_join, read
+from brackwater.llm.common import lookup_join, read, stored
 
 SHARDS = 16
 SEED = 20_240_607
@@ -54,29 +55,34 @@ def external_shuffle(df: DataFrame, key: str = "doc_id", text: str = "text", sha
         scattered = lookup_join(scattered, hot, ["h"], hot.count()).withColumn(
             "bucket", F.when(F.col("hot"), F.pmod(F.xxhash64("h", F.monotonically_increasing_id()), F.lit(buckets)).cast("long")).otherwise(F.col("bucket"))
         ).drop("hot")
+        scattered = stored(scattered, "scattered")
         sizes = scattered.groupBy("bucket").agg(F.count("*").alias("n")).collect()
     counts = np.zeros(buckets, np.int64)
     for r in sizes:
         counts[r["bucket"]] = r["n"]
     starts = df.sparkSession.sparkContext.broadcast(np.concatenate([[0], np.cumsum(counts)[:-1]]))  # 8 bytes a bucket
+    low, longer = divmod(int(counts.sum()), shards)  # so many shards have a row more than the others
 
     def shuffled(group: tuple, table: pa.Table) -> pa.Table:
         bucket = group[0].as_py()
         table = table.take(pa.compute.sort_indices(table, sort_keys=[("h", "ascending"), ("bytes", "ascending"), ("row_hash", "ascending")]))
         order = _fisher_yates(table.num_rows, seed, bucket)
         place = int(starts.value[bucket]) + np.arange(len(order))
-        return pa.table([table["row"].take(pa.array(order)), pa.array((place % shards).astype(np.int32)), pa.array(place // shards)], names=["row", "shard", "slot"])
+        late = place >= longer * (low + 1)
+        shard = np.where(late, longer + (place - longer * (low + 1)) // max(1, low), place // (low + 1))
+        slot = place - shard * low - np.minimum(shard, longer)
+        return pa.table([table["row"].take(pa.array(order)), pa.array(shard.astype(np.int32)), pa.array(slot)], names=["row", "shard", "slot"])
 
     hashable = [c for c, kind in df.select(*kept).dtypes if "map<" not in kind and "variant" not in kind]
-    out = scattered.withColumn("row_hash", F.xxhash64(*[F.col("row").getField(c) for c in hashable])).groupBy("bucket").applyInArrow(
+    out = scattered.withColumn("row_hash", F.xxhash64(*[F.col("row").getField(c) for c in hashable])).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(
         shuffled, T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
     )
     return out.select("row.*", "shard", "slot")
 
 
 def write_shards(df: DataFrame, path: str) -> None:
-    """Each shard as a folder shard=N of files in slot order; df comes from external_shuffle()."""
-    df.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Each shard as a folder shard=N of files, each in slot order and of slots that no other file lies between; df comes from external_shuffle()."""
+    df.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,19 @@
 """SimHash near-duplicate groups by multi-index hashing.
 
-A fingerprint has 64 bits, in two segments of 32. In each segment the Hamming ball of radius 1 is enumerated: 32 changed
-values and the value itself; the other segment is kept. Two fingerprints differ in two bits or fewer exactly if these
-enumerations share a value, whether their differing bits lie in one segment or in both. So the table lookup is an equality on
-65 enumerated values of each *distinct* fingerprint, and a value's group holds 65 fingerprints at most: a group of thousands
-of near copies never emits its pairs. What a lookup fetches is compared in full with the group's smallest member, and with
-the value between them, before it becomes a link.
+A fingerprint has 64 bits, in two segments of 32. A table holds each segment's value of each *distinct* fingerprint. Two
+fingerprints that differ in two bits or fewer differ in one bit or none in at least one segment, so the Hamming ball of radius 1 around
+each segment value (33 values) is enumerated, its matches are fetched from the table, and all 64 bits are compared.
+
+A segment value that more than CROWD fingerprints share would yield all pairs of a crowd. What could meet there is linked through whole
+values instead: the ball of radius 1 around the whole fingerprint is enumerated (each segment's changes, the other segment held), and two
+fingerprints differ in two bits or fewer exactly if these balls share a value. A value's group holds 65 fingerprints at most, so a crowd of
+thousands of near copies never emits its pairs, and no link is lost.
 
 Defined cases: null and wordless texts have fingerprint zero, and are linked like any other; a text of fewer words than a
 shingle is one shingle; rows of one id each get a row; a null id never names a group unless all its ids are null (then
-component_id is null); an empty table gives no rows; other columns are not read.
+component_id is null); an empty table gives no rows; other columns are not read. one_of_each() decides by row: of each group it keeps
+the row with the smallest id (rows without id come last; then by a hash of the text, then of all columns), so that rows of one id whose texts lie in
+different groups are judged apart, and it keeps all columns as they are.
 """
 
 from __future__ import annotations
@@ -22,12 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brackwater.llm.common import read, stored
+from brackwater.llm.common import lookup_join, read, stored
 
 SHINGLE = 3
 SEED = 42
 #: Hashes whose bits are counted at once.
 BLOCK = 1 << 16
+#: Fingerprints that may share a segment's value before they count as a crowd.
+CROWD = 64
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -44,19 +50,36 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (long): one row for each row of docs."""
+    """doc_id, hash (of the text), fp (long): one row for each row of docs."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(x.as_py(), shingle, seed) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            fps = [fingerprint(x.as_py(), shingle, seed) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=["doc_id", "hash", "fp"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(add, "doc_id long, fp long")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), F.col(text).cast("binary").alias("text")).mapInArrow(add, "doc_id long, hash long, fp long")
 
 
 def near_links(distinct: DataFrame) -> DataFrame:
-    """fp_a, fp_b: links between distinct fingerprints of two differing bits or fewer. Not each pair, but enough of them that what
-    is connected by all pairs is connected by these. distinct: fp (long), each once."""
+    """fp_a, fp_b: links between distinct fingerprints of two differing bits or fewer: each pair, but for those of crowds, of which there are enough
+    that what is connected by all pairs is connected by these. distinct: fp (long), each once."""
+    segments = F.array(F.struct(F.lit(0).alias("seg"), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)).alias("value")), F.struct(F.lit(1).alias("seg"), F.shiftrightunsigned("fp", 32).alias("value")))
+    table = stored(distinct.select("fp", F.explode(segments).alias("e")).select("fp", "e.*"), "segments")
+    busy = stored(table.groupBy("seg", "value").count().where(F.col("count") > CROWD), "busy")
+    n = busy.count()
+    ball = F.explode(F.expr("concat(array(value), transform(sequence(0, 31), b -> value ^ shiftleft(1L, b)))"))
+    probes = table.select("fp", "seg", ball.alias("value"))
+    if n:
+        # Matches at a busy value are left to dense_links(): both sides of such a match have that value in their balls.
+        crowded = stored(lookup_join(probes, busy, ["seg", "value"], n, how="inner").select("fp").distinct(), "crowded")
+        probes, table = (lookup_join(x, busy, ["seg", "value"], n).where("count is null").drop("count") for x in (probes, table))
+    met = probes.join(table.withColumnRenamed("fp", "other"), ["seg", "value"]).where((F.col("fp") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= 2))
+    links = met.select(F.col("fp").alias("fp_a"), F.col("other").alias("fp_b")).distinct()
+    return links.unionByName(dense_links(crowded)) if n else links
+
+
+def dense_links(distinct: DataFrame) -> DataFrame:
+    """fp_a, fp_b: enough links of two differing bits or fewer that what is connected by all pairs is connected by these, through whole values."""
     bits = F.sequence(F.lit(-1), F.lit(63))
     one = F.expr("shiftleft(1L, greatest(bit, 0))")
     probes = distinct.select("fp", F.explode(bits).alias("bit")).select(
@@ -94,16 +117,20 @@ def components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node").unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def roots(each: DataFrame) -> DataFrame:
+    """fp, root (a fingerprint, one for each group) of each distinct fingerprint."""
+    distinct = stored(each.select("fp").distinct(), "distinct")
+    near = components(near_links(distinct), "fp_a", "fp_b").withColumnRenamed("node", "fp")
+    return distinct.join(near, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id, fp (long), component_id: the smallest doc_id reachable by links of two differing bits or fewer."""
     fps = stored(fingerprints(docs, key, text, shingle, seed), "fingerprints")
-    firsts = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
-    near = components(near_links(firsts.select("fp")), "fp_a", "fp_b").withColumnRenamed("node", "fp")
-    # The linked fingerprints' groups by their smallest doc_id; all others are groups of their own.
-    linked = near.join(firsts, "fp")
-    roots = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = firsts.join(linked.join(roots, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    named = stored(named, "named")  # so that both sides of the last join are read from files, and Spark can split a fingerprint that many copies share
+    found = stored(roots(fps), "roots")
+    firsts = fps.groupBy("fp").agg(F.min("doc_id").alias("first")).join(found, "fp")
+    least = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = stored(found.join(least, "root").select("fp", "component_id"), "named")  # so that both sides of the last join are read from files, and Spark can split a fingerprint that many copies share
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -112,27 +139,25 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", most_broadcast: int = 100_000, grouped: Callable[..., DataFrame] = near_duplicates, printed: Callable[..., DataFrame] = fingerprints) -> DataFrame:
-    """The rows of docs whose id names their group, one for each group. Rows without id stay only where no row of their group has one:
-    one for each fingerprint. grouped and printed: what finds groups, and the fingerprints of rows without id."""
-    groups = stored(grouped(docs, key, text), "groups")
-    gone = groups.where("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
-    # Without a match the row stays; those without id are dealt with below.
-    named = docs.where(F.col(key).isNotNull())
-    key_of = F.col(key).cast("long")
-    gone = stored(gone, "gone").withColumnRenamed("doc_id", "__bw_gone")
-    few = gone.count() <= most_broadcast
-    kept = named.join(F.broadcast(gone) if few else gone, key_of == F.col("__bw_gone"), "left_anti")
-    again = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__bw_again"))
-    if again.limit(1).count():
-        again = stored(again, "again")
-        twice = kept.join(again, key_of == F.col("__bw_again"), "left_semi").dropDuplicates([key])
-        kept = kept.join(again, key_of == F.col("__bw_again"), "left_anti").unionByName(twice)
-    alone = groups.where("component_id IS NULL").select(F.col("fp").alias("__bw_fp")).distinct()
-    if alone.limit(1).count():
-        nameless = docs.where(F.col(key).isNull()).withColumn("__bw_id", F.monotonically_increasing_id())
-        marked = stored(nameless, "nameless")
-        prints = printed(marked, "__bw_id", text).select("doc_id", "fp").withColumnsRenamed({"doc_id": "__bw_row"})
-        firsts = prints.join(alone, F.col("fp") == F.col("__bw_fp")).groupBy("fp").agg(F.min("__bw_row").alias("__bw_row")).select("__bw_row")
-        kept = kept.unionByName(marked.join(firsts, F.col("__bw_id") == F.col("__bw_row"), "left_semi").drop("__bw_id"))
-    return kept
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", most_broadcast: int = 100_000, printed: Callable[..., DataFrame] = fingerprints, grouped: Callable[[DataFrame], DataFrame] = roots) -> DataFrame:
+    """One row of docs for each group. printed gives doc_id, hash and fp of each row, grouped the root of each fp."""
+    prints = stored(printed(docs, key, text), "prints")
+    found = stored(grouped(prints), "roots")
+    each = stored(prints.groupBy("fp", "doc_id", "hash").agg(F.count("*").alias("n")), "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "hash")
+    firsts = each.groupBy("fp").agg(F.min(order).alias("first")).join(found, "fp")
+    kept_one = firsts.groupBy("root").agg(F.min("first").alias("first"))
+    named = stored(found.join(kept_one, "root").select("fp", "first"), "named")
+    judged = each.join(named, "fp").select("doc_id", "hash", "n", (order == F.col("first")).alias("stays"))
+    rows = docs.withColumn("__bw_hash", F.xxhash64(text))
+    same = F.col(key).cast("long").eqNullSafe(F.col("__bw_gone_id")) & (F.col("__bw_hash") == F.col("__bw_gone_hash"))
+    mark = lambda df: df.select(F.col("doc_id").alias("__bw_gone_id"), F.col("hash").alias("__bw_gone_hash"))
+    gone = stored(mark(judged.where("not stays")).distinct(), "gone")
+    kept = rows.join(F.broadcast(gone) if gone.count() <= most_broadcast else gone, same, "left_anti")
+    again = stored(mark(judged.where("stays and n > 1")), "again")
+    if again.limit(1).count():  # the row that stays is there more than once
+        hashable = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+        twice = kept.join(again, same, "left_semi").select(F.col(key).alias("__bw_key"), "__bw_hash", F.struct(*docs.columns).alias("__bw_row"), F.xxhash64(*hashable).alias("__bw_order"))
+        one = twice.groupBy("__bw_key", "__bw_hash").agg(F.min_by("__bw_row", "__bw_order").alias("r")).select("r.*")
+        kept = kept.join(again, same, "left_anti").drop("__bw_hash").unionByName(one)
+    return kept.select(*docs.columns)

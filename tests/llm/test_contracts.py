@@ -9,6 +9,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +64,16 @@ def test_quality_fences_follow_their_group(spark):
     assert sum(not r["kept"] for r in got if r["source"] == "plain") == 1
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
+def test_quality_fences_differ_between_groups(spark):
+    stats = quality.quality_stats(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), keep=["doc_id"])
+    found = quality.fences(common.stored(quality.sketches(stats), "sketches")).collect()
+    for k in ("dup_line_rate", "repeat_rate", "word_length"):  # of symbols, ordinary groups have none
+        assert len({r[f"high_{k}"] for r in found}) > 3, k
+    marked = spark.createDataFrame([("en", s, k, b, n) for s, b in (("plain", 0), ("marked", 96)) for k in quality.RULES for b, n in ((b, 250), (b * 2, 50))], "lang string, source string, rate string, bucket long, n long")
+    assert {r["source"]: r["high_symbol_rate"] for r in quality.fences(marked).collect()} == {"plain": 0, "marked": 96}
+
+
 def test_sketches_merge(docs):
     stats = quality.quality_stats(docs)
     whole = quality.sketches(stats)
@@ -88,6 +99,21 @@ def test_neighbours_match_brute_force(spark):
     assert ann.search(df.where("vec_id < 3"), asked).where("query_id = 0").count() == 2
 
 
+def test_recall_where_the_quantiser_decides(spark):
+    rng = np.random.default_rng(11)
+    n, d = 32_768, 64
+    x = (rng.normal(size=(n, d)) * rng.lognormal(0, 0.5, size=(n, 1))).astype("float32")  # of varied length
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+    got = ann.search(df, df.where("vec_id % 400 = 0"), query_block=50).collect()
+    y, hits, asked = x.astype(float), 0, range(0, n, 400)
+    found = {q: {r["vec_id"] for r in got if r["query_id"] == q} for q in asked}
+    for q in asked:
+        apart = ((y - y[q]) ** 2).sum(axis=1)
+        apart[q] = np.inf
+        hits += len(found[q] & set(np.argsort(apart, kind="stable")[:10].tolist()))
+    assert ann.SCAN_ROWS // ann.SHORT <= 0.02 * ann.SCAN_ROWS and hits / (10 * len(asked)) >= 0.9
+
+
 def test_quantiser_prefers_small_parallel_error():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 16))
@@ -95,7 +121,7 @@ def test_quantiser_prefers_small_parallel_error():
     along = []
     for weight in (1.0, ann.PARALLEL):
         q = ann.Quantiser(x, parallel=weight)
-        p = ann.lifted(x).reshape(len(x), -1, 2)
+        p = ann.paired(x)
         codes = q.code(x)
         made = np.stack([q.words[k][codes[:, k]] for k in range(p.shape[1])], axis=1)
         flat = p.reshape(len(x), -1)
@@ -138,6 +164,8 @@ def test_reply_trees_enumerate_ranked_paths(spark):
     df = spark.createDataFrame(rows, "tree string, node long, parent long, score double")
     chosen, paths = chat.ranked_paths(df, branches=2)
     assert sorted((r["tree"], r["branch_rank"], r["leaf"], r["path_score"]) for r in chosen.collect()) == [("t", 1, 5, 11.0), ("t", 2, 6, 11.0), ("u", 1, 1, 0.0)]
+    longer = spark.createDataFrame([("w", i, i - 1 if i else None, 0.0) for i in range(200)] + [("c", i, (i + 1) % 50, 0.0) for i in range(50)], "tree string, node long, parent long, score double")
+    assert chat.ranked_paths(longer)[1].groupBy("tree").count().collect() == [("w", 200)]
     assert sorted((r["leaf"], r["depth"], r["node"]) for r in paths.where("tree = 't'").collect()) == [(5, 1, 1), (5, 2, 3), (5, 3, 5), (6, 1, 1), (6, 2, 3), (6, 3, 6)]
 
 
@@ -215,6 +243,17 @@ def test_shuffle_is_a_gapless_permutation(docs, empty, spark):
     assert len(spread) == 1798 and len({(r["shard"], r["slot"]) for r in spread}) == 1798
 
 
+def test_shards_are_written_in_slot_order(spark, docs, tmp_path):
+    out = sharding.external_shuffle(docs.unionByName(docs).unionByName(docs), shards=5, bucket_bytes=2000)
+    out = common.stored(out, "shuffled")
+    sharding.write_shards(out, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted((r["shard"], r["slot"], str(r["doc_id"])) for r in back.collect()) == sorted((r["shard"], r["slot"], str(r["doc_id"])) for r in out.collect())
+    for f in (tmp_path / "shards").rglob("*.parquet"):
+        slots = [r["slot"] for r in spark.read.parquet(str(f)).select("slot").collect()]
+        assert slots == sorted(slots)
+
+
 def test_raking_meets_targets_and_lots_are_fixed(docs, empty, spark):
     rng = np.random.default_rng(2)
     rows = [(i, "w " * int(rng.integers(1, 300)), f"s{i % 3}", ["en", "de"][int(rng.random() < 0.2)], "t") for i in range(3000)]
@@ -263,6 +302,15 @@ def test_simhash_groups(docs, empty, spark):
     assert named == sorted({c for _, _, c in got if c is not None}) and stay[0].asDict().keys() == docs.first().asDict().keys()
 
 
+def test_one_of_each_decides_by_row(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(0, b, 1), (1, a, 2), (1, b, 3), (1, a, 2), (None, a, 4), (None, "alone " * 9, 5), (None, "alone " * 9, 5), (7, "alone " * 8, 6), (8, None, 7), (9, "", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, hash int")
+    for stay in (simhash.one_of_each(df), corpus_pipeline.drop_near_duplicates(spark, df, "")):
+        got = [(r["doc_id"], r["text"]) for r in stay.collect()]
+        assert stay.columns == df.columns and sorted(got, key=str) == sorted([(0, b), (1, a), (7, "alone " * 8), (8, None)], key=str)
+
+
 def test_simhash_fingerprint_by_definition():
     import xxhash
 
@@ -272,7 +320,9 @@ def test_simhash_fingerprint_by_definition():
         assert simhash.fingerprint(t.encode()) & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def test_links_lose_nothing(spark):
+@pytest.mark.parametrize(("way", "crowd"), [("near_links", 64), ("near_links", 2), ("dense_links", 64)])
+def test_links_lose_nothing(spark, monkeypatch, way, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
     rng = np.random.default_rng(5)
     base = [int(x) for x in rng.integers(-(2**62), 2**62, 6)]
     fps = set(base)
@@ -281,7 +331,7 @@ def test_links_lose_nothing(spark):
             for bit in rng.choice(64, int(rng.integers(1, 3)), replace=False):
                 b ^= 1 << int(bit) if bit < 63 else -(1 << 63)
             fps.add(b)
-    links = simhash.near_links(spark.createDataFrame([(x,) for x in fps], "fp long"))
+    links = getattr(simhash, way)(spark.createDataFrame([(x,) for x in fps], "fp long"))
     found = {r["node"]: r["root"] for r in simhash.components(links, "fp_a", "fp_b").collect()}
     rows = [(x, None) for x in sorted(fps)]
     u = [x & (1 << 64) - 1 for x, _ in rows]
@@ -304,7 +354,7 @@ def test_packing_cuts_every_document_exactly(docs, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
+    assert 49407 in t.encode(TEXTS[-1], add_special_tokens=False).ids
     pieces = packing.pack(docs)
     rows = pieces.collect()
     want = Counter(tuple([*t.encode(x[1] or "", add_special_tokens=False).ids, 2]) for x in ROWS)
@@ -323,6 +373,19 @@ def test_packing_cuts_every_document_exactly(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_fills_windows_to_targets(spark):
+    rows = [(i, "alpha beta gamma delta " * 40, ["a", "b", None, "c", "d"][i % 5], "x") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, length string")
+    total = packing.pack(df).agg(F.sum("length")).first()[0]
+    for targets, queues in (({"a": 3, "b": 1}, 4096), ({"a": 3, "b": 1}, 2), ({"none": 1.0}, 4096), ({"a": 0, "b": 0.0}, 4096), ({"a": -1.0, "b": 2.0}, 3)):
+        pieces = packing.pack(df, targets=targets, length=1024, quantum=64, most_queues=queues)
+        held = pieces.join(df.select("doc_id", "source"), "doc_id").where("sequence_id < 12").groupBy("source").agg(F.sum("length").alias("n")).collect()
+        held = {r["source"]: r["n"] for r in held}
+        assert pieces.agg(F.sum("length")).first()[0] == total
+        if targets == {"a": 3, "b": 1}:
+            assert held["a"] / sum(held.values()) == pytest.approx(0.75, abs=0.02) and held["b"] / sum(held.values()) == pytest.approx(0.25, abs=0.02)
+
+
 def test_packing_keeps_proportions_and_deficits():
     lengths = [700_000, 200_000, 100_000, 37]
     lay = packing.Layout(lengths, lengths)
