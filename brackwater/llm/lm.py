@@ -1,13 +1,16 @@
 """Language-model scores from a lattice of subwords.
 
-The pieces of an existing vocabulary are weighed by their expected uses in the distinct training words, over all segmentations
-(their given scores, which order the vocabulary, are the prior and the start), apart for pieces that start a word and pieces that
-go on in one; a stop ends a word, and bytes spell what no piece covers. The probability of a spelling is the sum over all its
-segmentations, by forward recursion in log space. Whole training words are arcs besides: a word's count less a discount, over all
-tokens; what the discounts free is the weight of the spellings (absolute discounting, d = n1 / (n1 + 2 n2)). That model of the
-corpus is in turn what a language's discounted counts fall back on, and a document's probability is the sum over languages
-of the language's share and the product over the words and the end. The languages of the training documents group the
-counts; a document's own language is no input of its score. MOST_LANGUAGES are apart, the others together.
+A word's lattice has as arcs the pieces of an existing vocabulary, apart for pieces that start a word and pieces that go on in one, bytes for what no piece
+covers, a stop that ends the word, and the word as a whole if training has it. The word's probability is the sum over all segmentations, by forward recursion
+in log space. Vocabularies here come with the order of a BPE, not with a unigram's probabilities, so that order is the prior of the pieces, and their weights
+are their expected uses, over all segmentations, in all distinct training words (ROUNDS rounds). A whole word's arc weighs its count less a discount, over all
+tokens; what the discounts free is the weight of the spellings (absolute discounting, d = n1 / (n1 + 2 n2)). That model of the corpus is in turn what a
+language's discounted counts fall back on. The languages of the training documents group the counts; a document's own language is no input of its score.
+MOST_LANGUAGES are apart, the others together.
+
+Words come again in a document more often than in the corpus: after i words of a document, a word that it has had k times and that has probability p has (k + FIRMNESS * p) /
+(i + FIRMNESS). Multiplied over the document that depends on its words' counts alone. A document's probability is the sum over languages of the language's share, that product, and
+the end's probability.
 
 Texts are coded against the words of their chunk, a bounded stretch of one task's documents, so that a word is counted, joined and
 spelled once for each chunk or once in all, never for each of its uses. What is gathered is a table of all distinct words.
@@ -38,9 +41,11 @@ CHUNK_TOKENS, CHUNK_WORDS = 6_000_000, 600_000
 #: What the prior of the pieces weighs, in uses.
 PRIOR_USES = 500.0
 MOST_LANGUAGES = 8
-#: The first round of weighing sees one distinct word in so many, by hash; the second sees all.
-FIRST_ROUND = 8
-#: Longer words are weighed in stretches.
+#: Rounds of weighing the pieces; each sees all distinct training words.
+ROUNDS = 1
+#: How many words of a document its own counts have to outweigh. Chosen on one half of sf0.01's training documents with the other half as the model's.
+FIRMNESS = 3000.0
+#: Longer words are weighed in stretches, whose products don't underflow; scores sum over whole words.
 STRETCH = 64
 _MISSING = object()
 
@@ -219,11 +224,11 @@ def coded(docs: DataFrame, key: str, text: str, lang: str, langs: dict[str | Non
 
 
 def weighed(vocab: DataFrame, path: str) -> Lattice:
-    """The lattice after two rounds over the distinct training words. A round gathers a number for each piece of the vocabulary."""
+    """The lattice after ROUNDS rounds over the distinct training words. A round gathers a number for each piece of the vocabulary."""
     spark, model = vocab.sparkSession, _vocabulary(path)
     n = model.get_piece_size()
     lattice = Lattice(path, np.zeros(n), np.zeros(n), 0)
-    for part in (FIRST_ROUND, 1):
+    for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(lattice)
 
         def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -236,9 +241,8 @@ def weighed(vocab: DataFrame, path: str) -> Lattice:
             pieces = sorted({*starts, *inner})
             yield pa.RecordBatch.from_arrays([pa.array([*pieces, None], pa.string()), pa.array([*(starts.get(x, 0.0) for x in pieces), float(words)]), pa.array([*(inner.get(x, 0.0) for x in pieces), 0.0])], names=["piece", "first", "going"])
 
-        some = vocab.where("uses > 0").select("word").where(F.pmod(F.xxhash64("word"), F.lit(part)) == 0)
         first, going, words = np.zeros(n), np.zeros(n), 0.0
-        for r in some.mapInArrow(count, "piece string, first double, going double").groupBy("piece").agg(F.sum("first").alias("first"), F.sum("going").alias("going")).collect():
+        for r in vocab.where("uses > 0").select("word").mapInArrow(count, "piece string, first double, going double").groupBy("piece").agg(F.sum("first").alias("first"), F.sum("going").alias("going")).collect():
             if r["piece"] is None:
                 words = r["first"]
             else:
@@ -248,6 +252,22 @@ def weighed(vocab: DataFrame, path: str) -> Lattice:
     return lattice
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """For x of 1 or more: Stirling's series, eight further on."""
+    y = x + 8.0
+    series = (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    return series - np.log(np.prod([x + k for k in range(8)], axis=0))
+
+
+def reinforced(times: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+    """Logarithms of the products over a document's words, for each column of log_p. times: how often each distinct word occurs."""
+    again = times > 1
+    own = FIRMNESS * np.exp(log_p[again])
+    rises = log_gamma(own + times[again, None]) - log_gamma(own + 1.0)  # what follows a word's first occurrence
+    total = math.lgamma(FIRMNESS + int(times.sum())) - math.lgamma(FIRMNESS)
+    return log_p.sum(axis=0) + len(times) * math.log(FIRMNESS) + rises.sum(axis=0) - total
+
+
 class Counts:
     """Of the training tokens of one language, or of all: tokens, distinct ones, ends, and the discount."""
 
@@ -308,7 +328,7 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: st
         out = []
         for x in left["ids"]:
             ids, times = unpacked(x.as_py())
-            by = shares + end + times @ scores[ids]
+            by = shares + end + reinforced(times, scores[ids])
             top = by.max()
             out.append((int(times.sum()) + 1, int(times @ known[ids]) + (corpus.ends > 0), float(times @ base[ids]) + end_base, float(top + np.log(np.exp(by - top).sum())) / math.log(10)))
         cols = list(zip(*out, strict=True)) or [(), (), (), ()]

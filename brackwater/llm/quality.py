@@ -4,11 +4,11 @@ Four rates of each document (long, per thousand) are held against fences that fo
 sketch of each rate gives a lower and an upper quantile, and a document is rejected if a rate lies beyond upper + spread * (upper - lower), or,
 for the length of words, below lower - spread * (upper - lower). RULES has the levels and spreads; no value of a rate is fixed anywhere. Symbols: what
 15 % of a group may have by itself, and four times its distance from the median besides. Repeats of lines and of 5-word windows, which most documents
-have none of: the tail of the group, beyond its 99.5 % quantile. Word length: four times the distance of the quartiles beyond them.
+have none of: the tail of the group, beyond its 99.7 % quantile. Word length: four times the distance of the quartiles beyond them.
 
 The sketch is a histogram whose buckets keep the six leading bits of a value (a relative error of 1/32 at most; values are compared by bucket), so sketches
-merge by adding counts: those of the sources of a language give the language's, and those the corpus'. A group of fewer than LEAST documents takes
-its language's fences, and a language of fewer the corpus'. All documents count. Texts are measured once: the measured rows are stored, and the fences are joined to them.
+merge by adding counts: those of the sources of a language give the language's, and those the corpus'. All documents that pass the base rules count. A
+group of fewer than LEAST of them takes its language's fences, and a language of fewer the corpus'. Texts are measured once: the measured rows are stored, and the fences are joined to them.
 
 Base rules hold in every group: under 10 words, or over a fifth of the words in repeated 5-word windows, fails.
 
@@ -28,7 +28,7 @@ from brackwater.llm.common import WORD_SPACES, lookup_join, read, settled, store
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 #: Of each rate: levels of the lower and the upper quantile, per thousand, and the spread.
-RULES = {"symbol_rate": (500, 850, 4), "dup_line_rate": (500, 995, 0), "repeat_rate": (500, 995, 0), "word_length": (250, 750, 4)}
+RULES = {"symbol_rate": (500, 850, 4), "dup_line_rate": (500, 997, 0), "repeat_rate": (500, 997, 0), "word_length": (250, 750, 4)}
 LEAST = 200
 
 
@@ -68,9 +68,9 @@ def bucket_of(v: str) -> Column:
 
 
 def sketches(stats: DataFrame) -> DataFrame:
-    """lang, source, rate, bucket, n: mergeable by adding n."""
+    """lang, source, rate, bucket, n of the documents that pass the base rules: mergeable by adding n."""
     rates = F.explode(F.array(*[F.struct(F.lit(k).alias("rate"), F.col(k).alias("v")) for k in RULES])).alias("e")
-    return stats.select("lang", "source", rates).select("lang", "source", F.col("e.rate").alias("rate"), bucket_of("e.v").alias("bucket")).groupBy("lang", "source", "rate", "bucket").agg(F.count("*").alias("n"))
+    return stats.where("not base_failed").select("lang", "source", rates).select("lang", "source", F.col("e.rate").alias("rate"), bucket_of("e.v").alias("bucket")).groupBy("lang", "source", "rate", "bucket").agg(F.count("*").alias("n"))
 
 
 def fences(counts: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def sql_ctes(table: str, prefix: str = "q") -> str:
             FROM {p}_stats),
         {p}_rates AS (
             SELECT lang, source, rate, {bucket('v')} AS bucket FROM (
-                {' UNION ALL '.join(f"SELECT lang, source, '{k}' AS rate, {k} AS v FROM {p}_measured" for k in RULES)})),
+                {' UNION ALL '.join(f"SELECT lang, source, '{k}' AS rate, {k} AS v FROM {p}_measured WHERE NOT base_failed" for k in RULES)})),
         {quant('lang, source', 'own')}, {quant('lang', 'lang')}, {quant('', 'all')},
         {p}_fences AS (
             SELECT lang, source, rate, lower - {level(2)} * (upper - lower) AS low, upper + {level(2)} * (upper - lower) AS high FROM (

@@ -70,7 +70,7 @@ def test_quality_fences_differ_between_groups(spark):
     found = quality.fences(common.stored(quality.sketches(stats), "sketches")).collect()
     for k in ("dup_line_rate", "repeat_rate", "word_length"):  # of symbols, ordinary groups have none
         assert len({r[f"high_{k}"] for r in found}) > 3, k
-    marked = spark.createDataFrame([("en", s, k, b, n) for s, b in (("plain", 0), ("marked", 96)) for k in quality.RULES for b, n in ((b, 250), (b * 2, 50))], "lang string, source string, rate string, bucket long, n long")
+    marked = spark.createDataFrame([("en", s, k, b, n) for s, b in (("plain", 0), ("marked", 96)) for k in quality.RULES for b, n in ((b, 270), (b * 2, 30))], "lang string, source string, rate string, bucket long, n long")
     assert {r["source"]: r["high_symbol_rate"] for r in quality.fences(marked).collect()} == {"plain": 0, "marked": 96}
 
 
@@ -208,6 +208,53 @@ def test_language_model_base_and_sums(docs, empty):
     assert lm.lm_scores(empty).count() == 0
 
 
+def test_language_model_scores_by_brute_force(docs):
+    """Every document's probability, word by word in its order, from plain counts."""
+    held = lm.held_out("doc_id", 7, 2)
+    out = lambda i: zlib.crc32(str(i if i is not None else "").encode()) % 7 == 2
+    toks = [(i, lower(t).encode().split(), g) for i, t, g, *_ in ROWS]
+    learnt = [x for x in toks if not out(x[0])]
+    langs = [g for g, _ in sorted(Counter(g for _, _, g in learnt).items(), key=lambda x: (-x[1], x[0] is not None, x[0] or ""))]
+    by = {g: Counter(w for _, t, h in learnt if h == g for w in t) for g in langs}
+    all_ = sum(by.values(), Counter())
+    size = lm._vocabulary(lm.default_vocabulary()).get_piece_size()
+    plain, first, going = lm.Lattice(lm.default_vocabulary(), np.zeros(size), np.zeros(size), 0), np.zeros(size), np.zeros(size)
+    for table, uses in zip((first, going), plain.expected_uses(list(all_)), strict=True):
+        for piece, x in uses.items():
+            table[lm._vocabulary(lm.default_vocabulary()).piece_to_id(piece)] = x
+    lattice = lm.Lattice(lm.default_vocabulary(), first, going, len(all_))
+
+    def discounted(counts, ends, uses, rest):
+        n, v = sum(counts.values()) + ends, len(counts) + (ends > 0)
+        ones, twos = (sum(x == k for x in [*counts.values(), ends]) for k in (1, 2))
+        d = min(0.9, max(0.1, ones / max(1, ones + 2 * twos)))
+        return rest if not n else max(uses - d, 0) / n + d * v / n * rest
+
+    ends = Counter(g for _, _, g in learnt)
+    n_all, v_all, n_ends = sum(all_.values()) + len(learnt), len(all_) + 1, len(learnt)
+    want = []
+    for i, t, _ in toks:
+        total = []
+        for g in [*langs, "others"]:
+            counts, e = by.get(g, Counter()), ends.get(g, 0)
+            p = {w: discounted(counts, e, counts[w], discounted(all_, n_ends, all_[w], math.exp(lattice.log_probability(w)))) for w in set(t)}
+            seen, log = Counter(), math.log((e + 1) / (n_ends + len(langs) + 1)) + math.log(discounted(counts, e, e, discounted(all_, n_ends, n_ends, 1 / (n_all + v_all))))
+            for k, w in enumerate(t):
+                log += math.log((seen[w] + lm.FIRMNESS * p[w]) / (k + lm.FIRMNESS))
+                seen[w] += 1
+            total.append(log)
+        top = max(total)
+        want.append((str(i), len(t) + 1, (top + math.log(sum(math.exp(x - top) for x in total))) / math.log(10)))
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in lm.lm_scores(docs, held=held).collect())
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-5, abs=1e-4)
+
+
+def test_log_gamma():
+    x = np.array([1.0, 1.5, 2.0, 37.25, 1e6])
+    assert np.allclose(lm.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-10, atol=1e-9)
+
+
 def test_lattice_sums_all_segmentations():
     n = lm._vocabulary(lm.default_vocabulary()).get_piece_size()
     model = lm.Lattice(lm.default_vocabulary(), np.zeros(n), np.zeros(n), 0)
@@ -262,6 +309,12 @@ def test_raking_meets_targets_and_lots_are_fixed(docs, empty, spark):
     cells = mixing.raked(mixing.cells_of(mixing.mixed(df, targets=targets)), targets, budget=0.2).collect()
     share = lambda m, v: sum(c["share"] for c in cells if c[m] == v)
     assert [share("source", s) for s in ("s0", "s1", "s2")] == pytest.approx([0.5, 0.25, 0.25], abs=1e-6) and share("lang", "de") == pytest.approx(0.5, abs=1e-3)
+    dealt = {(c["source"], c["lang"], c["topic"]): c["share"] for c in mixing.raked(mixing.cells_of(mixing.mixed(df, targets=targets)), targets, budget=0.2, one_task_cells=1).collect()}
+    assert dealt == pytest.approx({(c["source"], c["lang"], c["topic"]): c["share"] for c in cells})  # by joins, when there are many cells
+    off = mixing.residuals(spark.createDataFrame(cells)).collect()
+    assert len(off) == 3 + 2 + len({c["topic"] for c in cells}) and max(abs(r["residual"]) for r in off) < 1e-3
+    even = mixing.raked(mixing.cells_of(mixing.mixed(df)), {"source": 0, "lang": {"en": 3.0, mixing.OTHERS: 1.0}}).groupBy("lang").agg(F.sum("share").alias("s")).collect()
+    assert {r["lang"]: r["s"] for r in even} == pytest.approx({"en": 0.75, "de": 0.25}, abs=1e-3)
     total = sum(c["tokens"] for c in cells)
     assert sum(c["tokens"] * c["probability"] for c in cells) == pytest.approx(0.2 * total, rel=1e-6)
     got = mixing.mixed(df, targets=targets, budget=0.2)
