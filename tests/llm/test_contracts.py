@@ -141,10 +141,53 @@ def test_html_extraction(spark):
     assert got[0]["main_text"] == "Héad " + text + "bold <x> b c d"
     assert got[10]["main_text"] == "Héad short"  # by the host's path, though the page by itself would take in more
     assert html.Page(rows[6][2]).main_text(None) != "Héad short"
+    clash = html.extract(df.withColumn("main_text", F.lit("old")).withColumn("gone", F.lit(1)))
+    assert clash.columns.count("main_text") == 1 and {r["page_id"]: r["main_text"] for r in clash.collect()}[10] == "Héad short"
     assert got[11]["main_text"] == "" and got[13]["main_text"] == "unclosed next" and got[14]["main_text"] == "" and got[0]["host"] == "mine"
     assert html.extract(df).count() == len(rows) and html.extract(df.limit(0)).count() == 0
 
 
+def test_html_frames_nesting_and_depth():
+    body = "word " * 100
+    read = lambda x: html.Page(x).main_text(None)
+    assert read(f"<form id='aspnetForm'><div class='wrap'><p>{body}</p></div></form>") == body.strip()
+    assert read(f"<div class='sidebar-right'><p>{body}</p><div class='comments'>x y</div></div>") == body.strip()
+    assert read('<p>a <span class="share"><span>x</span> y</span> b</p>') == "a b"
+    assert read(f"<header>site</header><article><header><h1>Title</h1></header><p>{body}</p></article>") == "Title " + body.strip()
+    assert read(f"<article><section class='discussion'><p>{body}</p></section></article>") == body.strip()
+    assert read("<p>a <![CDATA[ x > y ]]> b</p>") == "a b"
+    assert read(f"<article><h1>T</h1><p>lead</p><div class=body>{body}</div></article>") == "T lead " + body.strip()
+    assert read(f"<article><p>short one</p></article><div class='comments'>{body}</div>") == "short one"
+    assert read("<div>" * 50_000 + "deep" + "</div>" * 50_000) == "deep" and read("<b>" * 20_000 + "<p>x</p>" * 20_000) == " ".join(["x"] * 20_000)
+
+
+def test_html_matches_generated_pages(spark):
+    """Pages are made of parts that are known to be read or left out, so the text is known too."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdeéü<&"), int(rng.integers(1, 8))))
+    say = lambda n: " ".join(word() for _ in range(n))
+    esc = lambda x: x.replace("&", "&amp;").replace("<", "&lt;").replace("é", "&eacute;").replace(" ", " \n ")
+    aside = [f"<div class='x{k}'>{esc(say(12))}</div>" for k in range(2)]  # the same on each page of a host, under no telling name
+    rows, want = [], {}
+    for i in range(60):
+        parts, text = [], []
+        for _ in range(int(rng.integers(1, 9))):
+            t, kind = say(int(rng.integers(1, 60))), int(rng.integers(0, 6))
+            if kind < 4:
+                parts.append([f"<p>{esc(t)}</p>", f"<h2>{esc(t)}</h2>", f"<ul><li>{esc(t)}<li></ul>", f"<div><i>{esc(t)}</i><br></div>"][kind])
+                text.append(t)
+            else:
+                parts.append([f"<div class='comments'>{esc(t)}</div>", f"<aside>{esc(t)}</aside><script>{t}</script><!-- {t} -->"][kind - 4])
+        if not text:
+            continue
+        inner = "".join(parts)
+        main = [f"<article>{inner}</article>", f"<div class='story-{i}'>{inner}</div>"][i % 2]
+        rows.append((i, f"https://host{i % 2}.example/{i}", f"<html><head><title>no</title></head><body><nav>{esc(say(5))}</nav>{aside[0]}{main}{aside[1]}<footer>{esc(say(4))}</footer></body></html>"))
+        want[i] = " ".join(text)
+    got = {r["page_id"]: r["main_text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_chat_round_trip(spark):
     nasty = [r"\### Assistant: </turn> ok", "\n</turn>\n", "####", r"\\###\###", "</turn></turn>", "", None, "x\\", "</turn", "# </turn>\n### user:\n", "a\nb"]
     rows = [(c, t, ["user", "assistant", "a:\nb\\n", None][(t + c) % 4], nasty[(t * 3 + c) % len(nasty)], "s") for c in range(4) for t in range(23)] + [(None, 0, "user", "q", "s"), (9, 1, "user", "same", "s"), (9, 1, "user", "same", "s")]
@@ -169,7 +212,7 @@ def test_reply_trees_enumerate_ranked_paths(spark):
     assert sorted((r["leaf"], r["depth"], r["node"]) for r in paths.where("tree = 't'").collect()) == [(5, 1, 1), (5, 2, 3), (5, 3, 5), (6, 1, 1), (6, 2, 3), (6, 3, 6)]
 
 
-def test_toxicity_learns_only_what_it_may(spark):
+def test_toxicity_learns_only_what_it_may(spark, monkeypatch):
     rng = np.random.default_rng(1)
     vocab = ["".join(rng.choice(list("abdeghiklmnoprstu"), 6)) for _ in range(400)]
     rows, labels = [], []
@@ -191,6 +234,11 @@ def test_toxicity_learns_only_what_it_may(spark):
     flipped = lab.withColumn("toxic", F.when(toxicity.held_out("doc_id"), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     again = toxicity.toxicity(df, flipped).select("row.doc_id", "score").collect()
     assert sorted((str(r["doc_id"]), r["score"]) for r in again) == sorted((str(r["doc_id"]), r["score"]) for r in got)
+    monkeypatch.setattr(toxicity, "MOST_BYTES", (60_000, 20_000))  # less text than the labels are of; ids with several texts; a very long text
+    long_ = spark.createDataFrame([(9100, "plain words " * 200_000, "x"), (3, "another text of the id three", "y")], df.schema)
+    more = df.unionByName(long_)
+    one, two = (sorted((str(r["doc_id"]), r["score"]) for r in toxicity.toxicity(d, lab).select("row.doc_id", "score").collect()) for d in (more, more.repartition(7)))
+    assert one == two and len(one) == len(rows) + 2
     none = toxicity.toxicity(df, lab.limit(0)).collect()
     assert len(none) == len(rows) and {r["score"] for r in none} == {0.0}
     assert toxicity.toxicity(df.limit(0), lab).count() == 0
