@@ -96,7 +96,7 @@ def dense_links(distinct: DataFrame) -> DataFrame:
 
 def components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
     """node, root: the smallest node connected with each node that has a link. Large-star and small-star steps in turn, each a
-    partial minimum and a join on the node, until none changes anything; each round is written and read back."""
+    partial minimum and a join on the node, until only stars are left or a round changes nothing; each round is written and read back."""
     edges = stored(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "edges")
     state = None
     for _ in range(most_rounds):
@@ -108,6 +108,9 @@ def components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n")
         small = large.join(least, F.col("u") == F.col("n")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
         edges = stored(small, "edges")
+        # Stars whose centres are nobody's neighbour, and whose members have one centre each, are the components.
+        if not edges.join(edges.select(F.col("v").alias("u")), "u", "left_semi").limit(1).count() and not edges.groupBy("u").count().where("count > 1").limit(1).count():
+            break
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state:
             break
