@@ -39,15 +39,15 @@ def subtokens(name: Column) -> Column:
     return F.filter(F.split(F.lower(spaced), " +"), lambda t: F.length(t) >= 2)
 
 
-def identifiers(text: Column, most: int | None = BODY_TOKENS) -> Column:
-    """The first identifiers of three characters at least, lower-cased, repeats included; all of them if most is None."""
+def identifiers(text: Column, most: int | None = None) -> Column:
+    """Identifiers of three characters at least, lower-cased, repeats included; the first `most` if given (BODY_TOKENS for one passage)."""
     found = F.transform(F.regexp_extract_all(text, F.lit(r"[A-Za-z_][A-Za-z0-9_]{2,}"), F.lit(0)), F.lower)
     return found if most is None else F.slice(found, 1, most)
 
 
 def seeds(title: Column, body: Column) -> Column:
     """Names that a task text mentions: in backticks and fences, in tracebacks, called, behind a dot, in Pascal, camel or snake case; plain
-    words of the title from four letters; file paths. Stop words are left out."""
+    words of the title from four letters; file paths, without a leading ./, and their base names. Stop words are left out."""
     both = F.concat_ws("\n", title, body)
     every = lambda pattern, group=1: F.regexp_extract_all(both, F.lit(pattern), F.lit(group))
     names = F.flatten(F.transform(F.concat(every(r"`([^`]+)`"), every(r"(?s)```[^\n]*\n(.*?)```")), lambda x: F.regexp_extract_all(x, F.lit(r"[A-Za-z_][A-Za-z0-9_]{2,}"), F.lit(0))))
@@ -55,7 +55,8 @@ def seeds(title: Column, body: Column) -> Column:
     words = every(r"[A-Za-z_][A-Za-z0-9_]{2,}", 0)
     cased = F.filter(words, lambda w: w.rlike(r"^[A-Z].*[a-z]") | (w.rlike(r"^.+[A-Z]") & w.rlike("[a-z]")) | w.contains("_"))
     plain = F.filter(F.regexp_extract_all(title, F.lit(r"[A-Za-z_][A-Za-z0-9_]{2,}"), F.lit(0)), lambda w: F.length(w) >= 4)
-    paths = every(r"[\w./-]+\.(?:py|pyi|js|jsx|ts|tsx|java|go)\b", 0)
+    named = F.concat(every(r"[\w./-]+\.(?:py|pyi|js|jsx|ts|tsx|java|go)\b", 0), every(r'File "([^"]+)", line \d+, in \w+'))
+    paths = F.concat(F.transform(named, lambda x: F.regexp_replace(x, r"^[./]+", "")), F.transform(named, lambda x: F.element_at(F.split(x, "/"), -1)))
     traced = every(r'File "[^"]+", line \d+, in (\w+)')
     found = F.concat(names, traced, every(r"\b([A-Za-z_]\w{2,})\s*\("), dotted, cased, plain)
     kept = F.filter(F.array_distinct(found), lambda w: ~F.lower(w).isin(*STOPWORDS) & (F.length(w) >= 3))
@@ -83,9 +84,9 @@ def first_literal(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, "[\"'`]([^\"'`]+)[\"'`]", 1), F.lit(""))
 
 
-def base_name(receiver: Column) -> Column:
-    """What stands before the first dot or parenthesis of a receiver."""
-    return F.coalesce(F.regexp_extract(receiver, r"^([^.(]*)", 1), F.lit(""))
+def last_name(receiver: Column) -> Column:
+    """The last dotted part of a receiver, up to its parenthesis; empty if there is none."""
+    return F.substring_index(F.coalesce(F.element_at(F.split(receiver, r"\."), -1), F.lit("")), "(", 1)
 
 
 def config_key(key: Column) -> Column:
@@ -161,3 +162,19 @@ def type_class(name: Column) -> Column:
 def redacted(key: Column, value: Column) -> Column:
     """Values whose key names a secret are hidden."""
     return F.when(key.rlike("(?i)(password|passwd|secret|token|credential|api_?key|private_?key)"), "***").otherwise(value)
+
+
+def l2_normalised(vector: Column) -> Column:
+    """A vector of unit length; of zeros, itself."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.transform(vector, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double")))
+
+
+def span_hash(text: Column) -> Column:
+    """The first 16 hex digits of a span's SHA-1."""
+    return F.substring(F.sha1(text.cast("binary")), 1, 16)
+
+
+def span_text(text: Column, start: Column, end: Column) -> Column:
+    """The lines of a text from start to end, both included, from 1."""
+    return F.array_join(F.slice(F.split(text, "\n"), start, F.greatest(F.lit(0), end - start + 1)), "\n")

@@ -12,12 +12,13 @@ _PLACEHOLDER = r"\$\{\s*([A-Za-z0-9_.\-]+)\s*(?::[^}]*)?\}"
 _GET_PROPERTY = r"get(?:Required)?Property(?:Value)?\(\s*[\"']([A-Za-z0-9_.\-]+)[\"']"
 _JAVA_ENV = r"System\.get(?:env|Property)\(\s*[\"']([A-Za-z0-9_.\-]+)[\"']"
 _PYTHON = r"os\.(?:getenv\(|environ(?:\.get)?[\[(]?)\s*[\"']([A-Za-z0-9_.\-]+)[\"']"
-_SCRIPT = r"process\.env(?:\.|\[\s*[\"'])([A-Za-z0-9_.\-]+)"
+_SCRIPT_DOT = r"process\.env\.([A-Za-z0-9_]+)"
+_SCRIPT_INDEX = r"process\.env\[\s*[\"']([A-Za-z0-9_.\-]+)[\"']"
 _GO = r"(?:os\.Getenv|viper\.Get\w*)\(\s*[\"']([A-Za-z0-9_.\-]+)[\"']"
 READS = {
     ("java", "kt"): (_PLACEHOLDER, _GET_PROPERTY, _JAVA_ENV),
     ("py", "pyi"): (_PYTHON,),
-    ("js", "jsx", "ts", "tsx", "mjs", "cjs"): (_SCRIPT,),
+    ("js", "jsx", "ts", "tsx", "mjs", "cjs"): (_SCRIPT_DOT, _SCRIPT_INDEX),
     ("go",): (_GO,),
 }
 

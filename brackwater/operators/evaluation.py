@@ -6,10 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Lines of a file that a bin spans.
+BIN_LINES = 64
 
-def smallest_enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """file, line, id: the smallest span (file, id, start, end) that holds a point (file, line); ties to the smaller id."""
-    inside = points.join(spans, "file").where("line BETWEEN start AND end")
+
+def smallest_enclosing(points: DataFrame, spans: DataFrame, bin_lines: int = BIN_LINES) -> DataFrame:
+    """file, line, id: the smallest span (file, id, start, end) that holds a point (file, line); ties to the smaller id. Points meet the spans of
+    their bin of lines only; a span has a row in each bin that it reaches."""
+    at = lambda c: F.floor(F.col(c) / bin_lines)
+    binned = spans.where("start <= end").select("file", "id", "start", "end", F.explode(F.sequence(at("start"), at("end"))).alias("bin"))
+    inside = points.withColumn("bin", at("line")).join(binned, ["file", "bin"]).where("line BETWEEN start AND end")
     size = F.struct((F.col("end") - F.col("start")).alias("a"), F.col("id").alias("b"))
     return inside.groupBy("file", "line").agg(F.min_by("id", size).alias("id"))
 

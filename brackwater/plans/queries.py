@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from brackwater.functions import text as fn
 from brackwater.operators import config, evaluation, graph, history, memory, overlay, pool, resources, retrieval
+from brackwater.storage import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,7 +45,7 @@ def tok_subtokens(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", fn.subtokens(F.concat_ws(" ", "p_name", "p_brand")).alias("tokens"))
 
 
-@query("SELECT doc_id, len(t) AS n, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,}'), lambda x: lower(x))[1:600] AS t FROM documents)")
+@query("SELECT doc_id, len(t) AS n, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,}'), lambda x: lower(x)) AS t FROM documents)")
 def tok_identifiers(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", fn.identifiers(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.array_join("t", " ").alias("tokens"))
 
@@ -71,14 +72,14 @@ def bm25_sql(docs: str, key: str) -> str:
     asked = ", ".join(f"('{t}', {TASK.count(t)})" for t in dict.fromkeys(TASK))
     return f"""
         d AS ({docs}), s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d), x AS (SELECT {key}, len(t) AS dl, unnest(t) AS term FROM d),
-        f AS (SELECT term, count(DISTINCT {key}) AS df FROM x GROUP BY term), r AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM f, s),
+        f AS (SELECT term, count(DISTINCT ({key})) AS df FROM x GROUP BY term), r AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM f, s),
         i AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM r) ELSE raw END AS idf FROM r), a(term, w) AS (VALUES {asked}),
         tf AS (SELECT {key}, dl, term, count(*) AS tf FROM x GROUP BY {key}, dl, term),
         score AS (SELECT {key}, sum(idf * w * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN i USING (term) JOIN a USING (term), s GROUP BY {key})"""
 
 
-_DOC_TOKENS = "SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,}'), lambda x: lower(x))[1:600] AS t FROM documents"
-_PIECE_TOKENS = f"SELECT doc_id * 1000 + piece_no AS unit, list_transform(regexp_extract_all(piece, '[A-Za-z_][A-Za-z0-9_]{{2,}}'), lambda x: lower(x))[1:600] AS t FROM ({PASSAGES})"
+_DOC_TOKENS = "SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,}'), lambda x: lower(x)) AS t FROM documents"
+_PIECE_TOKENS = f"SELECT doc_id, piece_no, list_transform(regexp_extract_all(piece, '[A-Za-z_][A-Za-z0-9_]{{2,}}'), lambda x: lower(x)) AS t FROM ({PASSAGES})"
 
 
 @query(f"WITH {bm25_sql(_DOC_TOKENS, 'doc_id')} SELECT doc_id, round(score, 6) AS score FROM score ORDER BY score.score DESC, doc_id LIMIT 10")
@@ -88,13 +89,12 @@ def bm25_topk(spark, sf_dir):
 
 
 def _unit_scores(spark, sf_dir):
-    units = _passages(spark, sf_dir).select((F.col("doc_id") * 1000 + F.col("piece_no")).alias("unit"), "piece")
-    return retrieval.bm25(units, "unit", fn.identifiers(F.col("piece")), TASK)
+    return retrieval.bm25(_passages(spark, sf_dir), ["doc_id", "piece_no"], fn.identifiers(F.col("piece"), fn.BODY_TOKENS), TASK)
 
 
-@query(f"WITH {bm25_sql(_PIECE_TOKENS, 'unit')} SELECT unit // 1000 AS doc_id, round(max(score), 6) AS score FROM score GROUP BY 1")
+@query(f"WITH {bm25_sql(_PIECE_TOKENS, 'doc_id, piece_no')} SELECT doc_id, round(max(score), 6) AS score FROM score GROUP BY 1")
 def bm25_doc_max(spark, sf_dir):
-    return _unit_scores(spark, sf_dir).groupBy(F.floor(F.col("unit") / 1000).alias("doc_id")).agg(F.round(F.max("score"), 6).alias("score"))
+    return _unit_scores(spark, sf_dir).groupBy("doc_id").agg(F.round(F.max("score"), 6).alias("score"))
 
 
 def _query_vector(spark, sf_dir):
@@ -127,12 +127,12 @@ def fusion_topk(spark, sf_dir):
 
 @query(f"WITH {_FUSED} SELECT doc_id, round(CASE WHEN doc_id % 7 = 0 THEN 1.5 ELSE 1 END * (fused.score + 0.6 * CASE WHEN doc_id % 5 = 0 THEN 0.5 ELSE 0 END), 6) AS score FROM fused")
 def runtime_arm(spark, sf_dir):
-    base = _fused(spark, sf_dir)
+    base = cut(_fused(spark, sf_dir), "fused")
     near = base.where("doc_id % 5 = 0").select("doc_id", F.lit(0.5).alias("prox"))
     return retrieval.runtime_arm(base, "doc_id", near, base.where("doc_id % 7 = 0"), "fused").select("doc_id", *rounded("score"))
 
 
-@query("SELECT page_id, CASE WHEN contains('/' || lower(url), '/test/') OR contains('/' || lower(url), '/example/') OR starts_with(regexp_extract(lower(url), '[^/]*$'), 'test_') THEN 0.25 ELSE 1.0 END AS prior FROM pages")
+@query("SELECT page_id, CASE WHEN contains('/' || lower(url), '/test/') OR contains('/' || lower(url), '/example/') OR starts_with(regexp_extract(lower(url), '[^/]*$'), 'test_') THEN CAST(0.25 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS prior FROM pages")
 def lowrel_prior(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", fn.relevance(F.col("url")).alias("prior"))
 
@@ -159,16 +159,28 @@ def history_file_score(spark, sf_dir):
     return history.file_scores(commits, touches, ["urgent"]).select("file", *rounded("score"))
 
 
-CALLS = [
-    (1, "redisTemplate", "put", '"user:${id}"', None), (2, "map", "put", '"a"', None), (3, "cache", "hget", "'session'", None), (4, "kafka", "send", '"Orders"', None), (5, "", "publish", '"mail"', None),
-    (6, "userRepo", "save", "user", "UserRepository"), (7, "items", "find", "x", None), (8, "orderMapper", "select", "q", None), (9, "this", "save", "x", None), (10, "client", "set", "k", "RedisClient"), (11, "conn", "get", None, None),
-]
+#: Shapes of receivers around the names of parts, and methods; each pair is a call.
+RECEIVERS = ("%s", "this.%s", "app.conn.%s", "ctx.%s()", "%s.find(x).y", "redis", "self", "")
+METHODS = ("put", "hget", "set", "get", "send", "publish", "enqueue", "save", "find", "saveAll", "delete", "close")
+_CALLED = f"""SELECT p_partkey, r.i AS shape, m.method, replace(r.shape, '%s', p_name_) AS receiver, CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 3 = 1 THEN '"K' || p_size || '"' ELSE 'x' END AS arg0
+    FROM (SELECT p_partkey, p_size, CASE p_partkey % 4 WHEN 0 THEN 'userRepo' WHEN 1 THEN 'sessionCache' WHEN 2 THEN 'items' ELSE 'Mapper' || p_size END AS p_name_ FROM part),
+    (SELECT unnest(range(len(l))) AS i, unnest(l) AS shape FROM (SELECT {list(RECEIVERS)} AS l)) r, (SELECT unnest({list(METHODS)}) AS method) m"""
 
 
-@query("SELECT * FROM (VALUES (1, 'cache:user:{}', 'writes'), (3, 'cache:session', 'reads'), (4, 'queue:orders', 'enqueues'), (5, 'queue:mail', 'enqueues'), (6, 'table:userrepository', 'writes'), (8, 'table:ordermapper', 'reads'), (10, 'cache:k', 'writes')) AS t(fn_id, rid, kind)")
+@query(f"""WITH c AS ({_CALLED}), b AS (SELECT *, lower(method) AS m, lower(receiver) AS rl, lower(split_part(string_split(receiver, '.')[-1], '(', 1)) AS base,
+        CASE WHEN arg0 IS NULL THEN NULL ELSE trim(arg0, '"') END AS key, nullif(regexp_extract(coalesce(arg0, ''), '"([^"]+)"', 1), '') AS literal FROM c),
+    k AS (SELECT *, (base IN ('redis', 'cache', 'conn', 'client') OR contains(rl, 'redis') OR contains(rl, 'cache')) AND (m NOT IN ('put', 'get', 'set', 'delete') OR regexp_matches(rl, 'redis|cache')) AS cache FROM b),
+    r AS (SELECT p_partkey, shape, method, CASE WHEN cache AND m IN ('put', 'set', 'delete') THEN ['cache', key, 'writes'] WHEN cache AND m IN ('hget', 'get') THEN ['cache', key, 'reads']
+        WHEN receiver <> '' AND m IN ('send', 'publish') THEN ['queue', lower(coalesce(literal, nullif(base, ''), key)), 'enqueues'] WHEN receiver = '' AND m IN ('publish', 'enqueue') THEN ['queue', lower(coalesce(literal, key)), 'enqueues']
+        WHEN m IN ('save', 'saveall', 'delete', 'find', 'get') AND base NOT IN ('', 'self', 'this') AND (m IN ('save', 'saveall') OR regexp_matches(base, '(repository|repo|mapper)$')) THEN ['table', base, CASE WHEN m IN ('find', 'get') THEN 'reads' ELSE 'writes' END] END AS x FROM k)
+    SELECT p_partkey, CAST(shape AS INTEGER) AS shape, method, x[1] || ':' || x[2] AS rid, x[3] AS kind FROM r WHERE x[2] IS NOT NULL""")
 def resource_classify(spark, sf_dir):
-    calls = spark.createDataFrame(CALLS, "fn_id int, receiver string, method string, arg0 string, type string")
-    return resources.classify_calls(calls).select("fn_id", "rid", "kind")
+    name = F.expr("CASE p_partkey % 4 WHEN 0 THEN 'userRepo' WHEN 1 THEN 'sessionCache' WHEN 2 THEN 'items' ELSE concat('Mapper', p_size) END")
+    arg0 = F.expr("CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 3 = 1 THEN concat('\"K', p_size, '\"') ELSE 'x' END")
+    shapes = F.posexplode(F.array(*[F.replace(F.lit(r), F.lit("%s"), F.col("name")) for r in RECEIVERS])).alias("shape", "receiver")
+    parts = read(spark, sf_dir, "part").select("p_partkey", name.alias("name"), arg0.alias("arg0"))
+    calls = parts.select("p_partkey", "arg0", shapes).select("*", F.explode(F.array(*map(F.lit, METHODS))).alias("method"), F.lit(None).cast("string").alias("type"))
+    return resources.classify_calls(calls).select("p_partkey", "shape", "method", "rid", "kind")
 
 
 _ACCESS = "SELECT DISTINCT user_id AS fn, (props->>'k') || '@' || CAST(CAST(ts AS DATE) AS VARCHAR) AS rid, CASE WHEN event_type IN ('purchase', 'signup') THEN 'writes' WHEN event_type = 'error' THEN 'consumes' ELSE 'reads' END AS kind FROM events"
@@ -217,18 +229,11 @@ def resources_by_function(spark, sf_dir):
     return resources.by_function(_access(spark, sf_dir)).select("fn", F.size("writes").cast("long").alias("n_writes"), F.size("reads").cast("long").alias("n_reads"))
 
 
-_EDGES = "SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE (l_partkey + l_suppkey) % 29 = 0 AND s_nationkey % 5 <> c_nationkey % 7"
-
-
-def _edges(spark, sf_dir):
-    line = read(spark, sf_dir, "lineitem").where("(l_partkey + l_suppkey) % 29 = 0")
-    joined = line.join(read(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return joined.where("s_nationkey % 5 <> c_nationkey % 7").select(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).distinct()
-
-
-@query(f"WITH e AS ({_EDGES}) SELECT dst AS id, count(DISTINCT src) AS n FROM e WHERE src IN (1, 2, 3) AND dst NOT IN (1, 2, 3) GROUP BY dst")
+@query("SELECT l_partkey AS id, count(DISTINCT l_suppkey) AS n FROM lineitem WHERE l_suppkey IN (1, 2, 3) GROUP BY l_partkey")
 def import_1hop(spark, sf_dir):
-    return graph.neighbours(_edges(spark, sf_dir), spark.createDataFrame([(1,), (2,), (3,)], "id int"))
+    edges = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
+    near = graph.neighbours(edges, spark.createDataFrame([("s1",), ("s2",), ("s3",)], "id string"))
+    return near.select(F.substring("id", 2, 20).cast("long").alias("id"), "n")
 
 
 _TREE = "SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer"
@@ -241,7 +246,16 @@ def bfs_2hop(spark, sf_dir):
     return graph.within(up.unionByName(down), spark.createDataFrame([("r1",)], "id string"), 2)
 
 
-_ROUNDS = 10
+#: More than either walk takes to converge.
+_ROUNDS = 50
+_EDGES = "SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation"
+_EDGES = f"SELECT src, dst FROM ({_EDGES}) UNION SELECT dst, src FROM ({_EDGES})"
+
+
+def _edges(spark, sf_dir):
+    """Customers and suppliers, their nations and regions, in both directions."""
+    leg = lambda table, a, ka, b, kb: read(spark, sf_dir, table).select(F.concat(F.lit(a), ka).alias("src"), F.concat(F.lit(b), kb).alias("dst"))
+    return graph.undirected(leg("customer", "c", "c_custkey", "n", "c_nationkey").unionByName(leg("supplier", "s", "s_suppkey", "n", "s_nationkey")).unionByName(leg("nation", "n", "n_nationkey", "r", "n_regionkey")))
 
 
 def _ppr_sql() -> str:
@@ -252,15 +266,15 @@ def _ppr_sql() -> str:
         for k in range(_ROUNDS)
     )
     return f"""WITH e AS ({_EDGES}), l AS MATERIALIZED (SELECT src, dst, count(*) OVER (PARTITION BY src) AS deg FROM e), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e),
-        x AS (SELECT id, CASE WHEN id IN (1, 2) THEN 1.0 ELSE 0.0 END + 1e-9 AS s FROM v), r0 AS (SELECT id, s / (SELECT sum(s) FROM x) AS p, 1.0 / (SELECT count(*) FROM v) AS u, s / (SELECT sum(s) FROM x) AS pr, 1.0 / (SELECT count(*) FROM v) AS base FROM x),
+        x AS (SELECT id, CASE WHEN id IN ('c1', 'c2') THEN 1.0 ELSE 0.0 END + 1e-9 AS s FROM v), r0 AS (SELECT id, s / (SELECT sum(s) FROM x) AS p, 1.0 / (SELECT count(*) FROM v) AS u, s / (SELECT sum(s) FROM x) AS pr, 1.0 / (SELECT count(*) FROM v) AS base FROM x),
         {steps}, f AS (SELECT id, pr, base, pr / (base + 1e-12) AS raw FROM r{_ROUNDS})
         SELECT id, round(pr, 6) AS pr, round(base, 6) AS base, round((raw - (SELECT min(raw) FROM f)) / ((SELECT max(raw) FROM f) - (SELECT min(raw) FROM f)), 6) AS lift FROM f"""
 
 
 @query(_ppr_sql())
 def ppr_lift(spark, sf_dir):
-    seeds = spark.createDataFrame([(1, 1.0), (2, 1.0)], "id int, weight double")
-    return graph.page_rank(_edges(spark, sf_dir), seeds, rounds=_ROUNDS).select("id", *rounded("pr", "base", "lift"))
+    seeds = spark.createDataFrame([("c1", 1.0), ("c2", 1.0)], "id string, weight double")
+    return graph.page_rank(_edges(spark, sf_dir), seeds).select("id", *rounded("pr", "base", "lift"))
 
 
 def _rwr_sql() -> str:
@@ -268,14 +282,14 @@ def _rwr_sql() -> str:
         f"p{k + 1} AS MATERIALIZED (SELECT h.id, h.h, 0.6 * coalesce(m, 0) + 0.4 * h.h AS p FROM h LEFT JOIN (SELECT dst AS id, sum(p * q) AS m FROM l JOIN p{k} ON l.src = p{k}.id GROUP BY dst) g ON g.id = h.id)"
         for k in range(_ROUNDS)
     )
-    return f"""WITH e AS ({_EDGES}), l AS MATERIALIZED (SELECT src, dst, (1 + dst) / sum(1 + dst) OVER (PARTITION BY src) AS q FROM e), h AS MATERIALIZED (SELECT id, CASE WHEN id = 1 THEN 1.0 ELSE 0.0 END AS h FROM (SELECT src AS id FROM e UNION SELECT dst FROM e)),
+    return f"""WITH e AS ({_EDGES}), l AS MATERIALIZED (SELECT src, dst, length(dst) / sum(length(dst)) OVER (PARTITION BY src) AS q FROM e), h AS MATERIALIZED (SELECT id, CASE WHEN id = 'c1' THEN 1.0 ELSE 0.0 END AS h FROM (SELECT src AS id FROM e UNION SELECT dst FROM e)),
         p0 AS (SELECT id, h, h AS p FROM h), {steps} SELECT id, round(p, 6) AS p FROM p{_ROUNDS}"""
 
 
 @query(_rwr_sql())
 def rwr(spark, sf_dir):
-    edges = _edges(spark, sf_dir).withColumn("w", (1 + F.col("dst")).cast("double"))
-    return graph.random_walk(edges, spark.createDataFrame([(1,)], "id int"), rounds=_ROUNDS).select("id", *rounded("p"))
+    edges = _edges(spark, sf_dir).withColumn("w", F.length("dst").cast("double"))
+    return graph.random_walk(edges, spark.createDataFrame([("c1",)], "id string")).select("id", *rounded("p"))
 
 
 @query("""WITH t AS (SELECT 'n1' AS id), legs AS (SELECT id, 0 AS prio, 'definition' AS why FROM t UNION ALL SELECT 'r' || n_regionkey, 1, 'up' FROM nation WHERE n_nationkey = 1
@@ -335,10 +349,10 @@ def freshness_status(spark, sf_dir):
     return memory.status(_fresh(spark, sf_dir).select(F.floor(F.col("doc_id") / 3).alias("fact_id"), F.col("status").alias("state")))
 
 
-@query("WITH e AS (SELECT DISTINCT l_partkey AS caller, l_suppkey AS callee FROM lineitem) SELECT caller, callee FROM e WHERE caller % 2 = 0 AND callee % 2 = 0 AND caller <= 1000")
+@query("WITH e AS (SELECT DISTINCT l_partkey AS caller, l_suppkey AS callee FROM lineitem) SELECT caller, callee FROM e WHERE caller IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AND callee IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def confirmed_edges(spark, sf_dir):
     edges = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("caller"), F.col("l_suppkey").alias("callee")).distinct()
-    return overlay.confirmed_edges(edges, spark.range(0, 1001, 2).select("id"))
+    return overlay.confirmed_edges(edges, read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id")))
 
 
 @query("SELECT c_custkey AS id, CAST(c_nationkey AS VARCHAR) AS cls, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') THEN 'executed' WHEN c_nationkey IN (SELECT s_nationkey FROM supplier) THEN 'instrumented' ELSE 'not-instrumented' END AS status FROM customer")
@@ -421,16 +435,11 @@ def explain_sections(spark, sf_dir):
     })
 
 
-_SPANS = "SELECT l_orderkey % 50 AS file, l_orderkey * 10 + l_linenumber AS id, CAST(l_partkey % 100 AS BIGINT) AS start, CAST(l_partkey % 100 + l_quantity AS BIGINT) AS \"end\" FROM lineitem WHERE l_orderkey < 3000"
-
-
-def _spans(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").where("l_orderkey < 3000").selectExpr("l_orderkey % 50 AS file", "l_orderkey * 10 + l_linenumber AS id", "l_partkey % 100 AS start", "CAST(l_partkey % 100 + l_quantity AS BIGINT) AS end")
-
-
-@query(f"WITH s AS ({_SPANS}), p AS (SELECT DISTINCT o_orderkey % 50 AS file, o_custkey % 130 AS line FROM orders) SELECT file, line, min_by(id, (\"end\" - start) * 10000000 + id) AS id FROM p JOIN s USING (file) WHERE line BETWEEN start AND \"end\" GROUP BY 1, 2")
+@query("""WITH s AS (SELECT l_orderkey // 32 AS file, l_orderkey * 10 + l_linenumber AS id, l_partkey % 100 AS start, CAST(l_partkey % 100 + l_quantity AS BIGINT) AS "end" FROM lineitem),
+    p AS (SELECT DISTINCT o_orderkey // 32 AS file, o_custkey % 130 AS line FROM orders) SELECT file, line, min_by(id, struct_pack(a := "end" - start, b := id)) AS id FROM p JOIN s USING (file) WHERE line BETWEEN start AND "end" GROUP BY 1, 2""")
 def span_smallest(spark, sf_dir):
-    return evaluation.smallest_enclosing(read(spark, sf_dir, "orders").selectExpr("o_orderkey % 50 AS file", "o_custkey % 130 AS line").distinct(), _spans(spark, sf_dir))
+    spans = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey div 32 AS file", "l_orderkey * 10 + l_linenumber AS id", "l_partkey % 100 AS start", "CAST(l_partkey % 100 + l_quantity AS BIGINT) AS end")
+    return evaluation.smallest_enclosing(read(spark, sf_dir, "orders").selectExpr("o_orderkey div 32 AS file", "o_custkey % 130 AS line").distinct(), spans)
 
 
 @query("SELECT doc_id AS id FROM labels WHERE quality = 1 AND doc_id NOT IN (SELECT vec_id FROM embeddings WHERE label < 5) AND doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
@@ -498,5 +507,5 @@ def snapshot_merge(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for a task: BM25 over passages, the best passage of each document, by id on ties."""
-    scores = _unit_scores(spark, sf_dir).groupBy(F.floor(F.col("unit") / 1000).alias("doc_id")).agg(F.max("score").alias("score"))
+    scores = _unit_scores(spark, sf_dir).groupBy("doc_id").agg(F.max("score").alias("score"))
     return retrieval.top(scores, "doc_id", 10)

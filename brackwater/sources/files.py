@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import ast
+import datetime
+import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,12 +22,44 @@ TRACE = "t STRING, profile STRING, mode STRING, env STRING, qual STRING, hits BI
 
 
 def scan(spark: SparkSession, roots: list[str], extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
-    """path, mtime, size, text of the files below the roots, each once; undecodable bytes are dropped."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots)
-    parts = F.split("path", "/")
-    wanted = F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*extensions) & ~F.arrays_overlap(parts, F.array(*map(F.lit, SKIPPED_DIRS)))
-    kept = files.where(wanted).dropDuplicates(["path"])
-    return kept.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), F.translate(F.make_valid_utf8(F.col("content").cast("string")), "\ufffd", "").alias("text"))
+    """path (below its root), root, mtime, size, text, bad of the files below the roots, each once; undecodable bytes are dropped, and bad marks files that had any.
+    Contents are read of files with the wanted extensions only; folders are skipped by their names below the root, wherever the root itself lies. Spark's readers pass over names that
+    begin with an underscore, such as __init__.py; of local roots the driver adds those files."""
+    pattern = "*.{" + ",".join(sorted({x for e in extensions for x in (e, e.upper())})) + "}"
+    rows = None
+    for root in roots:
+        top = root.rstrip("/")
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(top)
+        bare = F.regexp_replace("path", r"^[a-z][a-z0-9+.\-]*:/+", "/")
+        start = _below(top)
+        below = bare.substr(F.instr(bare, start) + len(start), F.length(bare))
+        leg = files.select(F.col("path").alias("full"), below.alias("path"), F.lit(top).alias("root"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
+        rows = leg if rows is None else rows.unionByName(leg)
+        if more := _underscored(start, extensions):
+            rows = rows.unionByName(spark.createDataFrame([(*m[:2], top, *m[2:]) for m in more], rows.schema))
+    wanted = ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED_DIRS)))
+    kept = rows.where(wanted).dropDuplicates(["full"]).drop("full")
+    valid = F.make_valid_utf8(F.col("content").cast("string"))
+    return kept.select("path", "root", "mtime", "size", F.translate(valid, "\ufffd", "").alias("text"), (valid.contains("\ufffd") & ~F.col("content").cast("string").contains("\ufffd")).alias("bad"))
+
+
+def _below(root: str) -> str:
+    """A root without its scheme, with a slash at its end."""
+    return re.sub(r"^[a-z][a-z0-9+.\-]*:/+", "/", root).rstrip("/") + "/"
+
+
+def _underscored(root: str, extensions: tuple[str, ...]) -> list[tuple]:
+    """full path, path, time, size and content of a local root's files whose names, or whose folders' names, begin with an underscore."""
+    found = []
+    for folder, subs, names in os.walk(root):
+        subs[:] = [x for x in subs if x not in SKIPPED_DIRS]
+        under = any(x.startswith("_") for x in os.path.relpath(folder, root).split(os.sep))
+        for name in names:
+            if (under or name.startswith("_")) and name.rpartition(".")[2].lower() in extensions:
+                full = os.path.join(folder, name)
+                with open(full, "rb") as f:
+                    found.append((full, os.path.relpath(full, root).replace(os.sep, "/"), datetime.datetime.fromtimestamp(os.path.getmtime(full)), os.path.getsize(full), f.read()))
+    return found
 
 
 def readable(files: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def test_text_functions(spark):
     assert one(spark, fn.subtokens(lit("parseHTTPResponse_v2 x"))) == ["parse", "httpresponse", "v2"]
     assert one(spark, fn.norm_key(lit(' "user:${id}" '))) == "user:{}"
     assert one(spark, fn.norm_key(lit("''"))) is None
-    assert one(spark, fn.base_name(lit("repo.find(x).y"))) == "repo"
+    assert [one(spark, fn.last_name(lit(x))) for x in ("repo.find(x).y", "this.userRepo", "ctx.getRepository()", "kafka.template()", "call(x)", "")] == ["y", "userRepo", "getRepository", "template", "call", ""]
     assert one(spark, fn.config_key(lit(" MY_app-Key "))) == "my.app.key"
     assert one(spark, fn.tickets(lit("fix #12 and ABC-7"))) == ["12", "ABC-7"]
     assert one(spark, fn.is_fix(lit("Hotfix: x"))) and not one(spark, fn.is_fix(lit("prefix")))
@@ -32,7 +32,7 @@ def test_text_functions(spark):
     assert [len(p) for p in one(spark, fn.passages(lit("x" * 3000)))] == [1400, 1400, 600]
     assert one(spark, fn.passages(lit(""))) == [""]
     assert one(spark, fn.relevance(lit("src/tests/a.py"))) == 0.25 and one(spark, fn.relevance(lit("src/a.py"))) == 1.0
-    assert one(spark, fn.seeds(lit("Crash in parser"), lit("call `loadFile` or util.read_all() in pkg/io.py"))) == ["Crash", "loadFile", "parser", "pkg/io.py", "read_all"]
+    assert one(spark, fn.seeds(lit("Crash in parser"), lit("call `loadFile` or util.read_all() in pkg/io.py"))) == ["Crash", "io.py", "loadFile", "parser", "pkg/io.py", "read_all"]
     assert one(spark, fn.env_label(lit(""), lit(None).cast("string"), lit("prod"))) == "prod"
     assert one(spark, fn.redacted(lit("db.password"), lit("x"))) == "***"
 
@@ -144,7 +144,7 @@ def test_source_scan_and_parser(spark, tmp_path):
     (tmp_path / "svc.py").write_text("import os\nclass Service(Base):\n    @task\n    def handle(self):\n        return self.compute(os.getenv('A'))\n    def compute(self, x):\n        return x\nCONF = dict()\n")
     (tmp_path / "bad.py").write_text("def (:")
     found = files.readable(files.scan(spark, [str(tmp_path)]))
-    assert sorted(r["path"].rsplit("/", 1)[1] for r in found.collect()) == ["bad.py", "svc.py"]
+    assert sorted(r["path"] for r in found.collect()) == ["bad.py", "svc.py"]
     parsed = files.parse(found)
     assert rows(parsed.where("row = 'symbol'"), "qual", "type", "start", "end") == [("<module>", "module", 1, 9), ("Service", "class", 2, 7), ("Service.compute", "method", 6, 7), ("Service.handle", "method", 4, 5)]
     assert ("Service.handle", "self", "compute") in rows(parsed.where("row = 'call'"), "qual", "receiver", "name")
