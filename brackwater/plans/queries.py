@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brackwater.functions import text as fn
-from brackwater.operators import config, evaluation, graph, history, memory, overlay, pool, resources, retrieval
+from brackwater.operators import config, evaluation, graph, history, memory, overlay, pool, program, resources, retrieval
 from brackwater.storage import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -258,20 +258,21 @@ def _edges(spark, sf_dir):
     return graph.undirected(leg("customer", "c", "c_custkey", "n", "c_nationkey").unionByName(leg("supplier", "s", "s_suppkey", "n", "s_nationkey")).unionByName(leg("nation", "n", "n_nationkey", "r", "n_regionkey")))
 
 
-def _ppr_sql() -> str:
+def ppr_ctes(edges: str, seeds: str) -> str:
+    """lifted(id, pr, base, lift) after _ROUNDS rounds. edges: src, dst; seeds: id, weight."""
     steps = ", ".join(
-        f"""r{k + 1} AS MATERIALIZED (SELECT s.id, s.p, s.u, 0.5 * (coalesce(g.a, 0) + da * s.p) + 0.5 * s.p AS pr, 0.5 * (coalesce(g.b, 0) + db * s.u) + 0.5 * s.u AS base
-            FROM r{k} s LEFT JOIN (SELECT dst AS id, sum(pr / deg) AS a, sum(base / deg) AS b FROM l JOIN r{k} ON l.src = r{k}.id GROUP BY dst) g ON g.id = s.id,
-            (SELECT coalesce(sum(pr), 0) AS da, coalesce(sum(base), 0) AS db FROM r{k} WHERE id NOT IN (SELECT src FROM l)) d)"""
+        f"""r{k + 1} AS MATERIALIZED (SELECT n.id, n.p, n.u, 0.5 * (coalesce(g.a, 0) + da * n.p) + 0.5 * n.p AS pr, 0.5 * (coalesce(g.b, 0) + db * n.u) + 0.5 * n.u AS base
+            FROM r{k} n LEFT JOIN (SELECT dst AS id, sum(pr / deg) AS a, sum(base / deg) AS b FROM pl JOIN r{k} ON pl.src = r{k}.id GROUP BY dst) g ON g.id = n.id,
+            (SELECT coalesce(sum(pr), 0) AS da, coalesce(sum(base), 0) AS db FROM r{k} WHERE id NOT IN (SELECT src FROM pl)) lost)"""
         for k in range(_ROUNDS)
     )
-    return f"""WITH e AS ({_EDGES}), l AS MATERIALIZED (SELECT src, dst, count(*) OVER (PARTITION BY src) AS deg FROM e), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e),
-        x AS (SELECT id, CASE WHEN id IN ('c1', 'c2') THEN 1.0 ELSE 0.0 END + 1e-9 AS s FROM v), r0 AS (SELECT id, s / (SELECT sum(s) FROM x) AS p, 1.0 / (SELECT count(*) FROM v) AS u, s / (SELECT sum(s) FROM x) AS pr, 1.0 / (SELECT count(*) FROM v) AS base FROM x),
-        {steps}, f AS (SELECT id, pr, base, pr / (base + 1e-12) AS raw FROM r{_ROUNDS})
-        SELECT id, round(pr, 6) AS pr, round(base, 6) AS base, round((raw - (SELECT min(raw) FROM f)) / ((SELECT max(raw) FROM f) - (SELECT min(raw) FROM f)), 6) AS lift FROM f"""
+    return f"""pe AS ({edges}), pl AS MATERIALIZED (SELECT src, dst, count(*) OVER (PARTITION BY src) AS deg FROM pe), pv AS (SELECT src AS id FROM pe UNION SELECT dst FROM pe), ps AS ({seeds}),
+        px AS (SELECT pv.id, coalesce(ps.weight, 0) + 1e-9 AS s FROM pv LEFT JOIN ps USING (id)), r0 AS (SELECT id, s / (SELECT sum(s) FROM px) AS p, 1.0 / (SELECT count(*) FROM pv) AS u, s / (SELECT sum(s) FROM px) AS pr, 1.0 / (SELECT count(*) FROM pv) AS base FROM px),
+        {steps}, pf AS (SELECT id, pr, base, pr / (base + 1e-12) AS raw FROM r{_ROUNDS}),
+        lifted AS (SELECT id, pr, base, (raw - (SELECT min(raw) FROM pf)) / ((SELECT max(raw) FROM pf) - (SELECT min(raw) FROM pf)) AS lift FROM pf)"""
 
 
-@query(_ppr_sql())
+@query(f"WITH {ppr_ctes(_EDGES, "SELECT 'c1' AS id, 1.0 AS weight UNION ALL SELECT 'c2', 1.0")} SELECT id, round(pr, 6) AS pr, round(base, 6) AS base, round(lift, 6) AS lift FROM lifted")
 def ppr_lift(spark, sf_dir):
     seeds = spark.createDataFrame([("c1", 1.0), ("c2", 1.0)], "id string, weight double")
     return graph.page_rank(_edges(spark, sf_dir), seeds).select("id", *rounded("pr", "base", "lift"))
@@ -292,6 +293,42 @@ def rwr(spark, sf_dir):
     return graph.random_walk(edges, spark.createDataFrame([("c1",)], "id string")).select("id", *rounded("p"))
 
 
+#: Words of an imagined answer to the task.
+IMAGINED = ["of", "retinnd", "thing", "erthe", "thing"]
+_IMAGINED = ", ".join(f"('{t}', {IMAGINED.count(t)})" for t in dict.fromkeys(IMAGINED))
+_SOURCE_EDGES = "SELECT DISTINCT source AS src, lang AS dst FROM documents UNION SELECT DISTINCT lang, source FROM documents"
+
+
+@query(f"""WITH {_FUSED}, a2(term, w) AS (VALUES {_IMAGINED}), score2 AS (SELECT doc_id, sum(idf * w * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN i USING (term) JOIN a2 USING (term), s GROUP BY doc_id),
+    u2 AS (SELECT e.vec_id AS doc_id, coalesce(z.score, 0) AS lex, list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS sem FROM embeddings e LEFT JOIN score2 z ON z.doc_id = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 2) q),
+    m2 AS (SELECT min(lex) AS a, max(lex) AS b, min(sem) AS c, max(sem) AS d FROM u2),
+    hyde AS (SELECT doc_id, 0.32 * CASE WHEN b = a THEN 0 ELSE (lex - a) / (b - a) END + 0.10 * CASE WHEN d = c THEN 0 ELSE (sem - c) / (d - c) END AS hyde FROM u2, m2),
+    content AS (SELECT doc_id, source, fused.score FROM fused JOIN documents USING (doc_id)), hist AS (SELECT source, avg(quality) AS lifted FROM labels JOIN documents USING (doc_id) GROUP BY source),
+    {ppr_ctes(_SOURCE_EDGES, "SELECT source AS id, max(score) AS weight FROM content GROUP BY source ORDER BY weight DESC, id LIMIT 15")}
+    SELECT c.doc_id, c.source, round((c.score + coalesce(h.hyde, 0) + 0.6 * coalesce(k.lifted, 0) + 0.45 * coalesce(l.lift, 0) + 0.6 * CASE WHEN c.doc_id % 5 = 0 THEN 0.5 ELSE 0 END) * CASE WHEN c.doc_id % 7 = 0 THEN 1.5 ELSE 1 END, 5) AS score
+    FROM content c LEFT JOIN hyde h USING (doc_id) LEFT JOIN hist k USING (source) LEFT JOIN lifted l ON l.id = c.source""")
+def context_scores(spark, sf_dir):
+    """What context() makes of a task: passages' BM25 and vectors, fused; an imagined answer; history; PageRank from the best files; what ran; the prior of the path."""
+    docs, vectors = read(spark, sf_dir, "documents"), read(spark, sf_dir, "embeddings")
+    index = retrieval.postings(docs, "doc_id", fn.identifiers(F.col("text")))
+
+    def units(tokens, vec_id):
+        asked = [float(x) for x in vectors.where(F.col("vec_id") == vec_id).select("embedding").first()[0]]
+        sem = retrieval.dense(vectors, "vec_id", "embedding", asked).withColumnsRenamed({"vec_id": "doc_id", "score": "sem"})
+        lex = retrieval.bm25_scores(index, "doc_id", tokens).withColumnRenamed("score", "lex")
+        return cut(sem.join(lex, "doc_id", "left").withColumn("lex", F.coalesce("lex", F.lit(0.0))), "units")
+
+    content = cut(retrieval.fuse(units(TASK, 1), "doc_id", "lex", "sem").join(docs.select("doc_id", "source"), "doc_id"), "content")
+    history = read(spark, sf_dir, "labels").join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.avg("quality").alias("score"))
+    edges = graph.undirected(docs.select(F.col("source").alias("src"), F.col("lang").alias("dst")))
+    lift = program.file_lift(edges, content, "source")
+    found = retrieval.context(
+        content, "doc_id", "source", hyde=retrieval.hypothetical(units(IMAGINED, 2), "doc_id", "lex", "sem"), history=history, ppr=lift, runtime="fused",
+        neighbours=content.where("doc_id % 5 = 0").select("doc_id", F.lit(0.5).alias("prox")), confirmed=content.where("doc_id % 7 = 0"),
+    )
+    return found.select("doc_id", "source", F.round("score", 5).alias("score"))
+
+
 @query("""WITH t AS (SELECT 'n1' AS id), legs AS (SELECT id, 0 AS prio, 'definition' AS why FROM t UNION ALL SELECT 'r' || n_regionkey, 1, 'up' FROM nation WHERE n_nationkey = 1
     UNION ALL SELECT 'c' || c_custkey, 3, 'member' FROM customer WHERE c_nationkey = 1 UNION ALL SELECT 's' || s_suppkey, 4, 'use' FROM supplier WHERE s_nationkey = 1)
     SELECT id, min_by(why, prio) AS why FROM legs GROUP BY id""")
