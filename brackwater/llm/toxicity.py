@@ -8,7 +8,7 @@ ordinary dictionary and once with both; the bytes saved are the window's toxicit
 windows that save two and three, go into a logistic score, whose threshold (the best F1 where the dictionaries were not
 trained, by two-fold cross-fitting) is moved to CUT.
 
-Whole windows of toxic documents don't do as the toxic dictionary's samples: most of their words are ordinary, and the area under the curve falls to 0.63 to 0.69 (README).
+Whole windows of toxic documents don't do as the toxic dictionary's samples: most of their words are ordinary, and the area under the curve falls to 0.59 to 0.69 (README).
 
 The model is fitted on a sample of the labelled documents: of each class, the MOST_TOXIC and MOST_ORDINARY with the smallest hashes of their ids, in that
 order as far as MOST_BYTES of text go. Of several texts of one id the one with the smallest hash counts. What zstandard can't train a dictionary on (a few short samples) is joined
