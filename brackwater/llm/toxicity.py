@@ -2,9 +2,9 @@
 
 Two zstandard dictionaries are trained: one on ordinary text, one on toxic text. Labels hold for whole documents, of which few
 words are toxic, so the toxic dictionary is trained on those words of toxic documents that hold a run of GRAM bytes
-which toxic documents have significantly more often than ordinary ones. Windows of ordinary documents in which it saves bytes
-nevertheless train additions to the ordinary dictionary, so that what is common to both kinds of text saves nothing. A window of WINDOW words is compressed once with the
-ordinary dictionary and once with both; the bytes saved are the window's toxicity. A document's rates of saved bytes, and of
+which toxic documents have significantly more often than ordinary ones. A window of WINDOW words is compressed once with the
+ordinary dictionary and once with both; the bytes saved are the window's toxicity. In some SETTINGS, windows of ordinary documents in which the toxic dictionary saves bytes
+nevertheless train additions to the ordinary one. Of the SETTINGS that one counts whose two-fold cross-fitted scores have the largest area under the curve on the sample itself. A document's rates of saved bytes, and of
 windows that save two and three, go into a logistic score, whose threshold (the best F1 where the dictionaries were not
 trained, by two-fold cross-fitting) is moved to CUT.
 
@@ -41,10 +41,11 @@ MOST_TOXIC, MOST_ORDINARY = 2500, 6500
 #: Bytes of ordinary and of toxic text that the driver holds at most.
 MOST_BYTES = (24 << 20, 8 << 20)
 WINDOW = 8
-GRAM, GRAM_BITS, LEAST_Z = 6, 21, 4.0
-TOXIC_BYTES, ORDINARY_BYTES = 4096, 65536
-#: What rounds of windows of ordinary text that looked toxic add to the ordinary dictionary.
-HARD_BYTES, HARD_ROUNDS = 12288, 3
+GRAM, GRAM_BITS, LEAST_Z = 5, 21, 4.0
+#: Bytes of the ordinary and of the toxic dictionary, and rounds that add ordinary windows which looked toxic.
+SETTINGS = ((32768, 2048, 0), (32768, 2048, 3), (65536, 8192, 0), (65536, 8192, 3))
+#: Bytes that such a round adds.
+HARD_BYTES = 12288
 #: Windows of ordinary text that the dictionary is trained on at most, dealt over all documents of the sample.
 ORDINARY_WINDOWS = 30_000
 _DROPPED = b".,;:!?\"'()[]{}|#*$%&<>=-_/\\+0123456789"
@@ -85,6 +86,34 @@ def _compressor(content: bytes) -> zs.ZstdCompressor:
     return zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(content or b" ", dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=params)
 
 
+def samples(docs: list[bytes], toxic: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Windows of ordinary documents, and words of toxic ones with a run of bytes that these have more often. docs: words joined by blanks. They are split one
+    document at a time, for the lists of all words would be many times as large."""
+    df, n = np.zeros((2, 1 << GRAM_BITS), np.float32), [int((~toxic).sum()), int(toxic.sum())]
+    for text, t in zip(docs, toxic, strict=True):
+        df[int(t), np.unique(_grams(b" " + text + b" "))] += 1
+    odds = lambda k: np.log((df[k] + 0.5) / (n[k] + 0.5 - df[k]))
+    z = (odds(1) - odds(0)) / np.sqrt(1 / (df[1] + 0.5) + 1 / (df[0] + 0.5))
+    found = []
+    for text, t in zip(docs, toxic, strict=True):
+        if t:
+            has, at = z[_grams(b" " + text + b" ")] > LEAST_Z, 0
+            for w in text.split():
+                if has[at : max(at + 1, at + len(w) + 3 - GRAM)].any():
+                    found.append(b" " + w + b" ")
+                at += len(w) + 1
+    step = max(1, math.ceil(sum(text.count(b" ") // WINDOW + 1 for text, t in zip(docs, toxic, strict=True) if not t) / ORDINARY_WINDOWS))
+    return list(itertools.islice((x for text, t in zip(docs, toxic, strict=True) if not t for x in windows_of(text.split())), 0, None, step)), found
+
+
+def area(z: np.ndarray, toxic: np.ndarray) -> float:
+    """Under the curve, ties by half."""
+    _, place, count = np.unique(z, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(count) - (count - 1) / 2)[place]
+    t = int(toxic.sum())
+    return float((rank[toxic].sum() - t * (t + 1) / 2) / (t * (len(z) - t)))
+
+
 class Coders:
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.contents = ordinary, toxic
@@ -97,30 +126,14 @@ class Coders:
         self.contents, self._made = contents, None
 
     @classmethod
-    def trained(cls, docs: list[bytes], toxic: np.ndarray) -> Coders:
-        """docs: words joined by blanks. They are split one document at a time, for the lists of all words would be many times as large."""
-        df, n = np.zeros((2, 1 << GRAM_BITS), np.float32), [int((~toxic).sum()), int(toxic.sum())]
-        for text, t in zip(docs, toxic, strict=True):
-            df[int(t), np.unique(_grams(b" " + text + b" "))] += 1
-        odds = lambda k: np.log((df[k] + 0.5) / (n[k] + 0.5 - df[k]))
-        z = (odds(1) - odds(0)) / np.sqrt(1 / (df[1] + 0.5) + 1 / (df[0] + 0.5))
-        found = []
-        for text, t in zip(docs, toxic, strict=True):
-            if t:
-                has, at = z[_grams(b" " + text + b" ")] > LEAST_Z, 0
-                for w in text.split():
-                    if has[at : max(at + 1, at + len(w) + 3 - GRAM)].any():
-                        found.append(b" " + w + b" ")
-                    at += len(w) + 1
-        step = max(1, math.ceil(sum(text.count(b" ") // WINDOW + 1 for text, t in zip(docs, toxic, strict=True) if not t) / ORDINARY_WINDOWS))
-        plain = list(itertools.islice((x for text, t in zip(docs, toxic, strict=True) if not t for x in windows_of(text.split())), 0, None, step))
-        coders = cls(_dictionary(plain, ORDINARY_BYTES, 256), _dictionary([b"".join(found[i : i + 6]) for i in range(0, len(found), 6)], TOXIC_BYTES, 64))
-        for _ in range(HARD_ROUNDS):
+    def trained(cls, plain: list[bytes], found: list[bytes], ordinary_bytes: int, toxic_bytes: int, rounds: int) -> Coders:
+        coders = cls(_dictionary(plain, ordinary_bytes, 256), _dictionary([b"".join(found[i : i + 6]) for i in range(0, len(found), 6)], toxic_bytes, 64))
+        for _ in range(rounds):
             hard = [x for x, n in zip(plain, coders.saved(plain), strict=True) if n >= 2]
             if len(hard) < 100:
                 break
-            ordinary, toxic_bytes = coders.contents
-            coders = cls(_dictionary(hard, HARD_BYTES, 128) + ordinary, toxic_bytes)
+            ordinary, toxic = coders.contents
+            coders = cls(_dictionary(hard, HARD_BYTES, 128) + ordinary, toxic)
         return coders
 
     def saved(self, windows: list[bytes]) -> list[int]:
@@ -142,10 +155,25 @@ class Model:
 
     def __init__(self, docs: list[bytes], toxic: np.ndarray, weight: np.ndarray):
         fold = np.arange(len(docs)) % 2 == 0
-        x = np.empty((len(docs), 3))
+        crossed = np.empty((len(SETTINGS), len(docs), 3))
         for part in (fold, ~fold):
-            coders = Coders.trained([d for d, p in zip(docs, part, strict=True) if p], toxic[part])
-            x[~part] = [coders.features(d.split()) for d, p in zip(docs, part, strict=True) if not p]
+            plain, found = samples([d for d, p in zip(docs, part, strict=True) if p], toxic[part])
+            for x, setting in zip(crossed, SETTINGS, strict=True):
+                coders = Coders.trained(plain, found, *setting)
+                x[~part] = [coders.features(d.split()) for d, p in zip(docs, part, strict=True) if not p]
+        areas = [area(self._fit(x, toxic, weight), toxic) for x in crossed]
+        self.setting = SETTINGS[int(np.argmax(areas))]
+        z = self._fit(crossed[int(np.argmax(areas))], toxic, weight)
+        order = np.argsort(-z, kind="stable")
+        hit, said = np.cumsum((weight * toxic)[order]), np.cumsum(weight[order])
+        f1 = 2 * hit / (said + (weight * toxic).sum())
+        best = int(f1.argmax())
+        low = z[order[best + 1]] if best + 1 < len(z) else z[order[best]] - 1
+        self.shift = math.log(CUT / (1 - CUT)) - (z[order[best]] + low) / 2
+        self.coders = Coders.trained(*samples(docs, toxic), *self.setting)
+
+    def _fit(self, x: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Sets mean, scale and w; the curve's logits."""
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
         a = np.column_stack([(x - self.mean) / self.scale, np.ones(len(x))])
         self.w, y = np.zeros(4), toxic.astype(float)
@@ -153,14 +181,7 @@ class Model:
             p = 1 / (1 + np.exp(-np.clip(a @ self.w, -30, 30)))
             h = (a * (weight * p * (1 - p))[:, None]).T @ a + np.diag([1.0, 1.0, 1.0, 1e-6])
             self.w += np.linalg.solve(h, a.T @ (weight * (y - p)) - np.array([1.0, 1.0, 1.0, 0.0]) * self.w)
-        z = a @ self.w
-        order = np.argsort(-z, kind="stable")
-        hit, said = np.cumsum((weight * y)[order]), np.cumsum(weight[order])
-        f1 = 2 * hit / (said + (weight * y).sum())
-        best = int(f1.argmax())
-        low = z[order[best + 1]] if best + 1 < len(z) else z[order[best]] - 1
-        self.shift = math.log(CUT / (1 - CUT)) - (z[order[best]] + low) / 2
-        self.coders = Coders.trained(docs, toxic)
+        return a @ self.w
 
     def score(self, text: bytes | None) -> float:
         x = (np.array(self.coders.features(words_of(text))) - self.mean) / self.scale
