@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brackwater.functions import text as fn
-from brackwater.operators import config, evaluation, graph, history, memory, overlay, pool, program, resources, retrieval
+from brackwater.operators import config, evaluation, graph, history, memory, overlay, pool, program, resources, retrieval, signals
 from brackwater.storage import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -542,6 +542,88 @@ def snapshot_merge(spark, sf_dir):
     return last_snapshots(rows).withColumn("hits", F.round("hits", 4))
 
 
+@query(f"WITH a AS (SELECT rid AS key, fn, bool_or(kind = 'writes') AS w FROM ({_ACCESS}) GROUP BY 1, 2), k AS (SELECT key FROM a GROUP BY key HAVING bool_or(w) AND bool_or(NOT w) AND count(*) <= 12), s AS (SELECT a.* FROM a SEMI JOIN k USING (key)) SELECT DISTINCT o.fn FROM s o JOIN s m ON o.key = m.key AND o.w <> m.w WHERE m.fn <= 5 AND o.fn > 5")
+def field_partners(spark, sf_dir):
+    fields = _access(spark, sf_dir).select(F.col("rid").alias("key"), "fn", (F.col("kind") == "writes").alias("writer"))
+    return signals.field_partners(fields, spark.range(6).select(F.col("id").alias("fn")))
+
+
+@query(f"WITH a AS (SELECT rid, fn // 8 AS file, bool_or(kind = 'writes') AS writes, bool_or(kind <> 'writes') AS reads FROM ({_ACCESS}) GROUP BY 1, 2) SELECT * FROM a WHERE rid IN (SELECT rid FROM a GROUP BY rid HAVING count(*) >= 2)")
+def file_resources(spark, sf_dir):
+    access = _access(spark, sf_dir)
+    return signals.file_resources(access, access.select(F.col("fn").alias("id"), F.floor(F.col("fn") / 8).alias("file")).distinct())
+
+
+@query("WITH t AS (SELECT CAST(l_partkey AS VARCHAR) AS type, l_suppkey AS file, bool_or(l_returnflag = 'R') AS writes FROM lineitem GROUP BY 1, 2), k AS (SELECT type FROM t GROUP BY type HAVING count(*) BETWEEN 2 AND least(15, (SELECT count(*) // 2 FROM supplier))) SELECT 'type:' || type AS rid, file, writes, NOT writes AS reads FROM t SEMI JOIN k USING (type)")
+def type_resources(spark, sf_dir):
+    uses = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("type"), F.col("l_suppkey").alias("file"), "l_returnflag")
+    return signals.type_resources(uses, uses.where("l_returnflag = 'R'").drop("l_returnflag"), read(spark, sf_dir, "supplier").count())
+
+
+@query("""WITH f AS (SELECT DISTINCT l_partkey AS id, 0.9 AS w FROM lineitem WHERE l_suppkey = 1 UNION ALL SELECT p_partkey, 0.8 FROM part WHERE p_size = 7 UNION ALL SELECT DISTINCT l_partkey, 0.7 FROM lineitem WHERE l_quantity = 50 UNION ALL SELECT DISTINCT l_partkey, 0.35 FROM lineitem WHERE l_suppkey = 2
+        UNION ALL SELECT id, 0.6 * n / max(n) OVER () FROM (SELECT l_partkey AS id, count(*) AS n FROM lineitem WHERE l_suppkey = 3 GROUP BY 1)), g AS (SELECT id, sum(w) AS w, count(*) AS signals FROM f GROUP BY id), e AS (SELECT min(p_retailprice) AS low, max(p_retailprice) AS high FROM part)
+    SELECT p_partkey AS id, round((p_retailprice - low) / (high - low) + coalesce(w, 0) + 0.25 * greatest(0, coalesce(signals, 0) - 1), 6) AS score, signals IS NOT NULL OR p_partkey <= 3 AS pooled FROM part LEFT JOIN g ON id = p_partkey, e""")
+def ranked_union(spark, sf_dir):
+    part, line = read(spark, sf_dir, "part"), read(spark, sf_dir, "lineitem").withColumn("id", F.col("l_partkey"))
+    legs = {"resource": line.where("l_suppkey = 1"), "state": part.where("p_size = 7").select(F.col("p_partkey").alias("id")), "field": line.where("l_quantity = 50"), "import": line.where("l_suppkey = 2")}
+    moved = line.where("l_suppkey = 3").groupBy("id").agg(F.count("*").alias("n"))
+    found = signals.ranked_union(part.select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("score")), legs, moved, spark.range(1, 4))
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query("SELECT CASE WHEN p_size % 5 = 0 THEN p_type ELSE p_brand || '.' || p_type END AS pattern, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, pattern LIMIT 140")
+def call_patterns(spark, sf_dir):
+    receiver = F.when(F.col("p_size") % 5 != 0, F.concat(F.lit("this.of('x')."), "p_brand", F.lit("()")))
+    return signals.call_patterns(read(spark, sf_dir, "part").select(receiver.alias("receiver"), F.col("p_type").alias("method")))
+
+
+@query("SELECT doc_id, source FROM documents WHERE lang = 'en' QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 20")
+def benchmark_cap(spark, sf_dir):
+    return signals.most_of_each(read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "source"), ["source"], ["doc_id"], 20)
+
+
+@query("SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")
+def first_seen(spark, sf_dir):
+    return signals.first_seen(read(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
+
+
+@query("SELECT c_custkey AS module, s_suppkey AS sibling FROM customer JOIN supplier ON c_nationkey = s_nationkey AND round(c_acctbal / 100) = round(s_acctbal / 100) WHERE c_custkey <> s_suppkey")
+def sibling_dependencies(spark, sf_dir):
+    side = lambda t, k, p: read(spark, sf_dir, t).select(F.col(k).alias("module"), F.col(f"{p}_nationkey").alias("ecosystem"), F.round(F.col(f"{p}_acctbal") / 100).alias("name"))
+    return signals.sibling_dependencies(side("customer", "c_custkey", "c"), side("supplier", "s_suppkey", "s"))
+
+
+@query("WITH t AS (SELECT DISTINCT l_orderkey AS c, l_partkey AS f FROM lineitem), p AS (SELECT x.f AS query, y.f AS id FROM t x JOIN t y USING (c) WHERE x.f <> y.f GROUP BY 1, 2 HAVING count(*) >= 2) SELECT query, id FROM p QUALIFY count(*) OVER (PARTITION BY query) >= 2")
+def cochange_gold(spark, sf_dir):
+    return signals.cochange_gold(history.cochanges(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey"))
+
+
+@query("WITH g AS (SELECT DISTINCT l_suppkey AS query, l_partkey AS id FROM lineitem WHERE l_quantity > 45), f AS (SELECT DISTINCT l_returnflag AS config, l_suppkey AS query, l_partkey AS id FROM lineitem WHERE l_discount < 0.05), w AS (SELECT query, count(*) AS n FROM g GROUP BY 1), q AS (SELECT config, f.query, count(g.id) AS hits, count(*) AS size FROM f LEFT JOIN g ON f.query = g.query AND f.id = g.id GROUP BY 1, 2) SELECT config, round(sum(hits / n) / (SELECT count(*) FROM w), 6) AS macro, round(sum(hits) / (SELECT sum(n) FROM w), 6) AS micro, round(sum(size) / (SELECT count(*) FROM w), 6) AS size FROM q JOIN w USING (query) GROUP BY config")
+def recall_by_configuration(spark, sf_dir):
+    line = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("config"), F.col("l_suppkey").alias("query"), F.col("l_partkey").alias("id"), "l_quantity", "l_discount")
+    return signals.recall_by_configuration(line.where("l_discount < 0.05"), line.where("l_quantity > 45")).select("config", *rounded("macro", "micro", "size"))
+
+
+@query("SELECT DISTINCT 'p' || p_size || '.' || lower(split_part(p_type, ' ', 1)) AS prefix FROM part WHERE p_type NOT LIKE '% STEEL'")
+def package_prefixes(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    path = F.when(F.col("p_type").endswith(" STEEL"), "A.kt").otherwise("A.java")
+    text = F.concat(F.lit("// package no.no;\n\tpackage p"), "p_size", F.lit("."), F.lower(F.substring_index("p_type", " ", 1)), F.lit(".deep.er ;\nclass A {}"))
+    return signals.package_prefixes(part.select(path.alias("path"), text.alias("text")))
+
+
+@query("SELECT o_custkey AS file, count(*) AS changes, count(*) FILTER (WHERE o_orderstatus = 'F') AS fixes FROM orders GROUP BY 1")
+def change_counts(spark, sf_dir):
+    return signals.change_counts(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file"), (F.col("o_orderstatus") == "F").alias("is_fix")))
+
+
+@query("SELECT l_partkey AS norm_key, l_orderkey AS file, l_linenumber AS line, l_quantity AS value, count(*) OVER (PARTITION BY l_partkey) - 1 AS more FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM lineitem WHERE l_suppkey <= 3) QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_quantity) = 1")
+def config_rows(spark, sf_dir):
+    line = read(spark, sf_dir, "lineitem")
+    defs = line.select(F.col("l_partkey").alias("norm_key"), F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("value"))
+    return signals.config_rows(defs, line.select(F.col("l_partkey").alias("norm_key"), F.col("l_suppkey").alias("reader")), spark.range(1, 4))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for a task: BM25 over passages, the best passage of each document, by id on ties."""
     scores = _unit_scores(spark, sf_dir).groupBy("doc_id").agg(F.max("score").alias("score"))
