@@ -542,10 +542,10 @@ def snapshot_merge(spark, sf_dir):
     return last_snapshots(rows).withColumn("hits", F.round("hits", 4))
 
 
-@query(f"WITH a AS (SELECT rid AS key, fn, bool_or(kind = 'writes') AS w FROM ({_ACCESS}) GROUP BY 1, 2), k AS (SELECT key FROM a GROUP BY key HAVING bool_or(w) AND bool_or(NOT w) AND count(*) <= 12), s AS (SELECT a.* FROM a SEMI JOIN k USING (key)) SELECT DISTINCT o.fn FROM s o JOIN s m ON o.key = m.key AND o.w <> m.w WHERE m.fn <= 5 AND o.fn > 5")
+@query("WITH a AS (SELECT l_orderkey AS key, l_partkey AS fn, bool_or(l_linenumber = 1) AS w FROM lineitem GROUP BY 1, 2), k AS (SELECT key FROM a GROUP BY key HAVING bool_or(w) AND bool_or(NOT w) AND count(*) <= 12), s AS (SELECT a.* FROM a SEMI JOIN k USING (key)) SELECT DISTINCT o.fn FROM s o JOIN s m ON o.key = m.key AND o.w <> m.w WHERE m.fn BETWEEN 1 AND 5 AND o.fn NOT BETWEEN 1 AND 5")
 def field_partners(spark, sf_dir):
-    fields = _access(spark, sf_dir).select(F.col("rid").alias("key"), "fn", (F.col("kind") == "writes").alias("writer"))
-    return signals.field_partners(fields, spark.range(6).select(F.col("id").alias("fn")))
+    fields = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("fn"), (F.col("l_linenumber") == 1).alias("writer"))
+    return signals.field_partners(fields, spark.range(1, 6).select(F.col("id").alias("fn")))
 
 
 @query(f"WITH a AS (SELECT rid, fn // 8 AS file, bool_or(kind = 'writes') AS writes, bool_or(kind <> 'writes') AS reads FROM ({_ACCESS}) GROUP BY 1, 2) SELECT * FROM a WHERE rid IN (SELECT rid FROM a GROUP BY rid HAVING count(*) >= 2)")
@@ -562,7 +562,7 @@ def type_resources(spark, sf_dir):
 
 @query("""WITH f AS (SELECT DISTINCT l_partkey AS id, 0.9 AS w FROM lineitem WHERE l_suppkey = 1 UNION ALL SELECT p_partkey, 0.8 FROM part WHERE p_size = 7 UNION ALL SELECT DISTINCT l_partkey, 0.7 FROM lineitem WHERE l_quantity = 50 UNION ALL SELECT DISTINCT l_partkey, 0.35 FROM lineitem WHERE l_suppkey = 2
         UNION ALL SELECT id, 0.6 * n / max(n) OVER () FROM (SELECT l_partkey AS id, count(*) AS n FROM lineitem WHERE l_suppkey = 3 GROUP BY 1)), g AS (SELECT id, sum(w) AS w, count(*) AS signals FROM f GROUP BY id), e AS (SELECT min(p_retailprice) AS low, max(p_retailprice) AS high FROM part)
-    SELECT p_partkey AS id, round((p_retailprice - low) / (high - low) + coalesce(w, 0) + 0.25 * greatest(0, coalesce(signals, 0) - 1), 6) AS score, signals IS NOT NULL OR p_partkey <= 3 AS pooled FROM part LEFT JOIN g ON id = p_partkey, e""")
+    SELECT p_partkey AS id, round((p_retailprice - low) / (high - low) + coalesce(w, 0) + 0.25 * greatest(0, coalesce(signals, 0) - 1), 6) AS score, signals IS NOT NULL OR p_partkey BETWEEN 1 AND 3 AS pooled FROM part LEFT JOIN g ON id = p_partkey, e""")
 def ranked_union(spark, sf_dir):
     part, line = read(spark, sf_dir, "part"), read(spark, sf_dir, "lineitem").withColumn("id", F.col("l_partkey"))
     legs = {"resource": line.where("l_suppkey = 1"), "state": part.where("p_size = 7").select(F.col("p_partkey").alias("id")), "field": line.where("l_quantity = 50"), "import": line.where("l_suppkey = 2")}
@@ -617,7 +617,7 @@ def change_counts(spark, sf_dir):
     return signals.change_counts(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file"), (F.col("o_orderstatus") == "F").alias("is_fix")))
 
 
-@query("SELECT l_partkey AS norm_key, l_orderkey AS file, l_linenumber AS line, l_quantity AS value, count(*) OVER (PARTITION BY l_partkey) - 1 AS more FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM lineitem WHERE l_suppkey <= 3) QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_quantity) = 1")
+@query("SELECT l_partkey AS norm_key, l_orderkey AS file, l_linenumber AS line, l_quantity AS value, count(*) OVER (PARTITION BY l_partkey) - 1 AS more FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM lineitem WHERE l_suppkey BETWEEN 1 AND 3) QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_quantity) = 1")
 def config_rows(spark, sf_dir):
     line = read(spark, sf_dir, "lineitem")
     defs = line.select(F.col("l_partkey").alias("norm_key"), F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("value"))
