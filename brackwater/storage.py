@@ -2,11 +2,29 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python, once for each application, unless PYTHONPATH, which they inherit, has it."""
+    top, app = Path(__file__).resolve().parents[1], spark.sparkContext.applicationId
+    if app in _shipped or str(top) in os.environ.get("PYTHONPATH", "").split(":"):
+        return
+    _shipped.add(app)
+    archive = Path(tempfile.mkdtemp(prefix="brackwater-")) / "brackwater.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted((top / "brackwater").rglob("*.py")):
+            z.write(f, f.relative_to(top))
+    spark.sparkContext.addPyFile(str(archive))
 
 
 def cut(df: DataFrame, label: str = "table") -> DataFrame:
