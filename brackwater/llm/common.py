@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import re
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brackwater.storage import ship
+
 #: The white space that separates words: blank, tab, LF, VT, FF, CR.
 WORD_SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,22 +50,6 @@ def lookup_join(big: DataFrame, small: DataFrame, on: list[str], small_rows: int
     return left.join(right, [*match, left["__bw_salt"] == right["__bw_salt_r"]], how).drop(*keys, "__bw_salt", "__bw_salt_r")
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python, once for each application, unless PYTHONPATH, which they inherit, has it."""
-    top, app = Path(__file__).resolve().parents[2], spark.sparkContext.applicationId
-    if app in _shipped or str(top) in os.environ.get("PYTHONPATH", "").split(":"):
-        return
-    _shipped.add(app)
-    archive = Path(tempfile.mkdtemp(prefix="brackwater-")) / "brackwater.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted((top / "brackwater").rglob("*.py")):
-            z.write(f, f.relative_to(top))
-    spark.sparkContext.addPyFile(str(archive))
-
-
 def settled(column: Column) -> Column:
     """column, computed once where it stands: the optimizer moves no filter below it and copies it into no other expression."""
     return F.when(F.monotonically_increasing_id() >= 0, column)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brackwater.llm import ann, chat, html, lm, mixing, packing, quality, sharding, simhash, toxicity
+from brackwater.llm import alignment, ann, chat, html, lm, mixing, packing, quality, resampling, sharding, simhash, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,10 @@ def queries() -> dict:
         "op8_mixing": mixing.op8_mixing,
         "op9_simhash": simhash.op9_simhash,
         "op10_packing": packing.op10_packing,
+        "op11_alignment": alignment.op11_alignment,
+        "op12_resampling": resampling.op12_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**ann.SQL, **chat.SQL, **mixing.SQL, **quality.SQL}
+    return {**ann.SQL, **chat.SQL, **mixing.SQL, **quality.SQL, **resampling.SQL}
