@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brackwater.llm import alignment, ann, chat, html, lm, mixing, packing, quality, resampling, sharding, simhash, toxicity
+from brackwater.llm import alignment, ann, chat, html, lm, mixing, packing, quality, resampling, sharding, simhash, toxicity, voting
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_packing": packing.op10_packing,
         "op11_alignment": alignment.op11_alignment,
         "op12_resampling": resampling.op12_resampling,
+        "op13_quality": voting.op13_quality,
     }
 
 

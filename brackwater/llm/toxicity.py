@@ -4,9 +4,8 @@ Two zstandard dictionaries are trained: one on ordinary text, one on toxic text.
 words are toxic, so the toxic dictionary is trained on those words of toxic documents that hold a run of GRAM bytes
 which toxic documents have significantly more often than ordinary ones. A window of WINDOW words is compressed once with the
 ordinary dictionary and once with both; the bytes saved are the window's toxicity. In some SETTINGS, windows of ordinary documents in which the toxic dictionary saves bytes
-nevertheless train additions to the ordinary one. Of the SETTINGS that one counts whose two-fold cross-fitted scores have the largest area under the curve on the sample itself. A document's rates of saved bytes, and of
-windows that save two and three, go into a logistic score, whose threshold (the best F1 where the dictionaries were not
-trained, by two-fold cross-fitting) is moved to CUT.
+nevertheless train additions to the ordinary one. A document's rates of saved bytes, and of windows that save two and three, or some of the three, go into a logistic score with no negative weights. Of the SETTINGS and the
+FEATURES those count whose two-fold cross-fitted scores have the largest area under the curve on the sample itself. The threshold, the best F1 of those scores between two distinct ones, is moved to CUT.
 
 Whole windows of toxic documents don't do as the toxic dictionary's samples: most of their words are ordinary, and the area under the curve falls to 0.59 to 0.69 (README).
 
@@ -16,7 +15,7 @@ and its last bytes, as many as the dictionary may have, are the dictionary.
 Language, source and id are no inputs. Every text is scored whole.
 
 Defined cases: a null or empty text has no windows and scores what a text without toxic windows does; an id labelled more than once is toxic if any
-label says so; null labels and ids don't count; without documents of both classes all scores are 0; rows of one id are scored each; an
+label says so; null labels and ids don't count; with fewer than LEAST documents of either class, and where no run of bytes is significant, nothing is known of toxic text and all scores are 0; rows of one id are scored each; an
 empty table gives no rows; other columns pass through.
 """
 
@@ -33,7 +32,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brackwater.llm.common import read
+from brackwater.llm import labelled
+from brackwater.llm.common import read, ship
 
 HOLD_OUT, HELD = 3, 1
 CUT = 0.7
@@ -44,6 +44,10 @@ WINDOW = 8
 GRAM, GRAM_BITS, LEAST_Z = 5, 21, 4.0
 #: Bytes of the ordinary and of the toxic dictionary, and rounds that add ordinary windows which looked toxic.
 SETTINGS = ((32768, 2048, 0), (32768, 2048, 3), (65536, 8192, 0), (65536, 8192, 3))
+#: Features that a curve is tried with: the rate of saved bytes, of windows that save two, and three.
+FEATURES = ((0,), (1,), (2,), (0, 1), (0, 2), (1, 2), (0, 1, 2))
+#: Documents of each class without which nothing is fitted.
+LEAST = 4
 #: Bytes that such a round adds.
 HARD_BYTES = 12288
 #: Windows of ordinary text that the dictionary is trained on at most, dealt over all documents of the sample.
@@ -106,14 +110,6 @@ def samples(docs: list[bytes], toxic: np.ndarray) -> tuple[list[bytes], list[byt
     return list(itertools.islice((x for text, t in zip(docs, toxic, strict=True) if not t for x in windows_of(text.split())), 0, None, step)), found
 
 
-def area(z: np.ndarray, toxic: np.ndarray) -> float:
-    """Under the curve, ties by half."""
-    _, place, count = np.unique(z, return_inverse=True, return_counts=True)
-    rank = (np.cumsum(count) - (count - 1) / 2)[place]
-    t = int(toxic.sum())
-    return float((rank[toxic].sum() - t * (t + 1) / 2) / (t * (len(z) - t)))
-
-
 class Coders:
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.contents = ordinary, toxic
@@ -151,7 +147,7 @@ class Coders:
 
 
 class Model:
-    """The coders and a logistic curve over their features."""
+    """The coders and a logistic curve over some of their features. Without a toxic dictionary nothing is toxic: all scores are 0."""
 
     def __init__(self, docs: list[bytes], toxic: np.ndarray, weight: np.ndarray):
         fold = np.arange(len(docs)) % 2 == 0
@@ -161,69 +157,54 @@ class Model:
             for x, setting in zip(crossed, SETTINGS, strict=True):
                 coders = Coders.trained(plain, found, *setting)
                 x[~part] = [coders.features(d.split()) for d, p in zip(docs, part, strict=True) if not p]
-        areas = [area(self._fit(x, toxic, weight), toxic) for x in crossed]
-        self.setting = SETTINGS[int(np.argmax(areas))]
-        z = self._fit(crossed[int(np.argmax(areas))], toxic, weight)
-        order = np.argsort(-z, kind="stable")
-        hit, said = np.cumsum((weight * toxic)[order]), np.cumsum(weight[order])
-        f1 = 2 * hit / (said + (weight * toxic).sum())
-        best = int(f1.argmax())
-        low = z[order[best + 1]] if best + 1 < len(z) else z[order[best]] - 1
-        self.shift = math.log(CUT / (1 - CUT)) - (z[order[best]] + low) / 2
-        self.coders = Coders.trained(*samples(docs, toxic), *self.setting)
-
-    def _fit(self, x: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Sets mean, scale and w; the curve's logits."""
+        tried = [(labelled.area(self._fit(x, toxic, weight, f), toxic), k, f) for k, x in enumerate(crossed) for f in FEATURES]
+        _, k, self.features = max(tried, key=lambda t: t[0])
+        self.setting = SETTINGS[k]
+        z = self._fit(crossed[k], toxic, weight, self.features)
+        self.shift = math.log(CUT / (1 - CUT)) - labelled.best_cut(z, toxic, weight)
+        plain, found = samples(docs, toxic)
+        self.coders = Coders.trained(plain, found, *self.setting) if found and self.w[:3].any() else None
+
+    def _fit(self, x: np.ndarray, toxic: np.ndarray, weight: np.ndarray, features: tuple[int, ...]) -> np.ndarray:
+        """Sets mean, scale and w; the curve's logits. Of the named features those weigh that point to toxic text; what would weigh less than nothing is left out, the worst first."""
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-        a = np.column_stack([(x - self.mean) / self.scale, np.ones(len(x))])
-        self.w, y = np.zeros(4), toxic.astype(float)
-        for _ in range(40):  # Newton's steps, with a small ridge
-            p = 1 / (1 + np.exp(-np.clip(a @ self.w, -30, 30)))
-            h = (a * (weight * p * (1 - p))[:, None]).T @ a + np.diag([1.0, 1.0, 1.0, 1e-6])
-            self.w += np.linalg.solve(h, a.T @ (weight * (y - p)) - np.array([1.0, 1.0, 1.0, 0.0]) * self.w)
+        a, y, used = np.column_stack([(x - self.mean) / self.scale, np.ones(len(x))]), toxic.astype(float), list(features)
+        while True:
+            at = [*used, 3]
+            w, ridge = np.zeros(len(at)), np.append(np.ones(len(used)), 1e-6)
+            for _ in range(40):  # Newton's steps, with a small ridge
+                p = 1 / (1 + np.exp(-np.clip(a[:, at] @ w, -30, 30)))
+                h = (a[:, at] * (weight * p * (1 - p))[:, None]).T @ a[:, at] + np.diag(ridge)
+                w += np.linalg.solve(h, a[:, at].T @ (weight * (y - p)) - np.append(np.ones(len(used)), 0) * w)
+            if not used or w[:-1].min() >= 0:
+                break
+            del used[int(w[:-1].argmin())]
+        self.w = np.zeros(4)
+        self.w[at] = w
         return a @ self.w
 
     def score(self, text: bytes | None) -> float:
+        if self.coders is None:
+            return 0.0
         x = (np.array(self.coders.features(words_of(text))) - self.mean) / self.scale
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(x @ self.w[:3] + self.w[3] + self.shift)))))
 
 
 def held_out(key: str) -> Column:
-    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % HOLD_OUT == HELD
+    return labelled.held_out(key, HOLD_OUT, HELD)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model | None:
     """Labels of rows that are held out are not looked at."""
-    marks = labels.select(F.col("doc_id").alias("id"), "toxic").where("id IS NOT NULL AND toxic IS NOT NULL").where(~held_out("id")).groupBy("id").agg(F.max("toxic").alias("toxic"))
-    few = [marks.where(F.col("toxic") == t).orderBy(F.xxhash64("id"), "id").limit(n) for t, n in ((1, MOST_TOXIC), (0, MOST_ORDINARY))]
-    chosen = docs.select(F.col(key).alias("id"), F.col(text).cast("binary").alias("text")).join(F.broadcast(few[0].unionByName(few[1])), "id")  # as many as the two bounds
-    texts = chosen.groupBy("id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    sizes = chosen.groupBy("id", "toxic").agg(F.min_by(F.octet_length("text"), F.xxhash64("text")).alias("n"))
-    within, left = [], list(MOST_BYTES)
-    for r in sorted(sizes.collect(), key=lambda r: (zlib_order(r["id"]), r["id"])):  # as many rows as the two bounds
-        left[r["toxic"]] -= r["n"] or 0
-        if left[r["toxic"]] >= 0:
-            within.append((r["id"],))
-    texts = texts.join(F.broadcast(docs.sparkSession.createDataFrame(within, marks.select("id").schema)), "id") if within else texts.limit(0)
-    rows = sorted(texts.collect(), key=lambda r: (zlib_order(r["id"]), r["id"]))
-    toxic = np.array([bool(r["toxic"]) for r in rows], bool)
-    if min(toxic.sum(), (~toxic).sum()) < 4:
+    found = labelled.sample(docs, labels, "toxic", held_out("id"), (MOST_ORDINARY, MOST_TOXIC), MOST_BYTES, key, text)
+    if min(found.mark.sum(), (~found.mark).sum()) < LEAST:
         return None
-    counts = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
-    weight = np.where(toxic, counts[1] / toxic.sum(), counts[0] / (~toxic).sum())
-    texts = [b" ".join(words_of(r["text"])) for r in rows]
-    del rows
-    return Model(texts, toxic, weight / weight.mean())
-
-
-def zlib_order(key: object) -> int:
-    import zlib
-
-    return zlib.crc32(f"order {key}".encode())
+    return Model([b" ".join(words_of(t)) for t in found.texts], found.mark, found.weight)
 
 
 def scored(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """row (docs' columns as a struct) and score, between 0 and 1."""
+    ship(docs.sparkSession)
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).cast("binary").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries and a few numbers
 
