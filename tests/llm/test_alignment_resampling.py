@@ -44,7 +44,10 @@ def whole_tokens(texts):
 
 def brute_alignment(rows):
     tokens = whole_tokens([t for _, t in rows])
-    links = [[(x, y) for x, e in a for y in [dict((f, z) for z, f in b).get(e)] if y is not None] for a, b in tokens]
+    links = []
+    for a, b in tokens:
+        ends = {e: y for y, e in b}
+        links.append([(x, ends[e]) for x, e in a if e in ends])
     count = Counter(p for one in links for p in one)
     best = {}
     for (_, y), n in count.items():
@@ -52,10 +55,16 @@ def brute_alignment(rows):
     out = []
     for (key, _), (a, b), one in zip(rows, tokens, links, strict=True):
         cuts = sorted({e for _, e in a} & {e for _, e in b})
-        groups, low = [], 0
+        groups = []
+        a, b, all_a, all_b = [*a], [*b], a, b
         for cut in cuts:
-            groups.append(",".join(str(x) for x, e in a if low < e <= cut) + "|" + ",".join(str(x) for x, e in b if low < e <= cut))
-            low = cut
+            sides = []
+            for left in (a, b):
+                n = next(k for k, (_, e) in enumerate(left) if e == cut) + 1
+                sides.append(",".join(str(x) for x, _ in left[:n]))
+                del left[:n]
+            groups.append("|".join(sides))
+        a, b = all_a, all_b
         text = ";".join(groups)
         out.append((key, len(a), len(b), len(groups), len(one), sum(count[p] == best[p[1]] for p in one), sum(count[p] for p in one), hashlib.sha256(text.encode()).hexdigest() if a else ""))
     return sorted(out, key=str), {(y, x, n) for (x, y), n in count.items() if n == best[y]}
