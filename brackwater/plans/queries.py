@@ -5,6 +5,8 @@ facts, nations for a graph of modules."""
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +15,8 @@ from pyspark.sql.window import Window
 
 from brackwater.functions import text as fn
 from brackwater.operators import config, evaluation, graph, history, memory, overlay, pool, program, resources, retrieval, signals
-from brackwater.storage import cut
+from brackwater.operators.index import InvertedIndex
+from brackwater.storage import cut, fingerprint, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,12 +87,59 @@ _PIECE_TOKENS = f"SELECT doc_id, piece_no, list_transform(regexp_extract_all(pie
 
 @query(f"WITH {bm25_sql(_DOC_TOKENS, 'doc_id')} SELECT doc_id, round(score, 6) AS score FROM score ORDER BY score.score DESC, doc_id LIMIT 10")
 def bm25_topk(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
-    return retrieval.top(retrieval.bm25(docs, "doc_id", fn.identifiers(F.col("text")), TASK), "doc_id", 10).select("doc_id", *rounded("score"))
+    return retrieval.top(document_index(spark, sf_dir).scores(TASK, "doc_id"), "doc_id", 10).select("doc_id", *rounded("score"))
+
+
+def _index(spark, sf_dir, kind, key_type, docs, text, tokens):
+    """The index of the documents table, built when it is first asked for and brought up to date when the table's files change."""
+    root = f"{shared_dir(spark)}/index-{kind}-{hashlib.md5(sf_dir.encode()).hexdigest()[:12]}"
+    index = InvertedIndex(spark, root, key_type)
+    index.update(docs, "key", text, tokens, source=fingerprint(spark, f"{sf_dir}/documents.parquet"))
+    return index
+
+
+def document_index(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    return _index(spark, sf_dir, "documents", "bigint", docs, "text", fn.identifiers(F.col("text")))
+
+
+def passage_index(spark, sf_dir):
+    pieces = _passages(spark, sf_dir).select(F.struct("doc_id", "piece_no").alias("key"), "piece")
+    return _index(spark, sf_dir, "passages", "struct<doc_id: bigint, piece_no: int>", pieces, "piece", fn.identifiers(F.col("piece"), fn.BODY_TOKENS))
 
 
 def _unit_scores(spark, sf_dir):
-    return retrieval.bm25(_passages(spark, sf_dir), ["doc_id", "piece_no"], fn.identifiers(F.col("piece"), fn.BODY_TOKENS), TASK)
+    return passage_index(spark, sf_dir).scores(TASK, "unit").select("unit.*", "score")
+
+
+def bm25_all(docs: str, key: str, tasks: str, task: str) -> str:
+    """Scores of docs(key, t: tokens) for each of tasks(task, t: tokens)."""
+    return f"""
+        d AS ({docs}), s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d), x AS (SELECT {key}, len(t) AS dl, unnest(t) AS term FROM d), tf AS (SELECT {key}, dl, term, count(*) AS tf FROM x GROUP BY ALL),
+        f AS (SELECT term, count(*) AS df FROM tf GROUP BY term), r AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM f, s),
+        i AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM r) ELSE raw END AS idf FROM r), a AS (SELECT {task}, term, count(*) AS w FROM (SELECT {task}, unnest(t) AS term FROM ({tasks})) GROUP BY ALL),
+        score AS (SELECT {task}, {key}, sum(idf * w * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN i USING (term) JOIN a USING (term), s GROUP BY ALL)"""
+
+
+_ITEM_TOKENS = "SELECT item_id, list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,}'), lambda x: lower(x)) AS t FROM benchmark"
+
+
+@query(f"WITH {bm25_all(_DOC_TOKENS, 'doc_id', _ITEM_TOKENS, 'item_id')}, o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score.score, 9) DESC, doc_id) AS rank FROM score) SELECT item_id, doc_id, rank, round(o.score, 6) AS score FROM o WHERE rank <= 10")
+def task_rankings(spark, sf_dir):
+    """Every benchmark text as a task: its ten best documents."""
+    found = document_index(spark, sf_dir).batch(read(spark, sf_dir, "benchmark"), "item_id", fn.identifiers(F.col("text")), 10, "doc_id")
+    return found.select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"), *rounded("score"))
+
+
+@query(f"WITH {bm25_sql(_DOC_TOKENS, 'doc_id')} SELECT doc_id, round(score, 6) AS score FROM score")
+def index_update(spark, sf_dir):
+    """Scores from an index that first held the first halves of the labelled documents, and was then brought to the state of all documents."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    index = InvertedIndex(spark, f"{shared_dir(spark)}/index-states-{uuid.uuid4().hex}")
+    earlier = docs.join(read(spark, sf_dir, "labels").select(F.col("doc_id").alias("key")).distinct(), "key", "left_semi").withColumn("text", F.expr("left(text, length(text) div 2)"))
+    for state in (earlier, docs):
+        index.update(state, "key", "text", fn.identifiers(F.col("text")))
+    return index.scores(TASK, "doc_id").select("doc_id", *rounded("score"))
 
 
 @query(f"WITH {bm25_sql(_PIECE_TOKENS, 'doc_id, piece_no')} SELECT doc_id, round(max(score), 6) AS score FROM score GROUP BY 1")
@@ -115,7 +165,7 @@ _FUSED = f"""{bm25_sql(_DOC_TOKENS, 'doc_id')},
 
 
 def _fused(spark, sf_dir):
-    lex = retrieval.bm25(read(spark, sf_dir, "documents"), "doc_id", fn.identifiers(F.col("text")), TASK).withColumnRenamed("score", "lex")
+    lex = document_index(spark, sf_dir).scores(TASK, "doc_id").withColumnRenamed("score", "lex")
     sem = retrieval.dense(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", _query_vector(spark, sf_dir)).withColumnsRenamed({"vec_id": "doc_id", "score": "sem"})
     return retrieval.fuse(sem.join(lex, "doc_id", "left").withColumn("lex", F.coalesce("lex", F.lit(0.0))), "doc_id", "lex", "sem")
 
@@ -310,12 +360,12 @@ _SOURCE_EDGES = "SELECT DISTINCT source AS src, lang AS dst FROM documents UNION
 def context_scores(spark, sf_dir):
     """What context() makes of a task: passages' BM25 and vectors, fused; an imagined answer; history; PageRank from the best files; what ran; the prior of the path."""
     docs, vectors = read(spark, sf_dir, "documents"), read(spark, sf_dir, "embeddings")
-    index = retrieval.postings(docs, "doc_id", fn.identifiers(F.col("text")))
+    index = document_index(spark, sf_dir)
 
     def units(tokens, vec_id):
         asked = [float(x) for x in vectors.where(F.col("vec_id") == vec_id).select("embedding").first()[0]]
         sem = retrieval.dense(vectors, "vec_id", "embedding", asked).withColumnsRenamed({"vec_id": "doc_id", "score": "sem"})
-        lex = retrieval.bm25_scores(index, "doc_id", tokens).withColumnRenamed("score", "lex")
+        lex = index.scores(tokens, "doc_id").withColumnRenamed("score", "lex")
         return cut(sem.join(lex, "doc_id", "left").withColumn("lex", F.coalesce("lex", F.lit(0.0))), "units")
 
     content = cut(retrieval.fuse(units(TASK, 1), "doc_id", "lex", "sem").join(docs.select("doc_id", "source"), "doc_id"), "content")
