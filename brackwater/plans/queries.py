@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brackwater.functions import text as fn
-from brackwater.operators import config, evaluation, graph, history, memory, overlay, pool, program, resources, retrieval, signals
+from brackwater.operators import config, evaluation, graph, history, learn, memory, overlay, pool, program, resources, retrieval, signals
 from brackwater.operators.index import InvertedIndex
 from brackwater.storage import cut, fingerprint, shared_dir
 
@@ -572,15 +572,29 @@ def fingerprint_diff(spark, sf_dir):
     return overlay.changed_files(part.where("path % 13 <> 0"), part.where("path % 17 <> 0").withColumn("size", F.when(F.col("path") % 5 == 0, F.col("size") + 1).otherwise(F.col("size"))))
 
 
+def _history(spark, sf_dir):
+    """Orders as commits, which touch the parts of their first lines and name them; parts as files, which import the part numbered seven times their second line's supplier."""
+    line, part = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "part")
+    files = part.select(F.col("p_partkey").alias("file"), fn.subtokens(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("tokens"))
+    named = line.where("l_linenumber = 1").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("o_orderkey"), "p_name", "p_type")
+    commits = read(spark, sf_dir, "orders").join(named, "o_orderkey").select(F.col("o_orderkey").alias("id"), F.unix_timestamp("o_orderdate").alias("ts"), F.concat_ws(" ", F.lit("Deliver"), "p_name", "p_type", "o_orderpriority").alias("msg"))
+    touches = line.where("l_linenumber = 1").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("file")).distinct()
+    edges = line.where("l_linenumber = 2").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") * 7).alias("dst")).distinct().where("src <> dst")
+    return files, commits.distinct(), touches, edges
+
+
 @query()
-def learn_weights(spark, sf_dir):
-    """Weights of content, history and neighbourhood, learnt from the quality labels; no SQL can fit them."""
-    from brackwater.operators.learn import learn_weights as fit
+def learn_examples(spark, sf_dir):
+    """Features and labels of the newest commits' candidate files; a test holds them against a plain version on a small history."""
+    found = learn.examples(*_history(spark, sf_dir), f"{shared_dir(spark)}/index-files-{uuid.uuid4().hex}")
+    return found.select("commit", "file", *rounded("content", "history", "ppr"), F.col("label").cast("long").alias("label"))
 
-    # Texts are measured before the join, so that only numbers are shuffled.
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.log1p(F.length("text")).alias("content"), F.size(fn.identifiers(F.col("text"), None)).cast("double").alias("history"), (F.length("text") - F.length(F.translate("text", "|#$%&*", ""))).cast("double").alias("ppr"))
-    examples = docs.join(read(spark, sf_dir, "labels"), "doc_id").select("quality", "content", "history", "ppr")
-    found = fit(examples, ["content", "history", "ppr"], "quality", {"history": 0.6, "ppr": 0.45}, "content")
+
+@query()
+def learn_weights(spark, sf_dir):
+    """Weights of history and neighbourhood relative to content, learnt from the history; no SQL can fit them."""
+    rows = cut(learn.examples(*_history(spark, sf_dir), f"{shared_dir(spark)}/index-files-{uuid.uuid4().hex}"), "examples")
+    found = learn.learn_weights(rows, ["content", "history", "ppr"], "label", {"history": 0.6, "ppr": 0.45}, "content", commit="commit")
     return spark.createDataFrame(sorted(found.items()), "feature string, weight double")
 
 
