@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brackwater.functions import text as fn
-from brackwater.operators import config, evaluation, graph, history, learn, memory, overlay, pool, program, resources, retrieval, signals
+from brackwater.operators import config, evaluation, graph, history, learn, memory, overlay, pool, program, resources, retrieval, signals, slices
 from brackwater.operators.index import InvertedIndex
 from brackwater.storage import cut, fingerprint, shared_dir
 
@@ -211,7 +211,7 @@ def history_file_score(spark, sf_dir):
 
 #: Shapes of receivers around the names of parts, and methods; each pair is a call.
 RECEIVERS = ("%s", "this.%s", "app.conn.%s", "ctx.%s()", "%s.find(x).y", "redis", "self", "")
-METHODS = ("put", "hget", "set", "get", "send", "publish", "enqueue", "save", "find", "saveAll", "delete", "close")
+METHODS = ("put", "hget", "set", "get", "send", "publish", "dispatch", "emit", "enqueue", "save", "find", "saveAll", "delete", "close")
 _CALLED = f"""SELECT p_partkey, r.i AS shape, m.method, replace(r.shape, '%s', p_name_) AS receiver, CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 3 = 1 THEN '"K' || p_size || '"' ELSE 'x' END AS arg0
     FROM (SELECT p_partkey, p_size, CASE p_partkey % 4 WHEN 0 THEN 'userRepo' WHEN 1 THEN 'sessionCache' WHEN 2 THEN 'items' ELSE 'Mapper' || p_size END AS p_name_ FROM part),
     (SELECT unnest(range(len(l))) AS i, unnest(l) AS shape FROM (SELECT {list(RECEIVERS)} AS l)) r, (SELECT unnest({list(METHODS)}) AS method) m"""
@@ -221,7 +221,7 @@ _CALLED = f"""SELECT p_partkey, r.i AS shape, m.method, replace(r.shape, '%s', p
         CASE WHEN arg0 IS NULL THEN NULL ELSE trim(arg0, '"') END AS key, nullif(regexp_extract(coalesce(arg0, ''), '"([^"]+)"', 1), '') AS literal FROM c),
     k AS (SELECT *, (base IN ('redis', 'cache', 'conn', 'client') OR contains(rl, 'redis') OR contains(rl, 'cache')) AND (m NOT IN ('put', 'get', 'set', 'delete') OR regexp_matches(rl, 'redis|cache')) AS cache FROM b),
     r AS (SELECT p_partkey, shape, method, CASE WHEN cache AND m IN ('put', 'set', 'delete') THEN ['cache', key, 'writes'] WHEN cache AND m IN ('hget', 'get') THEN ['cache', key, 'reads']
-        WHEN receiver <> '' AND m IN ('send', 'publish') THEN ['queue', lower(coalesce(literal, nullif(base, ''), key)), 'enqueues'] WHEN receiver = '' AND m IN ('publish', 'enqueue') THEN ['queue', lower(coalesce(literal, key)), 'enqueues']
+        WHEN m IN ('send', 'publish', 'dispatch', 'emit') THEN ['queue', lower(coalesce(literal, nullif(base, ''), key)), 'enqueues'] WHEN receiver = '' AND m IN ('publish', 'enqueue') THEN ['queue', lower(coalesce(literal, key)), 'enqueues']
         WHEN m IN ('save', 'saveall', 'delete', 'find', 'get') AND base NOT IN ('', 'self', 'this') AND (m IN ('save', 'saveall') OR regexp_matches(base, '(repository|repo|mapper)$')) THEN ['table', base, CASE WHEN m IN ('find', 'get') THEN 'reads' ELSE 'writes' END] END AS x FROM k)
     SELECT p_partkey, CAST(shape AS INTEGER) AS shape, method, x[1] || ':' || x[2] AS rid, x[3] AS kind FROM r WHERE x[2] IS NOT NULL""")
 def resource_classify(spark, sf_dir):
@@ -555,12 +555,46 @@ def token_budget(spark, sf_dir):
     return evaluation.until_budget(docs, "source", "doc_id", "cost", 4000)
 
 
-@query(f"WITH r AS ({_RANKED}), p AS (SELECT *, score + 1000 AS s FROM r), d AS (SELECT *, lag(s) OVER (PARTITION BY query ORDER BY rank) - s AS drop, sum(s) OVER (PARTITION BY query ORDER BY rank) - s AS before, sum(s) OVER (PARTITION BY query) AS total, max(s) OVER (PARTITION BY query) AS best FROM p), k AS (SELECT *, max(drop) OVER (PARTITION BY query) AS widest FROM d), z AS (SELECT *, coalesce(min(CASE WHEN drop = widest THEN rank END) OVER (PARTITION BY query), 2) AS knee FROM k) SELECT query, id, CAST(rank AS INTEGER) AS rank, rank <= 8 AS top_k, s >= 0.5 * best AS near_best, before < 0.5 * total - 1e-6 AS in_mass, rank < knee AS before_knee FROM z")
+@query("""WITH r AS (SELECT c_nationkey AS query, c_custkey AS id, c_acctbal AS s, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer), g AS (SELECT * FROM r WHERE rank <= 30),
+    t AS (SELECT query, count(*) AS size, max(s) AS best, min(s) AS low, sum(s) - count(*) * min(s) AS total, count(*) FILTER (s >= 0.5 * (SELECT max(s) FROM r x WHERE x.query = g.query)) AS a5, count(*) FILTER (s >= 0.35 * (SELECT max(s) FROM r x WHERE x.query = g.query)) AS a35 FROM g GROUP BY query),
+    d AS (SELECT g.*, t.*, sum(s - low) OVER (PARTITION BY query ORDER BY rank) / CASE WHEN total = 0 THEN 1 ELSE total END AS share, lead(s) OVER (PARTITION BY query ORDER BY rank) AS next FROM g JOIN t USING (query)),
+    e AS (SELECT *, CASE WHEN rank > 5 AND rank < size THEN CASE WHEN s > 0 THEN (s - next) / s ELSE 0 END END AS gap FROM d), k AS (SELECT query, coalesce(arg_min(rank, rank) FILTER (gap = w), max(size)) AS knee FROM (SELECT *, max(gap) OVER (PARTITION BY query) AS w FROM e) GROUP BY query),
+    m AS (SELECT query, coalesce(min(rank) FILTER (share >= 0.85 AND rank >= 5), 30) AS m85, coalesce(min(rank) FILTER (share >= 0.9 AND rank >= 5), 30) AS m9 FROM e GROUP BY query)
+    SELECT query, id, CAST(rank AS INTEGER) AS rank, rank <= 8 AS top_8, rank <= 15 AS top_15, rank <= 20 AS top_20, CASE WHEN a5 >= 5 THEN s >= 0.5 * best ELSE rank <= 5 END AS near_5, CASE WHEN a35 >= 5 THEN s >= 0.35 * best ELSE rank <= 5 END AS near_35, rank <= m85 AS mass_85, rank <= m9 AS mass_9, rank <= knee AS knee
+    FROM e JOIN k USING (query) JOIN m USING (query)""")
 def seed_knee(spark, sf_dir):
-    scores = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("query"), F.col("c_custkey").alias("id"), (F.col("c_acctbal") + 1000).alias("score"))
+    scores = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("query"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("score"))
     return evaluation.seed_choices(scores, "query")
 
 
+@query("""WITH r AS (SELECT source AS query, doc_id AS id, greatest(1, length(text) // 4) AS cost, sum(greatest(1, length(text) // 4)) OVER (PARTITION BY source ORDER BY doc_id) AS upto FROM documents), g AS (SELECT source AS query, doc_id AS id FROM documents SEMI JOIN labels USING (doc_id)),
+    h AS (SELECT g.query, upto, upto - cost AS before FROM g JOIN r USING (query, id))
+    SELECT query, count(*) AS gold, CAST(max(upto) AS BIGINT) AS "full", round(count(*) FILTER (before < 2000) / count(*), 6) AS recall_2000, round(count(*) FILTER (before < 5000) / count(*), 6) AS recall_5000, round(count(*) FILTER (before < 10000) / count(*), 6) AS recall_10000, round(count(*) FILTER (before < 25000) / count(*), 6) AS recall_25000,
+        round(count(*) FILTER (before < 50000) / count(*), 6) AS recall_50000, round(count(*) FILTER (before < 100000) / count(*), 6) AS recall_100000 FROM h GROUP BY query""")
+def budget_curve(spark, sf_dir):
+    """Documents of a source in the order of their ids as a ranked list, labelled ones as gold: recall at all budgets, and tokens until all gold is there."""
+    docs = read(spark, sf_dir, "documents")
+    ranked = docs.select(F.col("source").alias("query"), F.col("doc_id").alias("id"), F.col("doc_id").alias("rank"), fn.token_estimate(F.col("text")).alias("cost"))
+    gold = docs.join(read(spark, sf_dir, "labels"), "doc_id", "left_semi").select(F.col("source").alias("query"), F.col("doc_id").alias("id"))
+    found = evaluation.budget_curve(ranked, gold)
+    return found.select("query", "gold", "full", *rounded(*[f"recall_{b}" for b in evaluation.BUDGETS]))
+
+
+_SLICED = r"""lines AS (SELECT page_id AS method, CAST(generate_subscripts(l, 1) AS INTEGER) - 1 AS line, replace(unnest(l), '==', chr(1) || chr(1)) AS text FROM (SELECT page_id, string_split(html, '<') AS l FROM pages)),
+    kw AS (SELECT %s AS k), d AS (SELECT DISTINCT method, line, v AS name FROM (SELECT method, line, unnest(list_concat(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)\s*=', 1), regexp_extract_all(text, '\b[A-Z][A-Za-z0-9_<>,\[\].]*\s+([a-z_][A-Za-z0-9_]*)\s*[=;)]', 1))) AS v FROM lines), kw WHERE NOT list_contains(k, v)),
+    u AS (SELECT DISTINCT method, line, name FROM (SELECT method, line, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM lines), kw WHERE NOT list_contains(k, name) AND name IS NOT NULL)""" % list(slices.KEYWORDS)
+
+
+@query(f"""WITH RECURSIVE {_SLICED}, uses AS (SELECT * FROM u ANTI JOIN d USING (method, line, name)),
+    edges AS (SELECT uses.method, uses.line AS a, d.line AS b FROM uses JOIN d USING (method, name) WHERE d.line <= uses.line UNION SELECT d.method, d.line, uses.line FROM uses JOIN d USING (method, name) WHERE uses.line >= d.line),
+    sliced(method, line) AS (SELECT method, line FROM lines WHERE contains(text, 'ad') UNION SELECT e.method, e.b FROM sliced s JOIN edges e ON e.method = s.method AND e.a = s.line)
+    SELECT method, line FROM sliced""")
+def def_use_slices(spark, sf_dir):
+    """Pages as methods, what stands between their angle brackets as lines: what lines that mention adverts depend on, and what depends on them."""
+    lines = read(spark, sf_dir, "pages").select(F.col("page_id").alias("method"), F.posexplode(F.split("html", "<")).alias("line", "text"))
+    return slices.slices(lines, lines.where(F.col("text").contains("ad")))
+
+
 @query("WITH r AS (SELECT l_returnflag, l_partkey, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_partkey) AS k, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) SELECT l_returnflag, l_partkey AS median FROM r WHERE k = n // 2 + 1")
 def upper_median(spark, sf_dir):
     return evaluation.upper_median(read(spark, sf_dir, "lineitem").select("l_returnflag", "l_partkey"), ["l_returnflag"], "l_partkey")
