@@ -68,24 +68,47 @@ def call_sites(parsed: DataFrame, symbols: DataFrame) -> DataFrame:
     return typed.join(types, (F.col("file") == F.col("__file")) & (F.col("__last") == F.col("__var")), "left").select("fn_id", "file", "receiver", "method", "arg0", "type")
 
 
+def folded(path: Column) -> Column:
+    """A path whose `.` and `..` are resolved."""
+    step = lambda done, x: F.when(x.isin("", "."), done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
 def import_edges(parsed: DataFrame, files: DataFrame) -> DataFrame:
-    """src, dst: which file imports which, for Python (dotted, relative) and scripts (relative). parsed: rows of imports, where arg0 is what is imported; files: path.
-    A dotted name opens into its prefixes, the longest that is a file of the tree wins."""
+    """src, dst: which file imports which, for Python (dotted, relative), scripts (relative) and Java (types, their members, whole packages). parsed: rows of imports, where arg0 is what is imported; files: path, and text for Java.
+    A dotted name opens into its prefixes, the longest that is a file of the tree wins; what isn't found from the tree's root is the one file whose path ends so, if only one does."""
     imports = parsed.where("row = 'import'").select(F.col("path").alias("src"), F.col("arg0").alias("what"), F.monotonically_increasing_id().alias("no"))
+    imports = cut(imports, "imports")
+    parts = F.split("src", "/")
+    folder = lambda up: F.slice(parts, F.lit(1), F.greatest(F.lit(0), F.size(parts) - up))
     dots = F.length(F.regexp_extract("what", r"^(\.*)", 1))
-    folder = F.slice(F.split("src", "/"), F.lit(1), F.greatest(F.lit(0), F.size(F.split("src", "/")) - F.greatest(dots, F.lit(1))))
-    script = F.col("src").rlike(r"\.(js|jsx|ts|tsx|mjs|cjs)$")
+    script, java = F.col("src").rlike(r"\.(js|jsx|ts|tsx|mjs|cjs)$"), F.col("src").endswith(".java")
     named = F.filter(F.split(F.ltrim("what", F.lit(".")), r"\."), lambda x: x != "")
-    base = F.when(dots > 0, F.concat(folder, named)).otherwise(named)
-    prefixes = F.transform(F.sequence(F.size(base), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(base, F.lit(1), n), "/"))
-    python = F.flatten(F.transform(prefixes, lambda p: F.array(F.concat(p, F.lit(".py")), F.concat(p, F.lit("/__init__.py")))))
-    relative = F.regexp_replace(F.concat_ws("/", F.array_join(F.slice(F.split("src", "/"), F.lit(1), F.size(F.split("src", "/")) - 1), "/"), F.regexp_replace("what", r"^\./", "")), r"[^/]+/\.\./", "")
-    plain = F.when(F.col("what").startswith("."), F.transform(F.array(*map(F.lit, SCRIPT_ENDS)), lambda e: F.concat(relative, e))).otherwise(F.array().cast("array<string>"))
-    tried = imports.where((F.size(base) > 0) | script).select("no", "src", F.posexplode(F.when(script, plain).otherwise(python)).alias("place", "dst"))
+    base = F.when(dots > 0, F.concat(folder(F.greatest(dots, F.lit(1))), named)).otherwise(named)
+    prefixes = lambda of, end: F.transform(F.sequence(F.size(of), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(of, F.lit(1), n), end))
+    python = F.flatten(F.transform(prefixes(base, "/"), lambda p: F.array(F.concat(p, F.lit(".py")), F.concat(p, F.lit("/__init__.py")))))
+    beside = folded(F.concat_ws("/", F.array_join(folder(F.lit(1)), "/"), "what"))
+    plain = F.transform(F.array(*map(F.lit, SCRIPT_ENDS)), lambda e: F.concat(beside, e))
     paths = files.select(F.col("path").alias("dst")).distinct()
-    known = tried.join(paths, "dst")
-    # An absolute Python name may lie below a folder that is not the tree's root: `a.b` is then the file that ends in /a/b.py, if only one does.
-    return known.groupBy("no", "src").agg(F.min_by("dst", "place").alias("dst")).where("src <> dst").select("src", "dst").distinct()
+    tried = imports.where(~java & F.when(script, F.col("what").startswith(".")).otherwise(F.size(base) > 0)).select("no", "src", "what", F.posexplode(F.when(script, plain).otherwise(python)).alias("place", "dst"))
+    first = lambda df: df.groupBy("no", "src").agg(F.min_by("dst", "place").alias("dst"))
+    known = cut(first(tried.join(paths, "dst")), "known")
+    # Absolute Python names below a folder that is not the tree's root: paths open into their suffixes, of which those count that one file has.
+    modules = paths.where(F.col("dst").rlike(r"\.pyi?$")).select("dst", F.split(F.regexp_replace("dst", r"(/__init__)?\.pyi?$", ""), "/").alias("p"))
+    suffixes = modules.select("dst", F.explode(F.transform(F.sequence(F.lit(2), F.size("p")), lambda n: F.array_join(F.slice("p", n, 99), "."))).alias("name"))
+    only = suffixes.where(F.col("name") != "").groupBy("name").agg(F.min("dst").alias("dst"), F.count("*").alias("n")).where("n = 1").select("name", "dst")
+    lost = imports.where(~script & ~java & ~F.col("what").startswith(".")).join(known.select("no"), "no", "left_anti")
+    below = first(lost.select("no", "src", F.posexplode(prefixes(named, ".")).alias("place", "name")).join(only, "name"))
+    edges = known.unionByName(below)
+    if "text" in files.columns:
+        package = F.regexp_extract("text", r"(?m)^[ \t]*package[ \t]+([\w.]+)[ \t]*;", 1)
+        types = files.where(F.col("path").endswith(".java")).select(F.col("path").alias("dst"), package.alias("package"), F.regexp_extract("path", r"([^/]+)\.java$", 1).alias("type"))
+        types = cut(types.select("dst", "package", F.concat_ws(".", F.nullif("package", F.lit("")), "type").alias("name")), "types")
+        asked = imports.where(java)
+        whole = asked.where(F.col("what").endswith(".*")).select("no", "src", F.regexp_replace("what", r"\.\*$", "").alias("package")).join(types, "package").select("no", "src", "dst")
+        single = first(asked.where(~F.col("what").endswith(".*")).select("no", "src", F.posexplode(prefixes(F.split("what", r"\."), ".")).alias("place", "name")).join(types.groupBy("name").agg(F.min("dst").alias("dst")), "name"))
+        edges = edges.unionByName(whole).unionByName(single)
+    return edges.where("src <> dst").select("src", "dst").distinct()
 
 
 def resolve(symbols: DataFrame, target: str, most: int = MOST_TARGETS) -> DataFrame:

@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brackwater.sources import braces
+from brackwater.storage import ship
+
 EXTENSIONS = ("py", "pyi", "java", "js", "jsx", "mjs", "cjs", "ts", "tsx", "go")
 # Folders that are not scanned, and files that are not read.
 SKIPPED_DIRS = (".git", "node_modules", ".venv", "venv", "build", "dist", "__pycache__", ".tox", ".mypy_cache", "site-packages")
@@ -115,6 +118,7 @@ def yaml_entries(files: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame([(p, *e) for p, t in zip(b["path"], b["text"], strict=True) for e in flatten_yaml(t or "")], columns=["path", "line", "key", "value"])
 
+    ship(files.sparkSession)
     return files.select("path", "text").mapInPandas(parse, "path string, line int, key string, value string")
 
 
@@ -138,6 +142,7 @@ def gold_spans(diffs: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame([(i, *h) for i, d in zip(b["id"], b["diff"], strict=True) for h in hunks(d or "")], columns=["id", "file", "start", "end"])
 
+    ship(diffs.sparkSession)
     return diffs.select("id", "diff").mapInPandas(parse, "id string, file string, start int, end int")
 
 
@@ -188,7 +193,8 @@ def register(extension: str, parser) -> None:
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """The rows of PARSED for each file whose extension has a parser. files: path, text."""
+    """The rows of PARSED for each file whose extension has a parser: a Python function of one file, or, for languages with braces, DataFrame functions. files: path, text."""
+    ship(files.sparkSession)
     names, parsers = [x.split()[0] for x in PARSED.split(", ")], dict(PARSERS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,7 +202,8 @@ def parse(files: DataFrame) -> DataFrame:
             rows = [r for p, t in zip(b["path"], b["text"], strict=True) if (f := parsers.get(p.rpartition(".")[2].lower())) for r in f(p, t or "")]
             yield pd.DataFrame([{**dict.fromkeys(names), **r} for r in rows], columns=names)
 
-    return files.select("path", "text").mapInPandas(run, PARSED)
+    braced = files.where(~F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*parsers))
+    return files.select("path", "text").mapInPandas(run, PARSED).unionByName(braces.parse(braced))
 
 
 def traces(spark: SparkSession, path: str) -> DataFrame:
