@@ -5,10 +5,11 @@ path (tags and classes from the top down, digits taken out) at which a host's di
 each page's containers: the share of the page's readable text that a container covers, times the share of readable text, less links, among all text inside it, so
 that a container that leaves out nothing readable wins over the one inside it, and one that takes in nothing else wins over the one around it (ties go to article
 and main, then to the deeper one). Each page votes for the path of its best container, and Spark counts the votes of each host. The third pass extracts
-each page from the containers at its host's winning path. A page that has no text there is extracted from its own best container.
+each page from the containers at its host's winning path. A page that has no text there, or less than a quarter of what its own best container has, is extracted from that one.
 
 Readable text leaves out boilerplate paths, and menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden elements and reader
-comments, told by tag, role, class and id. A header inside article or main is part of it. A form, or a class or id that says such things but holds all but a tenth
+comments, told by tag, role, class and id. A header inside article or main is part of it, and there no class or id counts on headings, paragraphs, lists' items, tables or inline elements, and on others only one
+that says such a thing as a whole (`related-posts`, not `related-work`). A form, or a class or id that says such things but holds all but a tenth
 of what is readable, is the page's frame and leaves nothing out, unless text of an article or main is readable beside it. Character references are decoded after the markup is taken out; inside a block, white space
 becomes one space; blocks are joined by one space, in page order. Time and memory are linear in the page, however deep its elements.
 
@@ -34,6 +35,8 @@ from brackwater.llm.common import lookup_join, read, stored
 
 #: Different pages of a host that show a path before it can be boilerplate, and how many of them there are at least for each text.
 LEAST_PAGES, PAGES_A_TEXT = 2, 2
+#: What stands at its host's path is a page's text if it is at least this part, one in so many, of what stands at the path that the page itself would choose.
+LEAST_SHARE = 4
 _TOKEN = re.compile(
     r"""<!--(?:.*?-->|.*)|<!\[CDATA\[(?:.*?\]\]>|.*)|<[!?][^>]*+>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|$)""", re.S
 )
@@ -54,6 +57,10 @@ _LEFT_OUT_WORDS = frozenset(
     signup login comment comments commentlist disqus replies respond discussion share sharing social follow breadcrumb breadcrumbs crumbs related recommended
     widget widgets pagination pager toolbar search form skip copyright legal disclaimer hidden""".split()
 )
+#: What may stand beside such a word in the name of furniture; `related-posts` is furniture, `related-work` is not.
+_NEUTRAL = frozenset("list lists box block bar section area container wrapper wrap inner items item buttons button links link posts post articles tools thread count top bottom left right inline meta unit slot zone".split())
+#: Elements of an article that are text whatever their names say.
+_ALWAYS_TEXT = _INLINE | frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre figure figcaption li dl dt dd table tbody tr td th".split())
 _WRAPS = frozenset("has with no without is two three col wrap wrapper layout page content main post article entry".split())
 
 
@@ -73,9 +80,16 @@ def _left_out(tag: str, attrs: str, in_article: bool) -> int:
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), "".join(values).lower()
         if name in ("class", "id"):
+            if in_article and tag in _ALWAYS_TEXT or re.fullmatch("h[1-6]", tag):
+                continue
             for x in value.split():
                 words = re.findall(r"[a-z]+", x)
-                if _LEFT_OUT_WORDS.intersection(words) and not (len(words) > 1 and words[0] in _WRAPS and words[-1] not in ("comments", "comment", "ad", "ads")):
+                if not _LEFT_OUT_WORDS.intersection(words):
+                    continue
+                if in_article or tag in _ALWAYS_TEXT:  # the whole name has to say so
+                    if _LEFT_OUT_WORDS.union(_NEUTRAL).issuperset(words):
+                        found = _MAYBE
+                elif not (len(words) > 1 and words[0] in _WRAPS and words[-1] not in ("comments", "comment", "ad", "ads")):
                     found = _MAYBE
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return _WHOLLY
@@ -290,7 +304,8 @@ class Page:
     def main_text(self, path: str | None) -> str:
         key = path_key(path) if path else None
         roots = {c for c, x in enumerate(self.containers) if c and x[3] == key}
-        return (self.text(roots) if roots else "") or self.text({self.best()})
+        found, own = self.text(roots) if roots else "", self.text({self.best()})
+        return own if len(found) * LEAST_SHARE < len(own) else found
 
 
 def vote(html: str, gone: frozenset[int] = frozenset()) -> str | None:
