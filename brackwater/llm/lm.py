@@ -6,7 +6,7 @@ in log space. Vocabularies here come with the order of a BPE, not with a unigram
 are their expected uses, over all segmentations, in all distinct training words (ROUNDS rounds). A whole word's arc weighs its count less a discount, over all
 tokens; what the discounts free is the weight of the spellings (absolute discounting, d = n1 / (n1 + 2 n2)). That model of the corpus is in turn what a
 language's discounted counts fall back on. The languages of the training documents group the counts; a document's own language is no input of its score.
-MOST_LANGUAGES are apart, the others together.
+MOST_LANGUAGES have models of their own, all others together have one.
 
 Words come again in a document more often than in the corpus: after i words of a document, a word that it has had k times and that has probability p has (k + FIRMNESS * p) /
 (i + FIRMNESS). Multiplied over the document that depends on its words' counts alone. A document's probability is the sum over languages of the language's share, that product, and
@@ -33,21 +33,21 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brackwater.llm.common import read, stored
+from brackwater.llm.common import read, ship, stored
 
 HOLD_OUT, HELD = 7, 2
 #: A chunk ends when it has so many tokens or distinct words.
 CHUNK_TOKENS, CHUNK_WORDS = 6_000_000, 600_000
 #: What the prior of the pieces weighs, in uses.
 PRIOR_USES = 500.0
-MOST_LANGUAGES = 8
+MOST_LANGUAGES = 64
 #: Rounds of weighing the pieces; each sees all distinct training words.
-ROUNDS = 1
+ROUNDS = 2
 #: How many words of a document its own counts have to outweigh. Chosen on one half of sf0.01's training documents with the other half as the model's.
 FIRMNESS = 3000.0
-#: Longer words are weighed in stretches, whose products don't underflow; scores sum over whole words.
-STRETCH = 64
-_MISSING = object()
+#: Words whose lattices a worker goes through at once.
+BATCH = 2048
+_PREFIX = -1
 
 
 def default_vocabulary() -> str:
@@ -67,98 +67,149 @@ def _is_byte(piece: str) -> bool:
     return len(piece) == 6 and piece.startswith("<0x")
 
 
-class Lattice:
-    """first, going: uses of each piece of the vocabulary at the start of words and further on; words: number of words."""
+#: An arc of a word's lattice: the character where it starts, how many it covers, and its code.
+ARC = np.dtype([("start", "<u4"), ("long", "u1"), ("code", "<u4")])
 
-    def __init__(self, path: str, first: np.ndarray, going: np.ndarray, words: float):
+
+class Spelling:
+    """The arcs of words under a vocabulary of n pieces, whatever they weigh. Codes: 0 to n - 1 for pieces that start a word, n to 2n - 1 for pieces further on, from 2n on a character that is spelled byte by byte."""
+
+    def __init__(self, path: str):
         model = _vocabulary(path)
-        n = model.get_piece_size()
-        pieces, scores = [model.id_to_piece(i) for i in range(n)], np.array([model.get_score(i) for i in range(n)])
+        self.n = n = model.get_piece_size()
+        self.pieces, scores = [model.id_to_piece(i) for i in range(n)], np.array([model.get_score(i) for i in range(n)])
+        self.scores = scores
         # Scores of -1e9 mark pieces that the vocabulary itself never uses, but a bare ▁ has to start the words that no longer piece starts.
-        usable = np.array([not model.is_control(i) and not model.is_unknown(i) and (scores[i] > -1e8 or pieces[i] == "▁") for i in range(n)])
-        starts = np.array([x.startswith("▁") for x in pieces]) & usable
-        inner = usable & ~starts
-        byte = np.array([_is_byte(x) for x in pieces])
-        prior = np.where(byte | (scores < -1e8), 1 / n, 1 / (1.0 - np.minimum(scores, 0)))
-        first = np.where(starts, first + PRIOR_USES * prior / prior[starts].sum(), 0)
-        going = np.where(inner, going + PRIOR_USES * prior / prior[inner].sum(), 0)
-        stop = words + PRIOR_USES / 5
-        first, all_going = np.log(np.maximum(first / first.sum(), 1e-300)), going.sum() + stop
-        going, self.stop = np.log(np.maximum(going / all_going, 1e-300)), math.log(stop / all_going)
-        self.first, self.going, self.bytes = {}, {}, [0.0] * 256
-        for i, piece in enumerate(pieces):
-            if byte[i]:
-                self.bytes[int(piece[3:5], 16)] = float(going[i])
-            elif usable[i]:
-                table, p = (self.first, first[i]) if starts[i] else (self.going, going[i])
-                table[piece] = float(p)
+        usable = np.array([not model.is_control(i) and not model.is_unknown(i) and (scores[i] > -1e8 or self.pieces[i] == "▁") for i in range(n)])
+        self.byte = np.array([_is_byte(x) for x in self.pieces])
+        self.starts = np.array([x.startswith("▁") for x in self.pieces]) & usable
+        self.inner = usable & ~self.starts
+        self.first, self.going = {}, {}
+        for i, piece in enumerate(self.pieces):
+            if usable[i] and not self.byte[i]:
+                table, code = (self.first, i) if self.starts[i] else (self.going, n + i)
+                table[piece] = code
                 for k in range(1, len(piece)):
-                    table.setdefault(piece[:k], None)
+                    table.setdefault(piece[:k], _PREFIX)
+
+    def arcs(self, words: list[bytes]) -> list[bytes]:
+        """Each word's arcs, by where they start."""
+        start, long, codes, ends, letters = [], [], [], [0], 2 * self.n
+        for word in words:
+            s = "▁" + word.decode("utf-8", "surrogateescape")
+            n, table = len(s), self.first
+            come = bytearray(n + 1)
+            come[0] = 1
+            for i in range(n):
+                if i:
+                    if not come[i]:
+                        continue
+                    table = self.going
+                    start.append(i)
+                    long.append(1)
+                    codes.append(letters + ord(s[i]))
+                    come[i + 1] = 1
+                for j in range(i + 1, n + 1):
+                    code = table.get(s[i:j])
+                    if code is None:
+                        break
+                    if code >= 0:
+                        start.append(i)
+                        long.append(j - i)
+                        codes.append(code)
+                        come[j] = 1
+            ends.append(len(codes))
+        found = np.empty(len(codes), ARC)
+        found["start"], found["long"], found["code"] = start, long, codes
+        whole = found.tobytes()
+        return [whole[ARC.itemsize * a : ARC.itemsize * b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+@lru_cache(maxsize=2)
+def spelling(path: str) -> Spelling:
+    return Spelling(path)
+
+
+class Lattice:
+    """What the arcs weigh. uses: of each piece of the vocabulary at the start of words and further on; words: number of words."""
+
+    def __init__(self, path: str, first: np.ndarray, going: np.ndarray, words: float):
+        v = spelling(path)
+        self.path, self.n = path, v.n
+        prior = np.where(v.byte | (v.scores < -1e8), 1 / v.n, 1 / (1.0 - np.minimum(v.scores, 0)))
+        first = np.where(v.starts, first + PRIOR_USES * prior / prior[v.starts].sum(), 0)
+        going = np.where(v.inner, going + PRIOR_USES * prior / prior[v.inner].sum(), 0)
+        stop = words + PRIOR_USES / 5
+        all_going = going.sum() + stop
+        self.logs = np.concatenate([np.log(np.maximum(first / first.sum(), 1e-300)), np.log(np.maximum(going / all_going, 1e-300))])
+        self.stop = math.log(stop / all_going)
+        self.bytes = [0.0] * 256
+        for i in np.flatnonzero(v.byte):
+            self.bytes[int(v.pieces[i][3:5], 16)] = float(self.logs[v.n + i])
+
+    def _table(self, codes: dict[str, int]) -> dict[str, float | None]:
+        return {k: None if c < 0 else float(self.logs[c]) for k, c in codes.items()}
+
+    @property
+    def first(self) -> dict[str, float | None]:
+        """Logarithms of the pieces that start words; None for what only begins one."""
+        return self._table(spelling(self.path).first)
+
+    @property
+    def going(self) -> dict[str, float | None]:
+        return self._table(spelling(self.path).going)
+
+    def forward(self, arcs: list[bytes]) -> tuple[np.ndarray, ...]:
+        """The recursion in log space for many words at once, whose nodes are numbered end to end. Layer by layer, a layer being the arcs that start at one place of their words: the logarithm of what comes to
+        each node, the words' last nodes, the bounds of the layers, and where the arcs start and stop, their logarithms and codes."""
+        found = np.frombuffer(b"".join(arcs), ARC)
+        counts = np.array([len(x) // ARC.itemsize for x in arcs], np.int64)
+        start, stop, codes = found["start"].astype(np.int64), found["start"].astype(np.int64) + found["long"], found["code"].astype(np.int64)
+        last = np.maximum.reduceat(stop, np.cumsum(counts) - counts)  # every word has arcs, and one of them reaches its end
+        heads = np.cumsum(last + 1) - (last + 1)
+        order = np.argsort(start.astype(np.int32), kind="stable")
+        bounds = np.flatnonzero(np.diff(start[order], prepend=-1, append=-1))
+        base = np.repeat(heads, counts)
+        start, stop, codes = (start + base)[order], (stop + base)[order], codes[order]
+        p = np.empty(len(codes))
+        piece = codes < 2 * self.n
+        p[piece] = self.logs[codes[piece]]
+        letters, place = np.unique(codes[~piece], return_inverse=True)
+        p[~piece] = np.array([sum(self.bytes[b] for b in chr(c - 2 * self.n).encode("utf-8", "surrogateescape")) for c in letters.tolist()])[place] if len(letters) else 0.0
+        came = np.full(int((last + 1).sum()), -np.inf)
+        came[heads] = 0.0
+        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            np.logaddexp.at(came, stop[low:high], came[start[low:high]] + p[low:high])
+        return came, heads + last, bounds, start, stop, p, codes
+
+    def log_probabilities(self, arcs: list[bytes]) -> np.ndarray:
+        """Natural logarithms of the sums over all segmentations of words, given by their arcs."""
+        found = []
+        for at in range(0, len(arcs), BATCH):
+            came, tails, *_ = self.forward(arcs[at : at + BATCH])
+            found.append(came[tails] + self.stop)
+        return np.concatenate(found) if found else np.zeros(0)
 
     def log_probability(self, word: bytes) -> float:
-        """Natural logarithm of the sum over all segmentations."""
-        s = "▁" + word.decode("utf-8", "surrogateescape")
-        n = len(s)
-        came: list[list[float]] = [[] for _ in range(n + 1)]
-        table, a = self.first, 0.0
-        for i in range(n):
-            if i:
-                terms = came[i]
-                if not terms:
-                    continue
-                a = terms[0]
-                if len(terms) > 1:
-                    m = max(terms)
-                    a = m + math.log(sum([math.exp(x - m) for x in terms]))
-                table = self.going
-                came[i + 1].append(a + sum([self.bytes[b] for b in s[i].encode("utf-8", "surrogateescape")]))
-            for j in range(i + 1, n + 1):
-                p = table.get(s[i:j], _MISSING)
-                if p is _MISSING:
-                    break
-                if p is not None:
-                    came[j].append(a + p)
-        m = max(came[n])
-        return m + math.log(sum([math.exp(x - m) for x in came[n]])) + self.stop
+        return float(self.log_probabilities(spelling(self.path).arcs([word]))[0])
+
+    def uses(self, arcs: list[bytes]) -> np.ndarray:
+        """How often words, given by their arcs, use each piece at their start and further on (two rows), on average over their segmentations: forward and backward, in log space."""
+        total = np.zeros(2 * self.n)
+        for at in range(0, len(arcs), BATCH):
+            came, tails, bounds, start, stop, p, codes = self.forward(arcs[at : at + BATCH])
+            goes = np.full(len(came), -np.inf)
+            goes[tails] = np.where(np.isfinite(came[tails]), -came[tails], -np.inf)  # so that an arc's two sides and its own logarithm add up to its share of the word
+            for low, high in zip(bounds[-2::-1].tolist(), bounds[:0:-1].tolist(), strict=True):
+                np.logaddexp.at(goes, start[low:high], goes[stop[low:high]] + p[low:high])
+            piece = codes < 2 * self.n
+            total += np.bincount(codes[piece], weights=np.exp(came[start] + p + goes[stop])[piece], minlength=2 * self.n)
+        return total.reshape(2, self.n)
 
     def expected_uses(self, words: list[bytes]) -> tuple[dict[str, float], dict[str, float]]:
-        """How often the words use each piece at their start and further on, on average over their segmentations."""
-        plain = lambda table: {k: None if v is None else math.exp(v) for k, v in table.items()}
-        first, going, spare = plain(self.first), plain(self.going), [math.exp(x) for x in self.bytes]
-        starts, inner = defaultdict(float), defaultdict(float)
-        for word in words:
-            whole = "▁" + word.decode("utf-8", "surrogateescape")
-            for low in range(0, len(whole), STRETCH):
-                s = whole[low : low + STRETCH]
-                n = len(s)
-                a, arcs = [1.0] + [0.0] * n, []
-                table = going if low else first
-                for i in range(n):
-                    x = a[i]
-                    if i:
-                        table = going
-                    if x == 0.0:
-                        continue
-                    if i or low:
-                        p = math.prod([spare[b] for b in s[i].encode("utf-8", "surrogateescape")])
-                        a[i + 1] += x * p
-                        arcs.append((i, i + 1, None, p))
-                    for j in range(i + 1, n + 1):
-                        p = table.get(s[i:j], _MISSING)
-                        if p is _MISSING:
-                            break
-                        if p is not None:
-                            a[j] += x * p
-                            arcs.append((i, j, s[i:j], p))
-                if a[n] == 0.0:
-                    continue
-                b = [0.0] * n + [1.0 / a[n]]
-                for i, j, piece, p in reversed(arcs):
-                    q = p * b[j]
-                    b[i] += q
-                    if piece is not None:
-                        (inner if i or low else starts)[piece] += a[i] * q
-        return starts, inner
+        """uses() of words, by piece."""
+        v = spelling(self.path)
+        return tuple({v.pieces[i]: float(x[i]) for i in np.flatnonzero(x)} for x in self.uses(v.arcs(words)))
 
 
 def held_out(key: str, mod: int, rest: int) -> Column:
@@ -211,7 +262,7 @@ def coded(docs: DataFrame, key: str, text: str, lang: str, langs: dict[str | Non
                     ids.append(packed(x))
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(["docs"] * n), pa.array([chunk] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64())), batch.column(0), batch.column(2), pa.array(no, pa.int32()), pa.array(ids, pa.binary())], names=names)
-                if tokens >= CHUNK_TOKENS or len(numbers) >= CHUNK_WORDS:
+                if tokens >= CHUNK_TOKENS or len(numbers) * max(9, many) >= CHUNK_WORDS * 9:  # a word has a number for each language
                     yield from words()
                     chunk, tokens = chunk + 1, 0
                     numbers.clear()
@@ -223,31 +274,40 @@ def coded(docs: DataFrame, key: str, text: str, lang: str, langs: dict[str | Non
     return rows.mapInArrow(code, f"kind string, chunk long, idx int, word binary, uses array<long>, doc_id {id_type.simpleString()}, held_out boolean, lang_no int, ids binary")
 
 
+def with_arcs(vocab: DataFrame, path: str) -> DataFrame:
+    """vocab (word, ...) with each word's arcs."""
+    ship(vocab.sparkSession)
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(at, BATCH)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spelling(path).arcs(batch.column(0).to_pylist()), pa.binary())], names=[*batch.schema.names, "arcs"])
+
+    return vocab.mapInArrow(spell, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in vocab.schema), "arcs binary"]))
+
+
 def weighed(vocab: DataFrame, path: str) -> Lattice:
     """The lattice after ROUNDS rounds over the distinct training words. A round gathers a number for each piece of the vocabulary."""
-    spark, model = vocab.sparkSession, _vocabulary(path)
-    n = model.get_piece_size()
+    spark, n = vocab.sparkSession, spelling(path).n
     lattice = Lattice(path, np.zeros(n), np.zeros(n), 0)
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(lattice)
 
         def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            starts, inner, words = defaultdict(float), defaultdict(float), 0
+            used, words = np.zeros((2, n)), 0
             for batch in batches:
                 words += batch.num_rows
-                for total, new in zip((starts, inner), shared.value.expected_uses(batch.column(0).to_pylist()), strict=True):
-                    for k, v in new.items():
-                        total[k] += v
-            pieces = sorted({*starts, *inner})
-            yield pa.RecordBatch.from_arrays([pa.array([*pieces, None], pa.string()), pa.array([*(starts.get(x, 0.0) for x in pieces), float(words)]), pa.array([*(inner.get(x, 0.0) for x in pieces), 0.0])], names=["piece", "first", "going"])
+                used += shared.value.uses(batch.column(0).to_pylist()) if batch.num_rows else 0
+            at = np.flatnonzero(used.any(axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], pa.int64()), pa.array([*used[0, at], float(words)]), pa.array([*used[1, at], 0.0])], names=["piece", "first", "going"])
 
         first, going, words = np.zeros(n), np.zeros(n), 0.0
-        for r in vocab.where("uses > 0").select("word").mapInArrow(count, "piece string, first double, going double").groupBy("piece").agg(F.sum("first").alias("first"), F.sum("going").alias("going")).collect():
-            if r["piece"] is None:
+        for r in vocab.where("uses > 0").select("arcs").mapInArrow(count, "piece long, first double, going double").groupBy("piece").agg(F.sum("first").alias("first"), F.sum("going").alias("going")).collect():
+            if r["piece"] < 0:
                 words = r["first"]
             else:
-                k = model.piece_to_id(r["piece"])
-                first[k], going[k] = r["first"], r["going"]
+                first[r["piece"]], going[r["piece"]] = r["first"], r["going"]
         lattice = Lattice(path, first, going, words)
     return lattice
 
@@ -292,9 +352,10 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     many = len(langs) + 1  # and the others
     both = stored(coded(docs, key, text, lang, langs, held), "coded", partition_by="kind")
     words, texts = both.where("kind = 'words'").select("chunk", "idx", "word", "uses"), both.where("kind = 'docs'").select("chunk", "doc_id", "held_out", "lang_no", "ids")
-    vocab = stored(words.groupBy("word").agg(*[F.sum(F.col("uses")[i]).alias(f"u{i}") for i in range(many)]).withColumn("uses", sum((F.col(f"u{i}") for i in range(many)), F.lit(0))), "vocab")
-    ends = {r[0]: r[1] for r in texts.where("not held_out").groupBy("lang_no").count().collect()}
     names = ["uses", *(f"u{i}" for i in range(many))]
+    counted = words.groupBy("word").agg(*[F.sum(F.col("uses")[i]).alias(f"u{i}") for i in range(many)]).withColumn("uses", sum((F.col(f"u{i}") for i in range(many)), F.lit(0))).select("word", *names)
+    vocab = stored(with_arcs(counted, path), "vocab")  # so that the rounds and the scores read the arcs instead of finding them again
+    ends = {r[0]: r[1] for r in texts.where("not held_out").groupBy("lang_no").count().collect()}
     sums = vocab.agg(*[f(c) for c in names for f in (F.sum, lambda c: F.count_if(F.col(c) > 0), lambda c: F.count_if(F.col(c) == 1), lambda c: F.count_if(F.col(c) == 2))]).first()
     corpus, *by_lang = [Counts(*(int(x or 0) for x in sums[4 * i : 4 * i + 4]), ends.get(i - 1, 0) if i else sum(ends.values())) for i in range(many + 1)]
     n, v = corpus.n, corpus.v
@@ -303,7 +364,7 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             model = lattice.value
-            spelled = np.array([model.log_probability(w) for w in batch.column(0).to_pylist()])
+            spelled = model.log_probabilities(batch.column(2 + many).to_pylist())
             each = np.stack([batch.column(2 + i).to_numpy() for i in range(many)], axis=1)
             rows, k = np.nonzero(each)
             entries = (k.astype(np.uint64) << np.uint64(56)) | each[rows, k].astype(np.uint64)  # few words are of more than one language
@@ -311,7 +372,7 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: st
             uses = pa.Array.from_buffers(pa.binary(), len(each), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(entries.tobytes())])
             yield pa.RecordBatch.from_arrays([batch.column(0), uses, pa.array(corpus.log_probability(batch.column(1).to_numpy(), spelled).astype(np.float32))], names=["word", "by_lang", "all_langs"])
 
-    scored = vocab.select("word", *names).mapInArrow(score, "word binary, by_lang binary, all_langs float")
+    scored = vocab.select("word", *names, "arcs").mapInArrow(score, "word binary, by_lang binary, all_langs float")
     end_base = math.log10((corpus.ends + 1) / (n + v + 1))
     end_all = corpus.log_probability(np.array([corpus.ends]), np.array([math.log(1 / (n + v + 1))]))
     end = np.array([c.log_probability(np.array([c.ends]), end_all)[0] for c in by_lang])

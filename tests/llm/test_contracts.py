@@ -266,11 +266,13 @@ def test_language_model_scores_by_brute_force(docs):
     by = {g: Counter(w for _, t, h in learnt if h == g for w in t) for g in langs}
     all_ = sum(by.values(), Counter())
     size = lm._vocabulary(lm.default_vocabulary()).get_piece_size()
-    plain, first, going = lm.Lattice(lm.default_vocabulary(), np.zeros(size), np.zeros(size), 0), np.zeros(size), np.zeros(size)
-    for table, uses in zip((first, going), plain.expected_uses(list(all_)), strict=True):
-        for piece, x in uses.items():
-            table[lm._vocabulary(lm.default_vocabulary()).piece_to_id(piece)] = x
-    lattice = lm.Lattice(lm.default_vocabulary(), first, going, len(all_))
+    lattice = lm.Lattice(lm.default_vocabulary(), np.zeros(size), np.zeros(size), 0)
+    for _ in range(lm.ROUNDS):
+        first, going = np.zeros(size), np.zeros(size)
+        for table, uses in zip((first, going), lattice.expected_uses(list(all_)), strict=True):
+            for piece, x in uses.items():
+                table[lm._vocabulary(lm.default_vocabulary()).piece_to_id(piece)] = x
+        lattice = lm.Lattice(lm.default_vocabulary(), first, going, len(all_))
 
     def discounted(counts, ends, uses, rest):
         n, v = sum(counts.values()) + ends, len(counts) + (ends > 0)
