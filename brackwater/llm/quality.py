@@ -2,7 +2,8 @@
 
 Four rates of each document (long, per thousand) are held against fences that follow the data: for each language and source, a mergeable
 sketch of each rate gives a lower and an upper quantile, and a document is rejected if a rate lies beyond upper + spread * (upper - lower), or,
-for the length of words, below lower - spread * (upper - lower). RULES has the levels and spreads; no value of a rate is fixed anywhere. Symbols: what
+for the length of words, below lower - spread * (upper - lower). RULES has the levels and spreads; no value of a rate is fixed anywhere. Symbols: most documents have none or few, and those
+that are full of them stand apart; so the fence is the (geometric) middle of the widest gap of the sketch from the 85 % quantile on, if what lies beyond is GAP times as much as what lies before; else what
 15 % of a group may have by itself, and four times its distance from the median besides. Repeats of lines and of 5-word windows, which most documents
 have none of: the tail of the group, beyond its 99.7 % quantile. Word length: four times the distance of the quartiles beyond them.
 
@@ -29,6 +30,8 @@ WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 #: Of each rate: levels of the lower and the upper quantile, per thousand, and the spread.
 RULES = {"symbol_rate": (500, 850, 4), "dup_line_rate": (500, 997, 0), "repeat_rate": (500, 997, 0), "word_length": (250, 750, 4)}
+#: Rates whose fence is a gap of the sketch, where there is one; how many times as much as before it lies beyond it.
+GAPPED, GAP = ("symbol_rate",), 4
 LEAST = 200
 
 
@@ -79,11 +82,15 @@ def fences(counts: DataFrame) -> DataFrame:
 
     def quantiles(group: list[str], level: str) -> DataFrame:
         merged = counts.groupBy(*group, "rate", "bucket").agg(F.sum("n").alias("n"))
-        up_to = merged.withColumn("upto", F.sum("n").over(Window.partitionBy(*group, "rate").orderBy("bucket"))).withColumn("total", F.sum("n").over(Window.partitionBy(*group, "rate")))
+        order = Window.partitionBy(*group, "rate").orderBy("bucket")
+        up_to = merged.withColumn("upto", F.sum("n").over(order)).withColumn("next", F.lead("bucket").over(order)).withColumn("total", F.sum("n").over(Window.partitionBy(*group, "rate")))
         at = lambda i: F.min(F.when(1000 * F.col("upto") >= of(i) * F.col("total"), F.col("bucket")))
-        found = up_to.groupBy(*group, "rate").agg(at(0).alias("lower"), at(1).alias("upper"), F.first("total").alias("docs"))
+        wide = (F.col("next") + 1) / (F.col("bucket") + 1)
+        gaps = F.when(F.col("rate").isin(*GAPPED) & (1000 * F.col("upto") >= of(1) * F.col("total")) & (wide >= GAP), F.struct(wide.alias("wide"), (-F.col("bucket")).alias("first"), "next"))
+        found = up_to.groupBy(*group, "rate").agg(at(0).alias("lower"), at(1).alias("upper"), F.first("total").alias("docs"), F.max(gaps).alias("gap"))
         spread = of(2) * (F.col("upper") - F.col("lower"))
-        found = found.select(*group, "docs", "rate", (F.col("lower") - spread).alias("low"), (F.col("upper") + spread).alias("high"))
+        middle = (F.floor(F.sqrt((1 - F.col("gap.first")) * (F.col("gap.next") + 1))) - 1).cast("long")
+        found = found.select(*group, "docs", "rate", (F.col("lower") - spread).alias("low"), F.coalesce(middle, F.col("upper") + spread).alias("high"))
         pick = lambda k, c: F.max(F.when(F.col("rate") == k, F.col(c)))
         return found.groupBy(*group).agg(F.struct(F.max("docs").alias("docs"), *[pick(k, c).alias(f"{c}_{k}") for k in RULES for c in ("low", "high")]).alias(level))
 
@@ -118,8 +125,9 @@ def sql_ctes(table: str, prefix: str = "q") -> str:
     p = prefix
     level = lambda i: "CASE rate " + " ".join(f"WHEN '{k}' THEN {rule[i]}" for k, rule in RULES.items()) + " END"
     quant = lambda g, t: f"""{p}_{t} AS (
-            SELECT {g + ',' if g else ''} rate, max(total) AS docs, min(CASE WHEN 1000 * upto >= {level(0)} * total THEN bucket END) AS lower, min(CASE WHEN 1000 * upto >= {level(1)} * total THEN bucket END) AS upper
-            FROM (SELECT *, sum(n) OVER (PARTITION BY {g + ',' if g else ''} rate ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {g + ',' if g else ''} rate) AS total
+            SELECT {g + ',' if g else ''} rate, max(total) AS docs, min(CASE WHEN 1000 * upto >= {level(0)} * total THEN bucket END) AS lower, min(CASE WHEN 1000 * upto >= {level(1)} * total THEN bucket END) AS upper,
+                max(CASE WHEN rate IN ({', '.join(f"'{k}'" for k in GAPPED)}) AND 1000 * upto >= {level(1)} * total AND (nxt + 1) / (bucket + 1) >= {GAP} THEN {{'wide': (nxt + 1) / (bucket + 1), 'first': -bucket, 'next': nxt}} END) AS gap
+            FROM (SELECT *, sum(n) OVER (PARTITION BY {g + ',' if g else ''} rate ORDER BY bucket) AS upto, lead(bucket) OVER (PARTITION BY {g + ',' if g else ''} rate ORDER BY bucket) AS nxt, sum(n) OVER (PARTITION BY {g + ',' if g else ''} rate) AS total
                   FROM (SELECT {g + ',' if g else ''} rate, bucket, count(*) AS n FROM {p}_rates GROUP BY {g + ',' if g else ''} rate, bucket))
             GROUP BY {g + ',' if g else ''} rate)"""
     bucket = lambda v: f"(CASE WHEN {v} < 64 THEN {v} ELSE ({v} >> (length(bin({v})) - 6)) << (length(bin({v})) - 6) END)"
@@ -144,9 +152,10 @@ def sql_ctes(table: str, prefix: str = "q") -> str:
                 {' UNION ALL '.join(f"SELECT lang, source, '{k}' AS rate, {k} AS v FROM {p}_measured WHERE NOT base_failed" for k in RULES)})),
         {quant('lang, source', 'own')}, {quant('lang', 'lang')}, {quant('', 'all')},
         {p}_fences AS (
-            SELECT lang, source, rate, lower - {level(2)} * (upper - lower) AS low, upper + {level(2)} * (upper - lower) AS high FROM (
+            SELECT lang, source, rate, lower - {level(2)} * (upper - lower) AS low, coalesce(CAST(floor(sqrt((1 - gap."first") * (gap."next" + 1))) AS BIGINT) - 1, upper + {level(2)} * (upper - lower)) AS high FROM (
                 SELECT o.lang, o.source, o.rate, CASE WHEN o.docs >= {LEAST} THEN o.lower WHEN l.docs >= {LEAST} THEN l.lower ELSE a.lower END AS lower,
-                    CASE WHEN o.docs >= {LEAST} THEN o.upper WHEN l.docs >= {LEAST} THEN l.upper ELSE a.upper END AS upper
+                    CASE WHEN o.docs >= {LEAST} THEN o.upper WHEN l.docs >= {LEAST} THEN l.upper ELSE a.upper END AS upper,
+                    CASE WHEN o.docs >= {LEAST} THEN o.gap WHEN l.docs >= {LEAST} THEN l.gap ELSE a.gap END AS gap
                 FROM {p}_own o JOIN {p}_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.rate = l.rate JOIN {p}_all a ON o.rate = a.rate)),
         {p}_verdicts AS (
             SELECT m.*, NOT base_failed AND NOT EXISTS (
