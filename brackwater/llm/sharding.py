@@ -13,6 +13,7 @@ through, but for columns named shard or slot, which are replaced.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brackwater.llm.common import lookup_join, read, stored
+from brackwater.llm.common import lookup_join, read, ship, stored
 
 SHARDS = 16
 SEED = 20_240_607
@@ -63,18 +64,24 @@ def external_shuffle(df: DataFrame, key: str = "doc_id", text: str = "text", sha
     starts = df.sparkSession.sparkContext.broadcast(np.concatenate([[0], np.cumsum(counts)[:-1]]))  # 8 bytes a bucket
     low, longer = divmod(int(counts.sum()), shards)  # so many shards have a row more than the others
 
-    def shuffled(group: tuple, table: pa.Table) -> pa.Table:
-        bucket = group[0].as_py()
+    def shuffled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = [b for b in batches if b.num_rows]  # of one bucket
+        if not whole:
+            return
+        table = pa.Table.from_batches(whole)
+        bucket = table["bucket"][0].as_py()
         table = table.take(pa.compute.sort_indices(table, sort_keys=[("h", "ascending"), ("bytes", "ascending"), ("row_hash", "ascending")]))
         order = _fisher_yates(table.num_rows, seed, bucket)
         place = int(starts.value[bucket]) + np.arange(len(order))
         late = place >= longer * (low + 1)
         shard = np.where(late, longer + (place - longer * (low + 1)) // max(1, low), place // (low + 1))
         slot = place - shard * low - np.minimum(shard, longer)
-        return pa.table([table["row"].take(pa.array(order)), pa.array(shard.astype(np.int32)), pa.array(slot)], names=["row", "shard", "slot"])
+        out = pa.table([table["row"].take(pa.array(order)), pa.array(shard.astype(np.int32)), pa.array(slot)], names=["row", "shard", "slot"])
+        yield from out.combine_chunks().to_batches()
 
+    ship(df.sparkSession)
     hashable = [c for c, kind in df.select(*kept).dtypes if "map<" not in kind and "variant" not in kind]
-    out = scattered.withColumn("row_hash", F.xxhash64(*[F.col("row").getField(c) for c in hashable])).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(
+    out = scattered.withColumn("row_hash", F.xxhash64(*[F.col("row").getField(c) for c in hashable])).repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(
         shuffled, T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
     )
     return out.select("row.*", "shard", "slot")
