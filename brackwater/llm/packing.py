@@ -32,11 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brackwater.llm.common import lookup_join, read, stored
+from brackwater.llm.common import lookup_join, read, ship, stored
 
 LENGTH = 4096
 QUANTUM = 256
 END_ID = 2
+#: What op10 packs to: each source in proportion to the root of its tokens, as long as it lasts.
+TEMPER = 0.5
 MOST_QUEUES = 4096
 #: What the weights add up to, about.
 WEIGHT_SUM = 1 << 20
@@ -120,6 +122,7 @@ def tokenized(docs: DataFrame, key: str, text: str, source: str, tokenizer: str,
                     had[queue] = before[-1] + n
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([part] * len(ids), pa.int32()), pa.array(before, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "queue", "part", "before", "doc_tokens", "ids"])
 
+    ship(docs.sparkSession)
     return docs.select(F.col(key).alias("doc_id"), F.col(source).alias("queue"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(encode, f"doc_id {docs.schema[key].dataType.simpleString()}, queue string, part int, before long, doc_tokens long, ids binary")
 
 
@@ -190,9 +193,9 @@ class Layout:
         return doc[heads], at[heads], np.add.reduceat(n, heads), seq[heads], offset[heads]
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", tokenizer: str | None = None, targets: dict[str | None, float] | None = None, length: int = LENGTH, quantum: int = QUANTUM, most_queues: int = MOST_QUEUES) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", tokenizer: str | None = None, targets: dict[str | None, float] | None = None, length: int = LENGTH, quantum: int = QUANTUM, most_queues: int = MOST_QUEUES, temper: float = 1.0) -> DataFrame:
     """doc_id, start, length, doc_tokens, sequence_id, offset, ids (binary, unsigned 32-bit little-endian) of each piece. targets: the
-    weight of each source (one it doesn't name has weight 0 and is served as slowly as can be); without it, sources are weighted by their tokens."""
+    weight of each source (one it doesn't name has weight 0 and is served as slowly as can be); without it, sources are weighted by their tokens to the power `temper`."""
     sources = docs.select(source).distinct().limit(most_queues + 1).count()
     own = F.concat(F.lit("s"), F.col(source).cast("string"))  # null stays null
     if sources > most_queues:
@@ -206,7 +209,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     starts = stored(sums.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), "starts")
     queues = {r["queue"]: r["n"] for r in starts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # most_queues rows, and one for each named target
     names = sorted(queues, key=lambda x: (x is None, x))
-    layout = Layout([queues[x] for x in names], [weight_of.get(x, 0) if targets else queues[x] for x in names], length, quantum) if names else None
+    layout = Layout([queues[x] for x in names], [weight_of.get(x, 0) if targets else queues[x] ** temper for x in names], length, quantum) if names else None
     index = {x: i for i, x in enumerate(names)}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +237,7 @@ def sequences(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    return pack(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pack(docs, temper=TEMPER).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
