@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brackwater.llm.common import read, stored
+from brackwater.llm.common import read, ship, stored
 
 K = 10
 #: Rows that the quantiser is fitted to: those with the smallest hashes.
@@ -177,6 +177,7 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "v", "codes"])
 
     parts = min(MOST_PARTS, math.ceil(n / SCAN_ROWS))
+    ship(vectors.sparkSession)
     index = stored(rows.repartition(parts, "vec_id").mapInArrow(encode, "vec_id long, v array<double>, codes binary"), "index")
     asked = stored(usable(queries, key, vector).where(F.size("v") == d), "queries")
     blocks = max(1, math.ceil(asked.count() / query_block))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brackwater.llm.common import lookup_join, read, stored
+from brackwater.llm.common import lookup_join, read, ship, stored
 
 #: Different pages of a host that show a path before it can be boilerplate, and how many of them there are at least for each text.
 LEAST_PAGES, PAGES_A_TEXT = 2, 2
@@ -356,6 +356,7 @@ def _keys(gone: list[int] | None) -> frozenset[int]:
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """pages with main_text (string)."""
+    ship(pages.sparkSession)
     boilerplate = stored(host_boilerplate(pages, url, html), "boilerplate")
     winners = stored(host_paths(pages, boilerplate, url, html), "host-paths")
     kept = [c for c in pages.columns if c.lower() != "main_text"]
