@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from brackwater.functions import text as fn
 from brackwater.operators import config, evaluation, graph, history, learn, memory, overlay, pool, program, resources, retrieval, signals, slices
 from brackwater.operators.index import InvertedIndex
+from brackwater.sources import files as parsers
 from brackwater.storage import cut, fingerprint, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -408,13 +409,57 @@ def top_value_samples(spark, sf_dir):
     return overlay.top_samples(read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("anchor"), F.get_json_object("props", "$.k").alias("v")).agg(F.count("*").alias("n")))
 
 
-NODES = [("a::Svc.handle", "Svc.handle"), ("b::Svc.handle", "pkg.Svc.handle"), ("c::run", "run"), ("d::run", "run"), ("e::Job.run", "Job.run")]
-TRACED = ["com.x.pkg.Svc.handle", "com.y.Svc.handle", "com.y.Job$Inner.run", "com.z.Job.lambda$run$0", "no.such"]
-
-
-@query("SELECT * FROM (VALUES ('com.x.pkg.Svc.handle', 'b::Svc.handle'), ('com.y.Svc.handle', 'a::Svc.handle'), ('com.y.Job$Inner.run', 'c::run'), ('com.z.Job.lambda$run$0', 'e::Job.run')) AS t(qual, id)")
+@query("""WITH t AS (SELECT DISTINCT event_type AS e, props->>'k' AS k FROM events), n AS (SELECT 's' || s_suppkey AS id, 'click.K' || s_suppkey || '.run' AS qual FROM supplier UNION ALL SELECT 'c' || c_custkey, 'K' || c_nationkey || '.run' FROM customer UNION ALL SELECT 'p' || p_partkey, 'K' || (p_partkey + 60) || '.run' FROM part),
+    g AS (SELECT qual, min(id) AS id, count(*) > 1 AS shared FROM n GROUP BY qual), c AS (SELECT 'com.x.' || e || '.K' || k || '.run' AS qual, e || '.K' || k || '.run' AS suffix, 2 AS pos FROM t UNION ALL SELECT 'com.x.' || e || '.K' || k || '.run', 'K' || k || '.run', 3 FROM t)
+    SELECT c.qual, g.id FROM c JOIN g ON g.qual = suffix QUALIFY row_number() OVER (PARTITION BY c.qual ORDER BY shared, pos) = 1""")
 def fqn_longest_suffix(spark, sf_dir):
-    return overlay.resolve_names(spark.createDataFrame([(t,) for t in TRACED], "qual string"), spark.createDataFrame(NODES, "id string, qual string"))
+    """Names seen at run time, of events, to nodes: suppliers by names of their own, customers by names that their nation shares, parts by numbers."""
+    traced = read(spark, sf_dir, "events").select(F.concat(F.lit("com.x."), "event_type", F.lit(".K"), F.get_json_object("props", "$.k"), F.lit(".run")).alias("qual"))
+    node = lambda t, p, k, q: read(spark, sf_dir, t).select(F.concat(F.lit(p), k).alias("id"), F.concat(*q, F.lit(".run")).alias("qual"))
+    nodes = node("supplier", "s", "s_suppkey", [F.lit("click.K"), "s_suppkey"]).unionByName(node("customer", "c", "c_custkey", [F.lit("K"), "c_nationkey"])).unionByName(node("part", "p", "p_partkey", [F.lit("K"), F.col("p_partkey") + 60]))
+    return overlay.resolve_names(traced, nodes)
+
+
+def sources(spark, sf_dir):
+    """path, text: a Java file for each supplier, which extends its nation's base class, imports the next supplier and saves its nation's key; and one for each nation's base class."""
+    supplier = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    after = supplier.select((F.col("s_suppkey") - 1).alias("s_suppkey"), F.concat(F.lit("import p.n"), "s_nationkey", F.lit(".S"), "s_suppkey", F.lit(";\n")).alias("imports"))
+    each = supplier.join(after, "s_suppkey", "left")
+    text = F.concat(
+        F.lit("package p.n"), "s_nationkey", F.lit(";\n"), F.coalesce("imports", F.lit("\n")), F.lit("/* class Not { */\n@Service\npublic class S"), "s_suppkey", F.lit(" extends Base"), "s_nationkey",
+        F.lit(" {\n  private ItemRepo repo;\n  void load(String id) {\n    if (ready(id)) {\n      repo.save(\"k"), "s_nationkey", F.lit('");\n    }\n  }\n}\n'),
+    )
+    own = each.select(F.concat(F.lit("src/n"), "s_nationkey", F.lit("/S"), "s_suppkey", F.lit(".java")).alias("path"), text.alias("text"))
+    base = read(spark, sf_dir, "nation").select(F.concat(F.lit("src/base/Base"), "n_nationkey", F.lit(".java")).alias("path"), F.concat(F.lit("package p.base;\n\nabstract class Base"), "n_nationkey", F.lit(" { }\n")).alias("text"))
+    return own.unionByName(base)
+
+
+_SOURCES = """s AS (SELECT s_suppkey AS k, s_nationkey AS n, 'src/n' || s_nationkey || '/S' || s_suppkey || '.java' AS path FROM supplier)"""
+
+
+@query(f"""WITH {_SOURCES} SELECT 'contains' AS relation, path || '::<module>' AS a, path || '::S' || k AS b FROM s UNION ALL SELECT 'contains', path || '::S' || k, path || '::S' || k || '.load' FROM s UNION ALL SELECT 'contains', 'src/base/Base' || n_nationkey || '.java::<module>', 'src/base/Base' || n_nationkey || '.java::Base' || n_nationkey FROM nation
+    UNION ALL SELECT 'inherits', path || '::S' || k, 'src/base/Base' || n || '.java::Base' || n FROM s UNION ALL SELECT 'imports', s.path, z.path FROM s JOIN s z ON z.k = s.k + 1 UNION ALL SELECT 'calls', path || '::S' || k || '.load', 'repo.save("k' || n || '"): ItemRepo' FROM s UNION ALL SELECT 'calls', path || '::S' || k || '.load', 'ready(id)' FROM s""")
+def program_relations(spark, sf_dir):
+    """The index of a program that is parsed from its sources: what contains, inherits, imports and calls what."""
+    files = sources(spark, sf_dir)
+    index = program.build_index(parsers.parse(files), files)
+    called = F.concat(F.when(F.col("receiver") != "", F.concat("receiver", F.lit("."))).otherwise(""), "method", F.lit("("), F.coalesce("arg0", F.lit("")), F.lit(")"), F.coalesce(F.concat(F.lit(": "), "type"), F.lit("")))
+    legs = [
+        index["contains"].select(F.lit("contains").alias("relation"), F.col("parent").alias("a"), F.col("child").alias("b")), index["inherits"].select(F.lit("inherits"), "child", "parent"),
+        index["imports"].select(F.lit("imports"), "src", "dst"), index["calls"].select(F.lit("calls"), "fn_id", called),
+    ]
+    return legs[0].union(legs[1]).union(legs[2]).union(legs[3])
+
+
+@query(f"WITH {_SOURCES} SELECT path || '::S' || k || '.load' AS id, 'co-writer' AS relation, (SELECT count(*) FROM s) - 1 AS n FROM s WHERE k > (SELECT min(k) FROM s) ORDER BY id LIMIT 40")
+def program_impact(spark, sf_dir):
+    """What a change of the first supplier's method reaches: the other writers of its table, found by parsing the sources, classifying their calls by the declared types of the receivers, and pairing accesses."""
+    files = sources(spark, sf_dir)
+    index = program.build_index(cut(parsers.parse(files), "parsed"), files)
+    access = resources.classify_calls(index["calls"]).select(F.col("fn_id").alias("fn"), "rid", "kind")
+    key = F.regexp_extract("file", r"S(\d+)\.java$", 1).cast("int")
+    target = index["nodes"].where("name = 'load'").orderBy(key).limit(1).select("id")
+    return program.impact(index["nodes"], index["calls"], access, target).select("id", "relation", "n")
 
 
 _HASHES = "s AS (SELECT doc_id, md5(text) AS hash FROM documents), c AS (SELECT doc_id, md5(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS hash FROM documents WHERE doc_id % 11 <> 0), f AS (SELECT s.doc_id, s.hash, CASE WHEN c.hash IS NULL THEN 'gone' WHEN c.hash = s.hash THEN 'fresh' ELSE 'stale' END AS status FROM s LEFT JOIN c USING (doc_id))"

@@ -26,7 +26,7 @@ _ARGS = r"\((?:[^()\"'{};]|\([^()]*\))*\)"
 _FUNCTION = (
     rf"\bfunc\s*(?:\([^()]*\)\s*)?{_NAME}\s*{_ARGS}[^{{}};\"'\n]*\{{|\bfunction\s*\*?\s*{_NAME}\s*{_ARGS}[^{{}};\"'=]*\{{"
     rf"|\b(?:const|let|var)\s+{_NAME}\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:function\s*\*?\s*{_ARGS}[^{{}};\"']*|(?:{_ARGS}|{_NAME})[^{{}};\"'=]*=>\s*)\{{"
-    rf"|{_NAME}\s*{_ARGS}\s*(?:throws\s+[\w.,\s]+|:\s*[\w<>\[\]|., ]+)?\{{"
+    rf"|(?<![\w$.])(?!(?:{'|'.join(NOT_CALLED)})\b){_NAME}\s*{_ARGS}\s*(?:throws\s+[\w.,\s]+|:\s*[\w<>\[\]|., ]+)?\{{"
 )
 _MARK = r"@[A-Za-z_][\w.]*(?:\((?:[^()\"']|" + _STRING + r")*\))?"
 _CALL = rf"{_NAME}(?:\s*\??\.\s*{_NAME}(?:\(\))?)*\s*\(\s*(?:(?:{_STRING}|[\w.$]+)(?=\s*[,)]))?"
