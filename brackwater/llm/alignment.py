@@ -20,6 +20,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +33,12 @@ from brackwater.llm.common import read, ship, stored
 
 #: Stripes of B ids. A block of one of them holds as many numbers as a stripe has B ids, times the A ids: 500 x 50,257 for the vocabularies that op11 uses, 201 MB where all are touched.
 STRIPES = 64
-#: Units of up to LONG characters that a worker keeps.
-CACHED, LONG = 200_000, 64
+#: A worker keeps units of up to LONG characters: up to twice so many, of which those that don't come again are left behind.
+CACHED, LONG = 150_000, 64
 #: A unit starts at a blank or a line feed after something that is no white space. (Some tokenizers take the three named characters for white space, some don't.)
 _MORE = "\u180e\u200b\ufeff"
 _UNIT = re.compile(rf"[ \n](?:\s|[{_MORE}])*(?:[^\s{_MORE}]+(?:(?:[^\S \n]|[{_MORE}])(?:\s|[{_MORE}])*[^\s{_MORE}]*)*)?")
+_BLANK = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))) + _MORE
 _SPACE = "▁"
 
 
@@ -71,7 +73,14 @@ class Sides:
         self.bare = self.b.piece_to_id(_SPACE)
         self.cuts = not any(re.search(f"[^{_SPACE}]{_SPACE}|\n", x) for x in pieces) and not any(x != b"\n" and b"\n" in x for x in self.bytes_b)
         self.rows = -(-self.n_b // STRIPES)
+        self.long_a, self.long_b = (np.array([len(x) for x in of]) for of in (self.bytes_a, self.bytes_b))
+        # Links with B id b have the codes from here on, one for each A id: b's row in its stripe, stripe after stripe.
+        every = np.arange(self.n_b)
+        self.base_b = (every % STRIPES * self.rows + every // STRIPES) * self.n_a
+        self.most = max(self.n_a, self.n_b)
+        self.names = [f"{i}{mark}" for mark in ",|;\n" for i in range(self.most)]
         self.known: dict[str, tuple | None] = {}
+        self.before: dict[str, tuple | None] = {}
 
     @property
     def width(self) -> int:
@@ -84,50 +93,81 @@ class Sides:
             return [whole]
         return _UNIT.findall(whole)
 
-    def aligned(self, unit: str, a: list[int], b: list[int]) -> tuple | None:
-        """n_a, n_b, n_groups, groups, codes of the links; None if the tokens don't spell the unit."""
-        spelled = unit.encode()
-        x, y = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(x) != spelled or b"".join(y) != spelled:
-            return None
-        groups, codes, i, j, at_a, at_b, end_a, end_b = [], [], 0, 0, 0, 0, 0, 0
-        while i < len(a) or j < len(b):
-            if end_a <= end_b:
-                end_a, i = end_a + len(x[i]), i + 1
-            else:
-                end_b, j = end_b + len(y[j]), j + 1
-            if end_a == end_b:
-                groups.append(",".join(map(str, a[at_a:i])) + "|" + ",".join(map(str, b[at_b:j])))
-                row = b[j - 1]
-                codes.append((row % STRIPES * self.rows + row // STRIPES) * self.n_a + a[i - 1])
-                at_a, at_b = i, j
-        return len(a), len(b), len(groups), ";".join(groups), np.array(codes, "<u8").tobytes()
+    def aligned(self, units: list[str], a: list[list[int]], b: list[list[int]]) -> list[tuple]:
+        """n_a, n_b, n_groups, groups, codes of the links, of units that their tokens spell. They are laid end to end, so that one pass over bytes, tokens and groups does them all."""
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b))
+        ends_a, ends_b, ends = np.cumsum(self.long_a[flat_a]), np.cumsum(self.long_b[flat_b]), np.cumsum([len(u.encode()) for u in units])
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        last_a, last_b = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
+        codes = (self.base_b[flat_b[last_b]] + flat_a[last_a]).astype("<u8").tobytes()
+        stops = np.searchsorted(cuts, ends) + 1
+        # Each token is written with what follows it: a comma, a bar after a group's last of side A, a semicolon after its last of side B, a line feed at the end of a unit.
+        mark_a, mark_b = np.zeros(len(flat_a), np.int64), np.zeros(len(flat_b), np.int64)
+        mark_a[last_a], mark_b[last_b], mark_b[last_b[stops - 1]] = 1, 2, 3
+        order = np.argsort(np.concatenate([2 * np.searchsorted(cuts, ends_a), 2 * np.searchsorted(cuts, ends_b) + 1]), kind="stable")
+        written = np.concatenate([mark_a * self.most + flat_a, mark_b * self.most + flat_b])[order]
+        groups = "".join(map(self.names.__getitem__, written.tolist())).split("\n")
+        starts = np.concatenate([[0], stops[:-1]])
+        return [(len(x), len(y), n - m, g, codes[8 * m : 8 * n]) for x, y, g, m, n in zip(a, b, groups, starts.tolist(), stops.tolist(), strict=False)]
+
+    def ids_a(self, units: list[str]) -> list[list[int]]:
+        """Side A's ids of units. Those that end in something else than white space are read as one text, and told apart by where their bytes end."""
+        out: list[list[int]] = [[]] * len(units)
+        joined = [k for k, u in enumerate(units) if self.cuts and u[-1:].strip(_BLANK)]
+        ids = self.encode_a(["".join([units[k] for k in joined])])[0] if joined else []
+        ends = np.cumsum(self.long_a[ids]) if ids else np.zeros(0, np.int64)
+        wanted = np.cumsum([len(units[k].encode()) for k in joined], dtype=np.int64)
+        stops = np.searchsorted(ends, wanted) + 1
+        if len(joined) and (stops[-1] != len(ids) or (ends[np.minimum(stops, len(ends)) - 1] != wanted).any()):
+            joined, stops = [], stops[:0]  # the vocabulary lacks some bytes
+        start = 0
+        for k, stop in zip(joined, stops.tolist(), strict=True):
+            out[k] = ids[start:stop]
+            start = stop
+        rest = sorted(set(range(len(units))) - set(joined))
+        for k, found in zip(rest, self.encode_a([units[k] for k in rest]), strict=True):
+            out[k] = found
+        return out
+
+    def encode_a(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def learn(self, units: list[str]) -> None:
-        ids_a = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
-        # The model adds a blank; so a unit's own is left out, and the one before a line feed is taken off again.
+        # The model of side B adds a blank; so a unit's own is left out, and the one before a line feed is taken off again.
         ids_b = self.b.encode([u[u[0] == " " :] for u in units], num_threads=1)
-        for u, a, b in zip(units, ids_a, ids_b, strict=True):
+        good, ids = [], []
+        for u, a, b in zip(units, self.ids_a(units), ids_b, strict=True):
             if u == " ":
                 b = [self.bare]
             elif u[0] == "\n":
                 b = b[1:] if b[:1] == [self.bare] else [0]
-            self.known[u] = self.aligned(u, a, b)
+            spelled = u.encode()
+            if b"".join([self.bytes_a[i] for i in a]) == spelled == b"".join([self.bytes_b[i] for i in b]):
+                good.append(u)
+                ids.append((a, b))
+            else:
+                self.known[u] = None
+        if good:
+            self.known.update(zip(good, self.aligned(good, [a for a, _ in ids], [b for _, b in ids]), strict=True))
 
     def found(self, texts: list[str | None]) -> Iterator[list[tuple] | None]:
         """What is known of the units of each text; None if it has no tokens."""
         cut = [self.units(x) if x else [] for x in texts]
         if len(self.known) > CACHED:
-            self.known = {}
+            self.before, self.known = self.known, {}  # units that come again are taken over
         missing = list({u for c in cut for u in c if u not in self.known})
-        for at in range(0, len(missing), 1024):
-            self.learn(missing[at : at + 1024])
+        if self.before:
+            self.known.update((u, self.before[u]) for u in missing if u in self.before)
+            missing = [u for u in missing if u not in self.known]
+        for at in range(0, len(missing), 256):
+            self.learn(missing[at : at + 256])
+        known = self.known
         for c in cut:
-            out = [self.known[u] for u in c]
+            out = [known[u] for u in c]
             yield out if out and None not in out else None
         for u in missing:
             if len(u) > LONG:
-                del self.known[u]
+                del known[u]
 
 
 @lru_cache(maxsize=2)
