@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brackwater.functions import text as fn
-from brackwater.operators import config, evaluation, graph, history, learn, memory, overlay, pool, program, resources, retrieval, signals, slices
+from brackwater.operators import config, evaluation, fields, graph, history, learn, memory, overlay, pool, program, resources, retrieval, signals, slices
 from brackwater.operators.index import InvertedIndex
 from brackwater.sources import files as parsers
 from brackwater.storage import cut, fingerprint, shared_dir
@@ -767,6 +767,27 @@ def config_rows(spark, sf_dir):
     return signals.config_rows(defs, line.select(F.col("l_partkey").alias("norm_key"), F.col("l_suppkey").alias("reader")), spark.range(1, 4))
 
 
+@query("""WITH w AS (SELECT 'Account.level' || n_nationkey AS key, 's' || s_suppkey AS fn, TRUE AS writer FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 'Account.level' || c_nationkey, 'c' || c_custkey, FALSE FROM customer)
+    SELECT key, fn, writer FROM w WHERE key IN (SELECT key FROM w GROUP BY key HAVING bool_or(writer) AND NOT bool_and(writer))""")
+def field_sides(spark, sf_dir):
+    """Functions' texts, of suppliers that write a field by their nation and customers that read it, to the fields that tie them; what only one side has, and what library types have, ties nobody."""
+    number = lambda k: F.col(k).cast("string")
+    writers = read(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("fn"), F.lit("S.java").alias("file"), F.lit("Loader").alias("cls"), F.concat(F.lit("acct.level"), number("s_nationkey"), F.lit(" = this.rate * name.length; acct.load(acct.MAX);")).alias("text"))
+    readers = read(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("fn"), F.lit("C.java").alias("file"), F.lit("Reader").alias("cls"), F.concat(F.lit("return own.level"), number("c_nationkey"), F.lit(" + name.size;")).alias("text"))
+    variables = spark.createDataFrame([("S.java", "acct", "Account"), ("S.java", "name", "String"), ("C.java", "own", "Account"), ("C.java", "name", "String")], "file string, name string, type string")
+    return signals.field_sides(fields.field_accesses(writers.unionByName(readers), variables), hub=None)
+
+
+@query("SELECT 'field:Part.size' || p_size AS rid, 'B' || p_brand AS file, bool_or(p_partkey % 2 = 0) AS writes, bool_or(p_partkey % 2 = 1) AS reads FROM part GROUP BY 1, 2 QUALIFY count(*) OVER (PARTITION BY rid) >= 2")
+def value_flow(spark, sf_dir):
+    """Parts as functions that set or get the field that their size names, in files that their brands name."""
+    part = read(spark, sf_dir, "part")
+    size, verb = F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 2 == 0, "p.setSize").otherwise("x = p.getSize")
+    refs = part.select(F.lit("Part").alias("type"), F.concat(F.lit("B"), "p_brand").alias("file"), F.concat(verb, size, F.lit("(y);")).alias("text"))
+    body = part.groupBy(F.lit("Part").alias("type")).agg(F.array_join(F.transform(F.array_sort(F.collect_set("p_size")), lambda n: F.concat(F.lit("private int size"), n.cast("string"), F.lit(";"))), "\n").alias("text"))  # one body, of as many fields as there are sizes
+    return fields.value_flow(fields.fields_of_types(body), refs)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for a task: BM25 over passages, the best passage of each document, by id on ties."""
     scores = _unit_scores(spark, sf_dir).groupBy("doc_id").agg(F.max("score").alias("score"))
