@@ -524,7 +524,7 @@ def test_lookup_joins_agree(spark):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     got = registry.queries()[name](spark, str(DATA))
     cols, want = sorted(got.columns), con.execute(registry.oracle_sql()[name])
