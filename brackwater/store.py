@@ -77,8 +77,8 @@ class BucketStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}").parquet(*[f"{self.root}/{table}/of_version={there[b]}/bucket={b}" for b in wanted]).drop("of_version")
 
-    def commit(self, changes: Mapping[str, tuple[DataFrame, Iterable[int]]], stats: Mapping | None = None, sort: Mapping[str, list[str]] | None = None) -> int:
-        """Replaces the named buckets of tables by the rows given for them (with a column bucket; a bucket without rows goes), and returns the new version. sort: columns by which a table's files are ordered."""
+    def commit(self, changes: Mapping[str, tuple[DataFrame, Iterable[int]]], stats: Mapping | None = None, sort: Mapping[str, list[str]] | None = None, sizes: Mapping[str, Mapping[int, int]] | None = None) -> int:
+        """Replaces the named buckets of tables by the rows given for them (with a column bucket; a bucket without rows goes), and returns the new version. sort: columns by which a table's files are ordered. sizes: rows of a table's buckets, where they are known."""
         latest, there, old = self.manifest()
         placed = {t: dict(x) for t, x in there.items()}
         version = max([latest, *(int(x.removeprefix("of_version=")) for x in self._names(f"{self.root}/manifest"))]) + 1
@@ -86,11 +86,13 @@ class BucketStore:
             touched = set(touched)
             path = f"{self.root}/{table}/of_version={version}"
             if touched:
-                sizes = rows.groupBy("bucket").count().collect()  # as many as there are buckets
-                files = 1 + max((r["count"] for r in sizes), default=0) // FILE_ROWS
+                known = (sizes or {}).get(table)
+                if known is None:
+                    known = {r["bucket"]: r["count"] for r in rows.groupBy("bucket").count().collect()}  # as many as there are buckets
+                files = 1 + max(known.values(), default=0) // FILE_ROWS
                 salt = F.pmod(F.monotonically_increasing_id(), F.lit(files))
                 order = [F.col(c) for c in ["bucket", *(sort or {}).get(table, [])]]
-                dealt = rows.withColumn("__salt", salt).repartition(max(1, min(len(sizes) * files, 10_000)), "bucket", "__salt").drop("__salt")
+                dealt = rows.withColumn("__salt", salt).repartition(max(1, min(len(known) * files, 10_000)), "bucket", "__salt").drop("__salt")
                 dealt.sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(path)
             now = {int(x.removeprefix("bucket=")) for x in self._names(path) if x.startswith("bucket=")} if touched else set()
             if now - touched:
