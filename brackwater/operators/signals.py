@@ -100,8 +100,14 @@ def decorator_patterns(symbols: DataFrame, most: int = MOST_DECORATORS) -> DataF
 
 def sibling_dependencies(declared: DataFrame, modules: DataFrame) -> DataFrame:
     """module, sibling: modules of the same tree that a module declares as dependencies. declared: module, ecosystem, name; modules: module, ecosystem, name."""
-    known = modules.select(F.col("module").alias("sibling"), "ecosystem", "name")
-    return declared.join(known, ["ecosystem", "name"]).where("module <> sibling").select("module", "sibling").distinct()
+    def named(df: DataFrame, keys: str) -> DataFrame:
+        each = df.where("ecosystem IS NOT NULL AND name IS NOT NULL").groupBy("module").agg(F.collect_set(F.struct("ecosystem", "name")).alias(keys))  # of one module
+        return each.select("module", keys, F.explode(keys).alias("k")).select("module", keys, "k.*")
+
+    met = named(declared, "own").join(named(modules.select("module", "ecosystem", "name"), "known").withColumnRenamed("module", "sibling"), ["ecosystem", "name"]).where("module <> sibling")
+    # A pair that meets by several names counts at the least of them, so that the pairs need not be brought together.
+    once = (F.size("own") == 1) | (F.size("known") == 1) | (F.array_min(F.array_intersect("own", "known")) == F.struct("ecosystem", "name"))
+    return met.where(once).select("module", "sibling")
 
 
 def package_prefixes(files: DataFrame, most: int = 2000) -> DataFrame:

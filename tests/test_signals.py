@@ -64,3 +64,12 @@ def test_choices_by_group_and_configuration(spark):
     defs = spark.createDataFrame([("k", "b", 1, "2"), ("k", "a", 5, "1"), ("z", "a", 1, "0")], "norm_key string, file string, line long, value string")
     reads = spark.createDataFrame([("k", "n1"), ("z", "n2"), ("gone", "n1")], "norm_key string, reader string")
     assert rows(signals.config_rows(defs, reads, spark.createDataFrame([("n1",)], "id string")), "norm_key", "file", "line", "value", "more") == [("k", "a", 5, "1", 1)]
+
+
+def test_siblings_are_paired_without_bringing_pairs_together(spark):
+    declared = spark.createDataFrame([(1, "a", "x"), (1, "a", "y"), (1, "a", "y"), (2, "a", "x"), (3, None, "x"), (4, "b", "x")], "module long, ecosystem string, name string")
+    modules = spark.createDataFrame([(2, "a", "x"), (2, "a", "y"), (5, "a", "y"), (6, None, "x"), (4, "b", "x"), (7, "b", "x")], "module long, ecosystem string, name string")
+    found = signals.sibling_dependencies(declared, modules)
+    assert sorted(map(tuple, found.collect())) == [(1, 2), (1, 5), (4, 7)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [module" not in plan.split("Join")[0]  # nothing is grouped above the join
