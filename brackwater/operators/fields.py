@@ -66,7 +66,7 @@ def value_flow(declared: DataFrame, references: DataFrame, least: int = 2) -> Da
     The patterns are made of each row's field."""
     f, t = F.col("field"), F.col("text")
     cap = F.concat(F.upper(F.substring(f, 1, 1)), F.substring(f, 2, 1000))
-    both = references.where("text IS NOT NULL").join(declared, "type")
+    both = references.where("text IS NOT NULL").join(declared, "type").where(t.contains(F.substring(f, 2, 1000)))  # whichever pattern holds, this does; it spares most rows the making of theirs
     writes = t.contains(F.concat(F.lit(".set"), cap, F.lit("("))) | F.regexp_like(t, F.concat(F.lit(r"\."), f, F.lit(r"\s*=[^=]")))
     reads = t.contains(F.concat(F.lit(".get"), cap, F.lit("("))) | t.contains(F.concat(F.lit(".is"), cap, F.lit("("))) | F.regexp_like(t, F.concat(F.lit(r"\."), f, F.lit(r"\b(?!\s*=)")))
     sides = both.select(F.concat(F.lit("field:"), "type", F.lit("."), "field").alias("rid"), "file", writes.alias("w"), reads.alias("r")).where("w OR r")

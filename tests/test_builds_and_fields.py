@@ -64,3 +64,11 @@ def test_values_flow_through_fields(spark):
     assert rows(declared, "type", "field") == [("Order", "name"), ("Order", "total")]  # the pattern takes types of one word
     refs = spark.createDataFrame([("Order", "A", "o.setTotal(3)"), ("Order", "B", "return o.getTotal() + o.name.trim()"), ("Order", "A", "o.name == x"), ("Order", "C", "o.total = 1; y = o.total"), ("Order", "D", "ids")], "type string, file string, text string")
     assert rows(fields.value_flow(declared, refs), "rid", "file", "writes", "reads") == [("field:Order.total", "A", True, False), ("field:Order.total", "B", False, True), ("field:Order.total", "C", True, False)]
+
+
+def test_value_flow_makes_patterns_for_rows_that_may_match_alone(spark):
+    declared = spark.createDataFrame([("T", "size"), ("T", "rate")], "type string, field string")
+    refs = spark.createDataFrame([("T", "a", "t.setSize(1);"), ("T", "b", "x = t.isSize();"), ("T", "c", "t.size = 2;"), ("T", "d", "y = t.rate"), ("T", "e", "t.getRate()"), ("T", "f", "size and rate")], "type string, file string, text string")
+    found = fields.value_flow(declared, refs)
+    assert sorted(map(tuple, found.collect())) == [("field:T.rate", "d", False, True), ("field:T.rate", "e", False, True), ("field:T.size", "a", True, False), ("field:T.size", "b", False, True), ("field:T.size", "c", True, False)]
+    assert "Contains(text" in (plan := found._jdf.queryExecution().optimizedPlan().toString()) or "substring(field" in plan
