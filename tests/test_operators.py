@@ -180,3 +180,23 @@ def test_traces_and_stream_agree(spark, tmp_path):
     bad = tmp_path / "t.jsonl"
     bad.write_text('{"t":"method","qual":"S.h","hits":3}\nthis is not json\n[1]\n{"t":"class","name":"S"}\n')
     assert rows(files.traces(spark, str(bad)), "t") == [("class",), ("method",)]
+
+
+def test_spans_are_grouped_where_they_meet(spark):
+    from brackwater.operators import evaluation
+
+    points = spark.createDataFrame([("f", 5), ("f", 40), ("g", 1)], "file string, line long")
+    spans = spark.createDataFrame([("f", 1, 0, 100), ("f", 2, 4, 6), ("f", 3, 5, 7), ("g", 4, 2, 3)], "file string, id long, start long, end long")
+    found = evaluation.smallest_enclosing(points.hint("merge"), spans)
+    assert sorted(map(tuple, found.collect())) == [("f", 5, 2), ("f", 40, 1)]
+    assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("ShuffleQueryStage") == 2  # the two sides of the join, and no third
+
+
+def test_cochanges_take_as_many_tasks_as_their_pairs_call_for(spark, monkeypatch):
+    from brackwater.operators import history
+
+    monkeypatch.setattr(history, "TASK_ROWS", 10)
+    touches = spark.createDataFrame([(c, f) for c in range(20) for f in range(5)] + [(0, 1)], "c long, f long")
+    found = history.cochanges(touches, "c", "f")
+    assert sorted(map(tuple, found.collect())) == [(a, b, 20) for a in range(5) for b in range(5) if a != b]
+    assert "hashpartitioning(a#" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 21), REPARTITION_BY_NUM" in plan  # 200 pairs
