@@ -143,14 +143,21 @@ class Model:
         self.vectors = self.project(weighed)
         self.mark = found.mark.astype(float)
         self.weight = found.weight
-        alike = self.alike(self.vectors)
-        np.fill_diagonal(alike, -np.inf)  # each is left out of its own vote
-        votes = [self.vote(alike, *s) for s in SETTINGS]
+        votes = self.left_out()
         areas = [labelled.area(v, found.mark) for v in votes]
         self.setting = SETTINGS[int(np.argmax(areas))]
         cut = -labelled.best_cut(-_logit(votes[int(np.argmax(areas))]), ~found.mark, found.weight)
         self.shift = math.log(CUT / (1 - CUT)) - cut
 
+    def left_out(self) -> list[np.ndarray]:
+        """The votes on the labelled rows by each of SETTINGS, each row left out of its own vote. The driver holds the products of BLOCK rows at once."""
+        parts = []
+        for at in range(0, len(self.vectors), BLOCK):
+            alike = self.alike(self.vectors[at : at + BLOCK])
+            alike[np.arange(len(alike)), at + np.arange(len(alike))] = -np.inf
+            parts.append([self.vote(alike, *s) for s in SETTINGS])
+        return [np.concatenate(v) for v in zip(*parts, strict=True)]
+
     def weigh(self, at: np.ndarray, uses: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w, low = (1 + np.log(uses)) * self.idf[at], 0
         for n, share in KINDS:

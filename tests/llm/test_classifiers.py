@@ -152,3 +152,20 @@ def test_op13_on_held_out_rows(spark):
     truth = np.array([labels[r["doc_id"]] == 1 for r in held])
     assert labelled.area(np.array([r["score"] for r in held]), truth) > 0.97
     assert np.mean([r["predicted"] == t for r, t in zip(held, truth, strict=True)]) > 0.95
+
+
+def test_left_out_votes_are_taken_in_blocks(monkeypatch):
+    from brackwater.llm import voting
+
+    model, rng = voting.Model.__new__(voting.Model), np.random.default_rng(1)
+    model.vectors = rng.normal(size=(50, 8))
+    model.vectors /= np.sqrt((model.vectors**2).sum(axis=1))[:, None]
+    model.mark, model.weight = (rng.random(50) < 0.5).astype(float), np.ones(50)
+    alike = model.alike(model.vectors)
+    np.fill_diagonal(alike, -np.inf)
+    monkeypatch.setattr(voting, "BLOCK", 7)
+    seen = []
+    monkeypatch.setattr(voting.Model, "alike", lambda self, v, plain=voting.Model.alike: seen.append(len(v)) or plain(self, v))
+    for got, s in zip(model.left_out(), voting.SETTINGS, strict=True):
+        assert got == pytest.approx(model.vote(alike, *s))
+    assert max(seen) == 7
