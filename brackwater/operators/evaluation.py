@@ -19,7 +19,7 @@ def smallest_enclosing(points: DataFrame, spans: DataFrame, bin_lines: int = BIN
     binned = spans.where("start <= end").select("file", "id", "start", "end", F.explode(F.sequence(at("start"), at("end"))).alias("bin"))
     inside = points.withColumn("bin", at("line")).join(binned, ["file", "bin"]).where("line BETWEEN start AND end")
     size = F.struct((F.col("end") - F.col("start")).alias("a"), F.col("id").alias("b"))
-    return inside.groupBy("file", "line").agg(F.min_by("id", size).alias("id"))
+    return inside.groupBy("file", "bin", "line").agg(F.min_by("id", size).alias("id")).drop("bin")  # a line has one bin, by which the rows are dealt already
 
 
 def overlapping(targets: DataFrame, spans: DataFrame, bin_lines: int = BIN_LINES) -> DataFrame:
