@@ -1,6 +1,9 @@
-"""Near-duplicate groups by exact similarity of shingle sets, for stages that are not bound to the SimHash contract.
+"""Near-duplicate groups by SimHash and exact similarity of shingle sets, for stages that are not bound to the SimHash contract.
 
-Two texts are linked if the Jaccard similarity of their sets of five-word shingles is SIMILAR or more. Candidates share a band: BANDS bands of ROWS
+Two texts are linked if the Jaccard similarity of their sets of five-word shingles is SIMILAR or more. The sets' SimHash fingerprints are grouped first, as in
+simhash: segment tables, Hamming balls, full comparison. Each set of a group is measured against the group's first one, and linked if the two are similar.
+
+Fingerprints that differ in two bits or fewer find few of the pairs near SIMILAR, whose fingerprints differ in about ten. So what is still apart meets in bands: candidates share one of BANDS bands of ROWS
 MinHash minima each; of pairs at 0.8 the bands miss (1 - 0.8 ** 5) ** 24, about 7 in 100,000, and of closer pairs fewer.
 
 A band's members are never brought together in one task, nor all their pairs made. First, in TRIES rounds, each set that is outside its band's largest group is measured against a
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brackwater.llm.common import ship, stored
-from brackwater.llm.simhash import BLOCK, SEED, components
+from brackwater.llm.simhash import BLOCK, SEED, components, majority, roots
 
 SHINGLE = 5
 #: Similarity from which texts are linked, in tenths.
@@ -37,6 +40,8 @@ BANDS, ROWS = 24, 5
 TRIES, GROWTH = 3, 4
 #: Sets that share a rare shingle at most.
 RARE = 8
+#: Keys that are broadcast at most, counted first.
+MOST_BROADCAST = 100_000
 _RNG = np.random.default_rng(SEED)
 _TURN = _RNG.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64, endpoint=False)
 _TIMES = _RNG.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64, endpoint=False) | np.uint64(1)
@@ -62,7 +67,7 @@ def bands(found: np.ndarray) -> list[int]:
 
 
 def prints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, hash (of the text), fp (a number for the set), bands, found (the set): one row for each row of docs."""
+    """doc_id, hash (of the text), fp (a number for the set), sim (its SimHash fingerprint; zero of the empty set), bands, found (the set): one row for each row of docs."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -72,28 +77,47 @@ def prints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                 fps = [xxhash.xxh64_intdigest(x.tobytes(), SEED) - (1 << 63) for x in sets]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
                 found = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array([bands(x) for x in sets], pa.list_(pa.int64())), found], names=["doc_id", "hash", "fp", "bands", "found"])
+                sims = pa.array([majority(len(x), (x[i : i + BLOCK] for i in range(0, len(x), BLOCK))) for x in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), sims, pa.array([bands(x) for x in sets], pa.list_(pa.int64())), found], names=["doc_id", "hash", "fp", "sim", "bands", "found"])
 
     ship(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(add, "doc_id long, hash long, fp long, bands array<long>, found array<long>")
+    return rows.mapInArrow(add, "doc_id long, hash long, fp long, sim long, bands array<long>, found array<long>")
+
+
+def near(df: DataFrame, small: DataFrame, on: str) -> DataFrame:
+    """Rows of df whose `on` is in small; few of these are broadcast, so that df, which may hold sets, is not shuffled."""
+    return df.join(F.broadcast(small) if small.count() <= MOST_BROADCAST else small, on, "left_semi")
 
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b of the pairs (each once) whose sets are similar."""
-    left, right = sets.select(F.col("fp").alias("a"), F.col("found").alias("found_a")), sets.select(F.col("fp").alias("b"), F.col("found").alias("found_b"))
+    pairs = stored(pairs.distinct(), "pairs")
+    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    met = near(sets, ends, "fp")
+    left, right = met.select(F.col("fp").alias("a"), F.col("found").alias("found_a")), met.select(F.col("fp").alias("b"), F.col("found").alias("found_b"))
     both = F.size(F.array_intersect("found_a", "found_b"))
-    sizes = pairs.distinct().join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("found_a") + F.size("found_b")).alias("sizes"))
+    sizes = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("found_a") + F.size("found_b")).alias("sizes"))
     return stored(sizes.where(10 * F.col("both") >= SIMILAR * (F.col("sizes") - F.col("both"))).select("a", "b"), "links")
 
 
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (fp, root) with the groups that links bring together."""
+    if not links.limit(1).count():
+        return labels
     named = lambda side: labels.select(F.col("fp").alias(side), F.col("root").alias(f"root_{side}"))
     new = components(links.join(named("a"), "a").join(named("b"), "b"), "root_a", "root_b").select(F.col("node").alias("root"), F.col("root").alias("new"))
     return stored(labels.join(new, "root", "left").select("fp", F.coalesce("new", "root").alias("root")), "labels")
 
 
+def by_fingerprints(each: DataFrame) -> DataFrame:
+    """Pairs a, b: each set whose SimHash fingerprint is grouped with another's (links of two differing bits or fewer), and the first set of its group. each: prints()."""
+    named = stored(each.select("fp", "sim").distinct(), "named")
+    groups = stored(named.join(roots(named.select(F.col("sim").alias("fp"))).withColumnRenamed("fp", "sim"), "sim").select("fp", "root"), "groups")
+    firsts = groups.groupBy("root").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("root", "a")
+    return groups.join(firsts, "root").where("fp <> a").select("a", F.col("fp").alias("b"))
+
+
 def in_order(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -116,15 +140,17 @@ def by_rare_shingles(sets: DataFrame, labels: DataFrame) -> tuple[DataFrame, Dat
     return met.select(*in_order("fp", "other")), each.select("fp", (F.col("size") - F.col("n_rare")).alias("common"))
 
 
-def similar_roots(each: DataFrame, most_broadcast: int = 100_000) -> DataFrame:
+def similar_roots(each: DataFrame) -> DataFrame:
     """fp, root (one for each group) of each distinct set of prints(), which is stored."""
     distinct = each.select("fp").distinct()
     placed = stored(each.select("fp", F.size("found").alias("size"), F.explode("bands").alias("band")).distinct(), "placed")
     shared = stored(placed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "shared")
-    near = lambda df, small, on: df.join(F.broadcast(small) if small.count() <= most_broadcast else small, on, "left_semi")
     members = stored(near(placed, shared, "band"), "members").withColumn("common", F.col("size"))
-    labels = stored(members.select("fp", F.col("fp").alias("root")).distinct(), "labels")
+    grouped = stored(by_fingerprints(each), "grouped")
+    alone = members.select("fp").union(grouped.select("a")).union(grouped.select("b")).distinct()
+    labels = stored(alone.select("fp", F.col("fp").alias("root")), "labels")
     sets = stored(near(each.select("fp", "found"), labels.select("fp"), "fp").groupBy("fp").agg(F.first("found").alias("found")), "sets")  # equal ones of each fp
+    labels = joined(labels, measured(grouped, sets))
     turn, settled = 0, False
     while True:
         here = members.join(labels, "fp")
@@ -144,7 +170,7 @@ def similar_roots(each: DataFrame, most_broadcast: int = 100_000) -> DataFrame:
         outside = members.where("root <> largest")
         if turn < TRIES:  # in one band, where most are
             outside = outside.groupBy("fp", "size", "common", "root").agg(F.max(F.struct("total", "band")).alias("best")).select("fp", "size", "common", "root", "best.*")
-        if turn == 0:  # all are groups of their own
+        if turn == 0:
             met = outside.join(widest.select("band", "pivot", "pivot_size"), "band").where("fp <> pivot").where(of_like_size("size", "pivot_size")).select(*in_order("fp", "pivot"))
         else:
             few = lambda df: df.withColumn("bucket", F.pmod(F.xxhash64("fp", F.lit(turn)), F.ceil(F.col("total") / GROWTH**turn)))  # noqa: E731, B023

@@ -21,7 +21,7 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: those whose five-word shingles are similar at 0.8 or more."""
+    """One document of each group of near duplicates stays: those whose five-word shingles are similar at 0.8 or more. They are grouped by SimHash fingerprints and measured; what these miss is found by bands."""
     ship(spark)
     return simhash.one_of_each(docs, printed=similar.prints, grouped=similar.similar_roots)
 
