@@ -49,3 +49,12 @@ def test_learnt_weights_are_bounded(spark):
 def test_entry_has_rows_and_oracles_have_queries(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_calls_are_dealt_over_tasks_and_classified_once(spark, monkeypatch):
+    from brackwater.plans import queries
+
+    monkeypatch.setattr(queries, "CALLERS", 50)
+    found = queries.resource_classify(spark, "/root/testdata/sf0.001")
+    assert found.rdd.getNumPartitions() > 1
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("monotonically_increasing_id") == 1  # the rules stand in the plan once
