@@ -73,3 +73,16 @@ def test_siblings_are_paired_without_bringing_pairs_together(spark):
     assert sorted(map(tuple, found.collect())) == [(1, 2), (1, 5), (4, 7)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [module" not in plan.split("Join")[0]  # nothing is grouped above the join
+
+
+def test_a_resource_with_many_pairs_is_dealt_over_tasks(spark, monkeypatch):
+    from brackwater.operators import resources
+
+    monkeypatch.setattr(resources, "PAIRS", 100)
+    monkeypatch.setattr(resources, "BLOCK", 16)
+    rows = [("hot", f, k) for f in range(60) for k in (["writes", "reads"] if f % 3 == 0 else ["reads"])] + [("cold", 1, "writes"), ("cold", 2, "consumes"), ("alone", 1, "writes"), ("none", None, "reads"), ("none", 3, "writes")]
+    found = resources.couplings(spark.createDataFrame(rows, "rid string, fn long, kind string"))
+    made = [(part, r["rid"], r["writer"], r["reader"]) for part, these in enumerate(found.rdd.glom().collect()) for r in these]
+    assert len({part for part, rid, *_ in made if rid == "hot"}) > 1
+    assert sorted(x[1:] for x in made) == sorted([("hot", w, r) for w in range(0, 60, 3) for r in range(60) if w != r] + [("cold", 1, 2)])
+    assert resources.couplings(spark.createDataFrame([], "rid string, fn long, kind string")).count() == 0
