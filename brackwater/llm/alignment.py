@@ -34,7 +34,9 @@ from brackwater.llm.common import read, ship, stored
 #: Stripes of B ids. A block of one of them holds as many numbers as a stripe has B ids, times the A ids: 500 x 50,257 for the vocabularies that op11 uses, 201 MB where all are touched.
 STRIPES = 64
 #: A worker keeps units of up to LONG characters: up to twice so many, of which those that don't come again are left behind.
-CACHED, LONG = 150_000, 64
+CACHED, LONG = 300_000, 64
+#: Units that are aligned at once, and, where some of them are not spelled by their tokens, those that are then tried at once.
+BATCH, FEW = 512, 64
 #: A unit starts at a blank or a line feed after something that is no white space. (Some tokenizers take the three named characters for white space, some don't.)
 _MORE = "\u180e\u200b\ufeff"
 _UNIT = re.compile(rf"[ \n](?:\s|[{_MORE}])*(?:[^\s{_MORE}]+(?:(?:[^\S \n]|[{_MORE}])(?:\s|[{_MORE}])*[^\s{_MORE}]*)*)?")
@@ -81,6 +83,7 @@ class Sides:
         self.names = [f"{i}{mark}" for mark in ",|;\n" for i in range(self.most)]
         self.known: dict[str, tuple | None] = {}
         self.before: dict[str, tuple | None] = {}
+        self.lost: set[str] = set()  # those that are known to have no tokens
 
     @property
     def width(self) -> int:
@@ -93,10 +96,10 @@ class Sides:
             return [whole]
         return _UNIT.findall(whole)
 
-    def aligned(self, units: list[str], a: list[list[int]], b: list[list[int]]) -> list[tuple]:
-        """n_a, n_b, n_groups, groups, codes of the links, of units that their tokens spell. They are laid end to end, so that one pass over bytes, tokens and groups does them all."""
-        flat_a, flat_b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b))
-        ends_a, ends_b, ends = np.cumsum(self.long_a[flat_a]), np.cumsum(self.long_b[flat_b]), np.cumsum([len(u.encode()) for u in units])
+    def aligned(self, ends: np.ndarray, stops_a: np.ndarray, stops_b: np.ndarray, flat_a: np.ndarray, flat_b: np.ndarray) -> list[tuple]:
+        """n_a, n_b, n_groups, groups, codes of the links, of units that their tokens spell. They are laid end to end, so that one pass over bytes, tokens and groups does them all: ends are those of
+        their bytes, stops those of their tokens."""
+        ends_a, ends_b = np.cumsum(self.long_a[flat_a]), np.cumsum(self.long_b[flat_b])
         cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
         last_a, last_b = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
         codes = (self.base_b[flat_b[last_b]] + flat_a[last_a]).astype("<u8").tobytes()
@@ -107,36 +110,44 @@ class Sides:
         order = np.argsort(np.concatenate([2 * np.searchsorted(cuts, ends_a), 2 * np.searchsorted(cuts, ends_b) + 1]), kind="stable")
         written = np.concatenate([mark_a * self.most + flat_a, mark_b * self.most + flat_b])[order]
         groups = "".join(map(self.names.__getitem__, written.tolist())).split("\n")
-        starts = np.concatenate([[0], stops[:-1]])
-        return [(len(x), len(y), n - m, g, codes[8 * m : 8 * n]) for x, y, g, m, n in zip(a, b, groups, starts.tolist(), stops.tolist(), strict=False)]
-
-    def ids_a(self, units: list[str]) -> list[list[int]]:
-        """Side A's ids of units. Those that end in something else than white space are read as one text, and told apart by where their bytes end."""
-        out: list[list[int]] = [[]] * len(units)
-        joined = [k for k, u in enumerate(units) if self.cuts and u[-1:].strip(_BLANK)]
-        ids = self.encode_a(["".join([units[k] for k in joined])])[0] if joined else []
-        ends = np.cumsum(self.long_a[ids]) if ids else np.zeros(0, np.int64)
-        wanted = np.cumsum([len(units[k].encode()) for k in joined], dtype=np.int64)
-        stops = np.searchsorted(ends, wanted) + 1
-        if len(joined) and (stops[-1] != len(ids) or (ends[np.minimum(stops, len(ends)) - 1] != wanted).any()):
-            joined, stops = [], stops[:0]  # the vocabulary lacks some bytes
-        start = 0
-        for k, stop in zip(joined, stops.tolist(), strict=True):
-            out[k] = ids[start:stop]
-            start = stop
-        rest = sorted(set(range(len(units))) - set(joined))
-        for k, found in zip(rest, self.encode_a([units[k] for k in rest]), strict=True):
-            out[k] = found
-        return out
+        sizes = (np.diff(x, prepend=0).tolist() for x in (stops_a, stops_b, stops))
+        return [(x, y, n, g, codes[8 * (m - n) : 8 * m]) for x, y, n, g, m in zip(*sizes, groups, stops.tolist(), strict=False)]
 
     def encode_a(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def learn(self, units: list[str]) -> None:
+        plain = [u for u in units if self.cuts and u[-1].strip(_BLANK)]
+        each = [u for u in units if not (self.cuts and u[-1].strip(_BLANK))]
+        if plain and not self.learn_joined(plain):
+            for at in range(0, len(plain), FEW):
+                if not self.learn_joined(plain[at : at + FEW]):
+                    each += plain[at : at + FEW]
+        if each:
+            self.learn_each(each)
+
+    def learn_joined(self, units: list[str]) -> bool:
+        """Learns units that end in something else than white space, read by both sides as one text, and told apart by where their bytes end; False if a side doesn't spell them."""
+        first = " a"  # so that the text begins with a blank, as texts do
+        text = first + "".join(units)
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, units)), np.int64, len(units))) + len(first)
+        spelled, sides = text.encode(), []
+        for ids, long, spell in ((self.encode_a([text])[0], self.long_a, self.bytes_a), (self.b.encode(text[1:]), self.long_b, self.bytes_b)):
+            flat = np.array(ids, np.int64)
+            at = np.cumsum(long[flat])
+            stops = np.searchsorted(at, np.concatenate([[len(first)], ends])) + 1
+            if b"".join(map(spell.__getitem__, ids)) != spelled or stops[-1] != len(flat) or (at[stops - 1] != np.concatenate([[len(first)], ends])).any():
+                return False
+            sides.append((stops[1:] - stops[0], flat[stops[0] :]))
+        (stops_a, flat_a), (stops_b, flat_b) = sides
+        self.known.update(zip(units, self.aligned(ends - len(first), stops_a, stops_b, flat_a, flat_b), strict=True))
+        return True
+
+    def learn_each(self, units: list[str]) -> None:
         # The model of side B adds a blank; so a unit's own is left out, and the one before a line feed is taken off again.
         ids_b = self.b.encode([u[u[0] == " " :] for u in units], num_threads=1)
         good, ids = [], []
-        for u, a, b in zip(units, self.ids_a(units), ids_b, strict=True):
+        for u, a, b in zip(units, self.encode_a(units), ids_b, strict=True):
             if u == " ":
                 b = [self.bare]
             elif u[0] == "\n":
@@ -147,27 +158,32 @@ class Sides:
                 ids.append((a, b))
             else:
                 self.known[u] = None
+                self.lost.add(u)
         if good:
-            self.known.update(zip(good, self.aligned(good, [a for a, _ in ids], [b for _, b in ids]), strict=True))
+            flat_a, flat_b = (np.fromiter(chain.from_iterable(x[k] for x in ids), np.int64) for k in (0, 1))
+            stops_a, stops_b = (np.cumsum([len(x[k]) for x in ids]) for k in (0, 1))
+            self.known.update(zip(good, self.aligned(np.cumsum([len(u.encode()) for u in good]), stops_a, stops_b, flat_a, flat_b), strict=True))
 
     def found(self, texts: list[str | None]) -> Iterator[list[tuple] | None]:
         """What is known of the units of each text; None if it has no tokens."""
         cut = [self.units(x) if x else [] for x in texts]
         if len(self.known) > CACHED:
             self.before, self.known = self.known, {}  # units that come again are taken over
-        missing = list({u for c in cut for u in c if u not in self.known})
+            self.lost = {u for u in self.lost if u in self.before}
+        missing = list(set(chain.from_iterable(cut)).difference(self.known))
         if self.before:
-            self.known.update((u, self.before[u]) for u in missing if u in self.before)
+            again = [u for u in missing if u in self.before]
+            self.known.update(zip(again, map(self.before.__getitem__, again), strict=True))
             missing = [u for u in missing if u not in self.known]
-        for at in range(0, len(missing), 256):
-            self.learn(missing[at : at + 256])
-        known = self.known
+        for at in range(0, len(missing), BATCH):
+            self.learn(missing[at : at + BATCH])
+        known, lost = self.known, self.lost
         for c in cut:
-            out = [known[u] for u in c]
-            yield out if out and None not in out else None
+            yield list(map(known.__getitem__, c)) if c and lost.isdisjoint(c) else None
         for u in missing:
             if len(u) > LONG:
                 del known[u]
+                lost.discard(u)
 
 
 @lru_cache(maxsize=2)
@@ -197,9 +213,10 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizers
                             stats.append((0, 0, 0, ""))
                             codes.append(b"")
                         else:
-                            groups = ";".join([u[3] for u in units])
-                            stats.append((sum([u[0] for u in units]), sum([u[1] for u in units]), sum([u[2] for u in units]), hashlib.sha256(groups.encode()).hexdigest() if digest else groups))
-                            codes.append(b"".join([u[4] for u in units]))
+                            a, b, cuts, groups, links = zip(*units, strict=True)
+                            groups = ";".join(groups)
+                            stats.append((sum(a), sum(b), sum(cuts), hashlib.sha256(groups.encode()).hexdigest() if digest else groups))
+                            codes.append(b"".join(links))
                         n += len(codes[-1]) // 8
                         at += 1
                 places = np.repeat(np.arange(len(codes)), [len(c) // 8 for c in codes])

@@ -162,3 +162,27 @@ def test_op12_matches_sql_and_brute_force(spark):
     for t in ("documents", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     assert got == sorted(con.execute(f"SELECT doc_id, n_features, weight, score, rank FROM ({resampling.SQL['op12_resampling']})").fetchall(), key=str)
+
+
+def test_units_are_read_as_one_text_and_told_apart(monkeypatch):
+    """Units of a batch go through both tokenizers as one text; one that its tokens don't spell sends only the few around it through them one by one."""
+    plain = [*(f" word{i}." for i in range(300)), "\nLine", " é́x,", " 日本語🙂", " </s>", " <0x41>", "\n\n \tDon't'll", " naïve\x0bx\x0cy", "　" + "x" * 90]
+    plain[-1] = " " + plain[-1]
+    awkward = [" x▁y", " a\n\n \n", " \t", "\n", " "]
+    one, each = (alignment.Sides(*alignment.default_tokenizers()) for _ in range(2))
+    single = []
+    kept = one.learn_each
+    monkeypatch.setattr(one, "learn_each", lambda units: (single.extend(units), kept(units)))
+    one.learn(plain)
+    assert not single
+    each.learn_each(plain)
+    assert one.known == each.known and None not in one.known.values()
+    one.learn([*plain, *awkward])
+    each.learn_each(awkward)
+    assert one.known == each.known and one.known[" x▁y"] is None and one.lost == each.lost == {" x▁y"}
+    assert set(awkward) <= set(single) and len(single) <= len(awkward) + alignment.FEW
+    # What has no tokens is known as such when it comes again, also after the units that came before were left behind.
+    monkeypatch.setattr(alignment, "CACHED", 2)
+    texts = ["x▁y z", "word1. word2.", "x▁y", "", "word1. x▁y"]
+    for _ in range(4):
+        assert [x is None for x in one.found(texts)] == [True, False, True, True, True]
