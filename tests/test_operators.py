@@ -200,3 +200,29 @@ def test_cochanges_take_as_many_tasks_as_their_pairs_call_for(spark, monkeypatch
     found = history.cochanges(touches, "c", "f")
     assert sorted(map(tuple, found.collect())) == [(a, b, 20) for a in range(5) for b in range(5) if a != b]
     assert "hashpartitioning(a#" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 21), REPARTITION_BY_NUM" in plan  # 200 pairs
+
+
+def test_couplings_send_a_function_once_for_many_partners(spark, monkeypatch):
+    """A resource's readers once went to each of its tasks, which are as many as its pairs call for: bytes grew with the cube of its functions."""
+    monkeypatch.setattr(resources, "PAIRS", 512)
+    monkeypatch.setattr(resources, "BLOCK", 24)
+    access = [("r", i, "writes") for i in range(400)] + [("r", i, "reads") for i in range(200, 700)] + [("s", 1, "reads"), ("s", 2, "reads"), ("t", 1, "writes"), ("t", 2, "reads")]
+    store, sc = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext
+
+    def sent():
+        stages = store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = sent()
+    found = [tuple(r) for r in resources.couplings(spark.createDataFrame(access, "rid string, fn long, kind string")).collect()]
+    assert len(found) == len(set(found))
+    assert set(found) == {("r", w, r) for w in range(400) for r in range(200, 700) if w != r} | {("t", 1, 2)}
+    assert sent() - before < 200_000
+
+
+def test_couplings_rows_repeat_soon(spark, tmp_path):
+    """Pairs that follow each other hold a few readers for each writer, so that Parquet's pages find them again."""
+    access = spark.range(3000).select(F.lit("r").alias("rid"), F.col("id").alias("fn"), F.when(F.col("id") < 1000, "writes").otherwise("reads").alias("kind"))
+    resources.couplings(access).write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2_000_000
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 500_000
